@@ -1,0 +1,70 @@
+"""The corpus pipeline: STAGES over documents, each reading what its predecessor wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import mixing, packing, secrets, simhash, toxicity
+from textloom.llm.common import WORD, keep, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score as toxic. The model learns from the labels of the rows that are not held out."""
+    return toxicity.without_toxic(docs, toxicity.train_model(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, secrets in its text replaced by a mark."""
+    return secrets.redact(docs, secrets.scan_texts(docs)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them: once or twice, cut where a source's quota ends, not at all where it has ended.
+
+    A pass that takes all words of a document gives its text as it is; one that takes a part gives these words with
+    spaces between. A document without words has no share in a mix by words and stays as it is. `n_chars` follows.
+    """
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    named = docs.withColumn("_row", F.monotonically_increasing_id())
+    named = keep(named, "to-mix")
+    rows, plan = mixing.mix(named.select("_row", F.col("source"), size.alias("size")))
+    parts = plan.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_parts"), F.sum(F.col("high") - F.col("low")).alias("_taken"))
+    parts = rows.join(parts, "row", "left").where("size = 0 or _taken > 0").select("_row", (F.coalesce("_taken", F.lit(0)) == F.col("size")).alias("_whole"), "_parts")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, p["low"].cast("int") + 1, (p["high"] - p["low"]).cast("int"))))
+    plain = F.array_join(F.element_at(F.transform(F.array(words), some), 1), " ")
+    out = named.join(parts, "_row").withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(plain))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: No stage but the secret scan can be written in SQL: the scores, hashes and tokens are no SQL functions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each stage's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
