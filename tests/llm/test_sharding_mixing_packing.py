@@ -105,6 +105,7 @@ def test_fast_ids_equal_the_tokenizer(odd_rows):
     texts = [r[1] or "" for r in odd_rows]
     texts += ["".join(chr(random.choice((random.randrange(32, 127), random.randrange(0xA0, 0x250), random.randrange(9, 14)))) for _ in range(200)) for _ in range(200)]
     texts += ["".join(chr(random.randrange(1, 0x3000)) for _ in range(50)) for _ in range(50)]
+    texts += [" ".join("".join(chr(random.choice((random.randrange(32, 127), random.randrange(0x80, 0x180)))) for _ in range(8)) for _ in range(200)) for _ in range(20)]
     texts += ["don't ''s 's'st I'LL 3.14 __x__ a_b ½ ª º ʰ", "\x1c\x1f\x85\xa0  x", "ǅ ǆ İ ı ẞ ß"]
     for t in texts:
         assert coder.encode(t) == np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
