@@ -2,5 +2,514 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.operators import history, segments, terms, timeline
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+WHITE = X.WHITE
+TRIM = lambda c: f"regexp_replace(regexp_replace({c}, '^{WHITE}+', ''), '{WHITE}+$', '')"
+LINES = f"lines AS (SELECT doc_id, lang, source, i - 1 AS ord, parts[i] AS value, {TRIM('parts[i]')} = '' AS blank FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+def doc_lines(spark, sf, *keep):
+    return segments.lines(read(spark, sf, "documents"), *keep)
+
+
+# --- segments ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(ord AS INTEGER) AS ord, length(value) AS chars, length({TRIM('value')}) AS trimmed, blank FROM lines")
+def segments_lines(spark, sf):
+    return doc_lines(spark, sf).select("doc_id", "ord", F.length("value").alias("chars"), F.length(X.trim_u(F.col("value"))).alias("trimmed"), "blank")
+
+
+def _letters(t, cls):
+    return f"(length({t}) - length(regexp_replace({t}, '{cls}', '', 'g')))"
+
+
+_PROSE = f"""CASE WHEN t = '' THEN false WHEN regexp_matches(t, '{X.WIDE}') THEN true WHEN regexp_matches(t, '{X.TIME}') THEN true
+ WHEN {_letters('t', r'\p{L}')} < 2 THEN false
+ WHEN {' OR '.join(f"regexp_matches(t, '{q(p)}')" for p in X.REJECT)} THEN false
+ WHEN {_letters('t', r'\p{L}')} >= 0.6 * ({_letters('t', r'\p{L}')} + {_letters('t', r'\p{N}')}) THEN true
+ ELSE length(t) > 8 AND {_letters('t', r'\p{L}')} >= 3 END"""
+_VALUES = ["12:30 PM", "well-known", "mix", "100ms", "Hello.It is fine", "/x y", "abc", "AB", "第一", "v1.2.3", "SKU: A1", "a@b.co", "{name}", "3.5 kg", "TOTAL", "MAX_SIZE", "C:\\x", "1,234.5", "naïve café", "www.x.y z"]
+
+
+@query(f"""WITH {LINES}, v AS (SELECT 'line' AS kind, doc_id AS id, {TRIM('value')} AS t FROM lines UNION ALL SELECT 'part', p_partkey, {TRIM('p_name')} FROM part
+ UNION ALL SELECT 'customer', c_custkey, {TRIM('c_name')} FROM customer UNION ALL SELECT 'url', page_id, {TRIM('url')} FROM pages
+ UNION ALL SELECT 'trap', i, x FROM (SELECT unnest(range({len(_VALUES)})) AS i, unnest([{', '.join("'" + q(v) + "'" for v in _VALUES)}]) AS x))
+SELECT kind, id, t AS value, {_PROSE} AS prose FROM v""")
+def skip_filter(spark, sf):
+    parts = [doc_lines(spark, sf).select(F.lit("line").alias("kind"), F.col("doc_id").alias("id"), "value")]
+    for kind, table, key, value in (("part", "part", "p_partkey", "p_name"), ("customer", "customer", "c_custkey", "c_name"), ("url", "pages", "page_id", "url")):
+        parts.append(read(spark, sf, table).select(F.lit(kind), key, value))
+    parts.append(spark.createDataFrame(list(enumerate(_VALUES)), "id long, value string").select(F.lit("trap"), "id", "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.select("kind", "id", X.trim_u(F.col("value")).alias("value"), X.should_translate(F.col("value")).alias("prose"))
+
+
+@query(f"WITH {LINES}, f AS (SELECT value, min((doc_id, ord)) AS first, count(*) AS n FROM lines WHERE NOT blank GROUP BY value) SELECT md5(value) AS value, n, row_number() OVER (ORDER BY first) AS count_deduped FROM f")
+def dedup_lines(spark, sf):
+    distinct, _ = segments.dedup(doc_lines(spark, sf).where("not blank"))
+    return distinct.select(F.md5(F.col("value").cast("binary")).alias("value"), "n", "count_deduped")
+
+
+@query(f"WITH {LINES}, f AS (SELECT value, lang, min((doc_id, ord)) AS first FROM lines WHERE NOT blank GROUP BY value, lang), r AS (SELECT *, row_number() OVER (ORDER BY first) AS count_deduped FROM f) SELECT l.doc_id, CAST(l.ord AS INTEGER) AS ord, r.count_deduped FROM lines l JOIN r ON l.value = r.value AND l.lang = r.lang WHERE NOT blank")
+def dedup_with_type(spark, sf):
+    _, mapped = segments.dedup(doc_lines(spark, sf, "lang").where("not blank"), ("value", "lang"))
+    return mapped.select("doc_id", "ord", "count_deduped")
+
+
+@query(f"WITH {LINES} SELECT source, count(*) AS total, count(DISTINCT value) AS uniq, count(DISTINCT value) * 1.0 / count(*) AS ratio FROM lines WHERE NOT blank GROUP BY source")
+def dedup_ratio(spark, sf):
+    g = doc_lines(spark, sf, "source").where("not blank").groupBy("source", "value").agg(F.count("*").alias("n"))
+    return g.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("uniq")).withColumn("ratio", F.col("uniq") / F.col("total"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, md5(string_agg(CASE WHEN blank THEN value ELSE '[T]' || value END, chr(10) ORDER BY ord)) AS restored FROM lines GROUP BY doc_id")
+def restore_roundtrip(spark, sf):
+    """Lines, distinct values, stand-in translation, back to their places and into texts."""
+    rows = doc_lines(spark, sf)
+    distinct, mapped = segments.dedup(rows.where("not blank"))
+    chunks = distinct.select("count_deduped", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), segments.fake_translate(F.col("value")).alias("translated"))
+    back = segments.restore(mapped, chunks).select("doc_id", "ord", "translated")
+    whole = rows.join(back, ["doc_id", "ord"], "left").select("doc_id", F.struct("ord", F.coalesce("translated", "value").alias("t")).alias("r"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n")
+    return whole.groupBy("doc_id").agg(F.md5(text.cast("binary")).alias("restored"))
+
+
+@query("SELECT doc_id AS count_split, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE '[T]' || text END) AS translated, doc_id % 3 = 0 AS missing FROM documents")
+def missing_fill(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("count_split"), F.col("text").alias("value"))
+    results = d.where("count_split % 3 <> 0").select("count_split", F.lit(1).alias("seq"), segments.fake_translate(F.col("value")).alias("translated"))
+    early = results.limit(0)
+    return segments.fill_missing(d, results.unionByName(early)).select("count_split", F.md5(F.col("translated").cast("binary")).alias("translated"), "missing")
+
+
+def replies(spark, sf):
+    d = read(spark, sf, "documents")
+    t = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(segments.fake_translate(F.col("text")))
+    kind = F.element_at(F.array(*map(F.lit, ["text", "footnote", "chart", "cell", "unknown"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.select("doc_id", "source", kind.alias("type"), F.col("text").alias("original"), t.alias("translated"), (F.col("doc_id") % 13 == 0).alias("review"))
+
+
+_REPLIES = "r AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN 'body' WHEN 1 THEN 'notes' WHEN 2 THEN 'charts' WHEN 3 THEN 'table' ELSE 'other' END AS category, text AS original, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 = 0 THEN text ELSE '[T]' || text END AS translated, doc_id % 13 = 0 AS review FROM documents)"
+_COVER = "count(*) AS total, count_if(translated <> '' AND translated <> original) AS translated, count_if(NOT (translated <> '' AND translated <> original)) AS fallback, count_if(review) AS needs_review"
+
+
+@query(f"WITH {_REPLIES} SELECT {_COVER} FROM r")
+def coverage_report(spark, sf):
+    return segments.coverage(replies(spark, sf))
+
+
+@query(f"WITH {_REPLIES} SELECT category, {_COVER} FROM r GROUP BY category")
+def coverage_by_category(spark, sf):
+    return segments.coverage(replies(spark, sf).withColumn("category", segments.category(F.col("type"))), "category")
+
+
+@query(f"WITH {_REPLIES}, p AS (SELECT source, {_COVER} FROM r GROUP BY source) SELECT count(*) AS files, sum(total)::BIGINT AS total, sum(translated)::BIGINT AS translated, sum(fallback)::BIGINT AS fallback, sum(needs_review)::BIGINT AS needs_review FROM p")
+def coverage_merge(spark, sf):
+    return segments.coverage(replies(spark, sf), "source").agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in ("total", "translated", "fallback", "needs_review")])
+
+
+_MACHINE_SQL = "||' %s {name} ${HOME}'"
+
+
+def pairs(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " %s {name} ${HOME}").otherwise("")).alias("original"))
+    t = F.when(F.col("doc_id") % 10 == 0, F.replace("original", F.lit("%s"), F.lit(""))).when(F.col("doc_id") % 7 == 0, F.substring("original", 1, 5)).when(F.col("doc_id") % 11 == 0, "").otherwise(segments.fake_translate(F.col("original")))
+    return d.withColumn("translated", t)
+
+
+_PAIRS = "p0 AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' %s {name} ${HOME}' ELSE '' END AS original FROM documents), p AS (SELECT doc_id, original, CASE WHEN doc_id % 10 = 0 THEN replace(original, '%s', '') WHEN doc_id % 7 = 0 THEN substr(original, 1, 5) WHEN doc_id % 11 = 0 THEN '' ELSE '[T]' || original END AS translated FROM p0)"
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, length({TRIM('original')}) >= 8 AND length({TRIM('translated')}) > 0 AND (length({TRIM('translated')}) < 0.25 * length({TRIM('original')}) OR length({TRIM('translated')}) > 4 * length({TRIM('original')})) AS bad_ratio FROM p")
+def qa_length_ratio(spark, sf):
+    return segments.qa_flags(pairs(spark, sf)).select("doc_id", "bad_ratio")
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, original <> '' AND translated <> '' AND list_sort(regexp_extract_all(original, '{q(X.LOOSE)}')) <> list_sort(regexp_extract_all(translated, '{q(X.LOOSE)}')) AS bad_tokens FROM p")
+def qa_placeholders(spark, sf):
+    return segments.qa_flags(pairs(spark, sf)).select("doc_id", "bad_tokens")
+
+
+_CELLS = lambda c: f"(length({c}) + length({c}) - length(regexp_replace({c}, '[\\x{{3000}}-\\x{{9fff}}\\x{{ff00}}-\\x{{ffef}}]', '', 'g')))"
+
+
+def cues(spark, sf):
+    c = read(spark, sf, "conversations")
+    wide = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("字幕の例"), F.col("text"))).otherwise(F.col("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("original"), wide.alias("translated"), (F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 1 + F.length("text") / 20).alias("end"))
+
+
+_CUES = "c AS (SELECT conv_id AS doc_id, turn, text AS original, CASE WHEN turn % 4 = 0 THEN '字幕の例' || text ELSE text END AS translated, turn * 4.0 AS s, turn * 4.0 + 1 + length(text) / 20 AS e FROM conversations)"
+
+
+@query(f"WITH {_CUES} SELECT doc_id, turn, len(list_filter(string_split(replace(translated, chr(13), ''), chr(10)), lambda x: {_CELLS('x')} > 26)) > 0 AS too_wide, len(string_split(translated, chr(10))) > 2 AS too_many_lines FROM c")
+def qa_width_cells(spark, sf):
+    return segments.qa_flags(cues(spark, sf), "ja").select("doc_id", "turn", "too_wide", "too_many_lines")
+
+
+@query(f"WITH {_CUES} SELECT doc_id, turn, e > s AND length({TRIM('replace(translated, chr(10), chr(32))')}) > 0 AND length({TRIM("replace(translated, chr(10), '')")}) / (e - s) > 9 AS too_fast FROM c")
+def qa_cps(spark, sf):
+    return segments.qa_flags(cues(spark, sf), "zh-CN").select("doc_id", "turn", "too_fast")
+
+
+@query(f"WITH {_PAIRS}, f AS (SELECT doc_id, length({TRIM('original')}) >= 8 AND length({TRIM('translated')}) > 0 AND (length({TRIM('translated')}) < 0.25 * length({TRIM('original')}) OR length({TRIM('translated')}) > 4 * length({TRIM('original')})) AS bad_ratio, original <> '' AND translated <> '' AND list_sort(regexp_extract_all(original, '{q(X.LOOSE)}')) <> list_sort(regexp_extract_all(translated, '{q(X.LOOSE)}')) AS bad_tokens FROM p) SELECT 'bad_ratio' AS \"check\", count(*) AS n, min(doc_id) AS first FROM f WHERE bad_ratio UNION ALL SELECT 'bad_tokens', count(*), min(doc_id) FROM f WHERE bad_tokens")
+def qa_report(spark, sf):
+    return segments.qa_report(segments.qa_flags(pairs(spark, sf)).select("doc_id", "bad_ratio", "bad_tokens"))
+
+
+_SCRIPT_ROWS = [(1, "日本語テキスト"), (2, "漢字"), (3, "한국어"), (4, "русский"), (5, "ไทย"), (6, "Việt"), (7, "plain")]
+
+
+@query(f"WITH v AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f"({-i}, '{t}')" for i, t in _SCRIPT_ROWS)})) SELECT id, {', '.join(f"regexp_matches(text, '{p}') AS {k.lower().replace('-', '_')}" for k, p in X.SCRIPTS.items())} FROM v")
+def script_presence(spark, sf):
+    v = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").union(spark.createDataFrame([(-i, t) for i, t in _SCRIPT_ROWS], "id long, text string"))
+    return v.select("id", *[X.has_script(F.col("text"), k).alias(k.lower().replace("-", "_")) for k in X.SCRIPTS])
+
+
+_TOKENS = lambda c: f"list_sort(regexp_extract_all({c}, '{q(X.MACHINE)}'))"
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, CASE WHEN translated = '' THEN 'failed' WHEN {_TOKENS('original')} <> {_TOKENS('translated')} THEN 'failed' WHEN NOT regexp_matches(original, '\\p{{L}}') THEN 'translated' WHEN lower(regexp_replace({TRIM('original')}, '{WHITE}+', ' ', 'g')) = lower(regexp_replace({TRIM('translated')}, '{WHITE}+', ' ', 'g')) THEN 'needs_review' ELSE 'translated' END AS outcome FROM p")
+def validate_outcomes(spark, sf):
+    return segments.outcome(pairs(spark, sf), "en", "de", last_try=True).select("doc_id", "outcome")
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, array_to_string({_TOKENS('original')}, '|') AS tokens FROM p")
+def mask_tokens(spark, sf):
+    return pairs(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("original"), X.MACHINE), "|").alias("tokens"))
+
+
+@query(r"""SELECT doc_id, n, md5(sentence) AS sentence FROM (SELECT doc_id, unnest(range(len(s))) AS n, unnest(s) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?;。！？；\n]*[.!?;。！？；\n]["''”’」』）)]* *|[^.!?;。！？；\n]+$') AS s FROM documents))""")
+def sentence_split(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "s")).select("doc_id", F.col("n").cast("long").alias("n"), F.md5(F.col("s").cast("binary")).alias("sentence"))
+
+
+@query()
+def chunk_split(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.lit(0).alias("ord"), F.col("text").alias("value"))
+    return segments.split_chunks(d, 256)
+
+
+@query()
+def pack_batches(spark, sf):
+    return segments.pack(doc_lines(spark, sf).where("not blank"), 512)
+
+
+@query("SELECT conv_id, turn, coalesce((SELECT right(p.text, 200) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND trim(p.text) <> '' ORDER BY p.turn DESC LIMIT 1), '') AS previous FROM conversations c")
+def prev_context(spark, sf):
+    return segments.previous_context(read(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "previous")
+
+
+# --- terms ------------------------------------------------------------------------------------------------------------
+
+_GLOSSARY = "g AS (SELECT src, max(item_id) AS ord FROM (SELECT item_id, regexp_extract(text, '^[A-Za-z]+') AS src FROM benchmark) WHERE length(src) >= 2 GROUP BY src)"
+
+
+def glossary(spark, sf):
+    b = read(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("en"))
+    return terms.unpivot(b.where("length(en) >= 2").withColumn("de", F.upper("en")), "en", "de")
+
+
+_MATCH = "m AS (SELECT doc_id, src, upper(src) AS dst, ord FROM documents, g WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lower(src)))"
+
+
+@query(f"WITH {_GLOSSARY}, {_MATCH} SELECT doc_id, src, dst FROM m")
+def glossary_match(spark, sf):
+    return terms.match(read(spark, sf, "documents").select("doc_id", "text"), glossary(spark, sf)).select("doc_id", "src", "dst")
+
+
+@query(f"WITH {_GLOSSARY}, {_MATCH} SELECT m.doc_id, src, dst FROM m JOIN documents d ON d.doc_id = m.doc_id WHERE contains(text, src) AND NOT contains('[T]' || text, dst)")
+def glossary_qa(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    m = terms.match(d, glossary(spark, sf)).join(d, "doc_id")
+    return m.where(F.col("text").contains(F.col("src")) & ~segments.fake_translate(F.col("text")).contains(F.col("dst"))).select("doc_id", "src", "dst")
+
+
+@query(f"WITH {_GLOSSARY}, {_MATCH} SELECT doc_id, src, rank FROM (SELECT doc_id, src, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rank FROM m) WHERE rank <= 8")
+def glossary_topk(spark, sf):
+    return terms.first_terms(terms.match(read(spark, sf, "documents").select("doc_id", "text"), glossary(spark, sf))).select("doc_id", "src", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH u AS (SELECT item_id AS ord, regexp_extract(text, '^\\S+') AS src, 0 AS p FROM benchmark), x AS (SELECT doc_id, regexp_extract(text, '^\\S+'), 1 FROM documents), b AS (SELECT * FROM u UNION ALL SELECT * FROM x) SELECT src, CASE p WHEN 0 THEN upper(src) ELSE '[T]' || src END AS dst FROM (SELECT *, row_number() OVER (PARTITION BY lower(src) ORDER BY p, ord) AS k FROM b) WHERE k = 1")
+def glossary_merge(spark, sf):
+    first = lambda t, k: read(spark, sf, t).select(F.col(k).alias("ord"), F.regexp_extract("text", r"^\S+", 0).alias("src"))
+    return terms.merge(first("documents", "doc_id").withColumn("dst", segments.fake_translate(F.col("src"))), first("benchmark", "item_id").withColumn("dst", F.upper("src")))
+
+
+_NOISE = r"length(t) < 2 OR length(t) > 60 OR regexp_matches(t, '(?i)https?://|www\.|\S+@\S+\.\S+') OR NOT regexp_matches(t, '\p{L}') OR regexp_matches(t, '[{}<>%$]|\[formula_') OR regexp_matches(t, '[.!?。！？]\s*$') OR len(regexp_split_to_array(t, '\s+')) > 6"
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(ord AS INTEGER) AS ord, {_NOISE} AS noise FROM (SELECT doc_id, ord, {TRIM('value')} AS t FROM lines WHERE NOT blank)")
+def noise_terms(spark, sf):
+    return doc_lines(spark, sf).where("not blank").select("doc_id", "ord", terms.noise(F.col("value")).alias("noise"))
+
+
+def memory(spark, sf, parity):
+    d = read(spark, sf, "documents").where(F.col("doc_id") % 2 == parity)
+    return d.select(X.cache_key(F.lit("s1"), F.col("text")).alias("key"), F.col("text").alias("src"), segments.fake_translate(F.col("text")).alias("dst"), F.col("doc_id").alias("used_at"))
+
+
+@query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0), i AS (SELECT doc_id, doc_id // 4 AS batch_id, d.text, k.text IS NOT NULL AS hit FROM documents d LEFT JOIN k ON d.text = k.text) SELECT doc_id, batch_id, bool_and(hit) OVER (PARTITION BY batch_id) AS served FROM i")
+def tm_lookup_all_or_none(spark, sf):
+    known = terms.upsert(memory(spark, sf, 0).limit(0), memory(spark, sf, 0))
+    items = read(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch_id"), F.col("text").alias("value"))
+    return terms.lookup(items, known, "s1").select("doc_id", "batch_id", "served")
+
+
+@query("SELECT md5(text) AS src, max(doc_id) AS used_at FROM documents GROUP BY text")
+def tm_upsert_latest(spark, sf):
+    return terms.upsert(memory(spark, sf, 0), memory(spark, sf, 1)).select(F.md5(F.col("src").cast("binary")).alias("src"), "used_at")
+
+
+@query("SELECT md5(text) AS src, max(doc_id) AS used_at FROM documents GROUP BY text ORDER BY max(doc_id) DESC LIMIT 300")
+def tm_lru_prune(spark, sf):
+    return terms.prune(terms.upsert(memory(spark, sf, 0), memory(spark, sf, 1)), 300).select(F.md5(F.col("src").cast("binary")).alias("src"), "used_at")
+
+
+# --- cells, trees and replies -----------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS row_id, c AS col, v AS value FROM (SELECT p_partkey, unnest(['p_name','p_brand','p_type']) AS c, unnest([p_name, p_brand, p_type]) AS v FROM part) WHERE trim(v) <> ''")
+def cell_explode(spark, sf):
+    p = read(spark, sf, "part")
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in ("p_name", "p_brand", "p_type")])
+    return p.select(F.col("p_partkey").alias("row_id"), F.inline(cells)).where(X.trim_u(F.col("value")) != "")
+
+
+@query("SELECT event_id, k AS path, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_type(props, '$.\"' || k || '\"') = 'VARCHAR' AND lower(k) NOT IN ('id','url','regex','key')")
+def json_leaves(spark, sf):
+    from textloom.sources import trees
+
+    return trees.json_leaves(read(spark, sf, "events"), "event_id", "props")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.\"' || k || '\"') AS value, k AS item FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def lenient_json(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```")).alias("reply"))
+    return e.select("event_id", F.explode(X.reply_items(F.col("reply"))).alias("item", "value"))
+
+
+@query()
+def html_blocks(spark, sf):
+    from textloom.sources import trees
+
+    return trees.html_blocks(read(spark, sf, "pages"), "page_id", "html")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
+def html_attrs(spark, sf):
+    p = read(spark, sf, "pages")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"))
+
+
+# --- runs -------------------------------------------------------------------------------------------------------------
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'failed' END"
+_RUNS = f"r AS (SELECT o_orderkey AS id, lower(regexp_extract(o_orderpriority, '[A-Z]+')) AS file_type, {_STATUS} AS status, o_orderdate AS start_time, CAST(o_totalprice AS BIGINT) AS total_tokens, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'b' || CAST(o_custkey AS VARCHAR) END AS batch_id FROM orders)"
+
+
+def runs(spark, sf):
+    o = read(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    return o.select(F.col("o_orderkey").alias("id"), F.lower(F.regexp_extract("o_orderpriority", "[A-Z]+", 0)).alias("file_type"), status.alias("status"), F.col("o_orderdate").alias("start_time"), F.round("o_totalprice").cast("long").alias("total_tokens"), F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("b"), F.col("o_custkey").cast("string"))).alias("batch_id"))
+
+
+@query(f"WITH {_RUNS.replace('CAST(o_totalprice AS BIGINT)', 'CAST(round(o_totalprice) AS BIGINT)')} SELECT id, status, total_tokens FROM r WHERE file_type = 'urgent' AND status = 'success' ORDER BY total_tokens DESC, id LIMIT 50")
+def history_filter_sort(spark, sf):
+    return history.select_runs(runs(spark, sf), ".URGENT", "success", "total_tokens", limit=50).select("id", "status", "total_tokens")
+
+
+@query(f"WITH {_RUNS} SELECT DISTINCT file_type FROM r WHERE file_type <> ''")
+def history_file_types(spark, sf):
+    return runs(spark, sf).select("file_type").where("file_type <> ''").distinct()
+
+
+@query(f"WITH {_RUNS} SELECT coalesce(batch_id, '__solo__' || CAST(id AS VARCHAR)) AS batch, count(*) AS n, CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status = 'success') THEN 'success' ELSE 'failed' END AS status FROM r GROUP BY 1")
+def history_batches(spark, sf):
+    return history.batch_status(runs(spark, sf)).select("batch", "n", "status")
+
+
+@query(f"WITH {_RUNS} SELECT id FROM r WHERE start_time >= TIMESTAMP '1998-08-02' - INTERVAL 365 DAY ORDER BY start_time DESC, id DESC LIMIT 100")
+def history_retention(spark, sf):
+    return history.newest(runs(spark, sf), 100, 365, F.lit("1998-08-02").cast("timestamp")).select("id")
+
+
+@query(f"WITH {_RUNS} SELECT id, CASE status WHEN 'running' THEN 'interrupted' ELSE status END AS status FROM r")
+def history_recover(spark, sf):
+    return history.recover(runs(spark, sf)).select("id", "status")
+
+
+@query("SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) > 60000 AS \"delete\" FROM documents")
+def retention_size(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"), F.col("doc_id").alias("path"))
+    return history.over_size(d, 60000, "source").select("doc_id", "delete")
+
+
+@query("SELECT doc_id, CASE WHEN k = 1 THEN source || '.txt' ELSE source || ' (' || CAST(k AS VARCHAR) || ').txt' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)")
+def unique_names(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(".txt")).alias("name"), F.col("doc_id").alias("ord"))
+    return history.unique_names(d).select("doc_id", F.col("unique").alias("name"))
+
+
+@query("WITH t AS (SELECT conv_id, turn // 4 AS ts, role, text, row_number() OVER (PARTITION BY conv_id, turn // 4, role ORDER BY turn) AS k FROM conversations) SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.ts, b.ts) AS ts, coalesce(a.k, b.k) AS k, md5(a.text) AS source, md5(b.text) AS target FROM (SELECT * FROM t WHERE role = 'user') a FULL JOIN (SELECT * FROM t WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND a.ts = b.ts AND a.k = b.k")
+def transcript_pairs(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", F.floor(F.col("turn") / 4).alias("ts"), "role", F.col("turn").alias("ord"), "text")
+    md = lambda n: F.md5(F.col(n).cast("binary")).alias(n)
+    out = history.pair_transcript(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", "ts")
+    return out.select("conv_id", "ts", F.col("k").cast("long").alias("k"), md("source"), md("target"))
+
+
+# --- time -------------------------------------------------------------------------------------------------------------
+
+
+@query("WITH m AS (SELECT user_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 3600 THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM m) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM s GROUP BY user_id, session")
+def vad_sessions(spark, sf):
+    return timeline.sessions(read(spark, sf, "events"), "user_id", "ts", 3600)
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rpm_window(spark, sf):
+    return timeline.in_window(read(spark, sf, "events"), "event_type", "ts", 600).select("event_id", "recent")
+
+
+@query("WITH w AS (SELECT event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING) AS a FROM events), x AS (SELECT event_id, a, unnest(range(1, len(a) + 1)) AS i FROM w), c AS (SELECT event_id, a[i] AS v, len(list_filter(a, lambda y: y = a[i])) AS n, i FROM x) SELECT event_id, v AS winner FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, i DESC) AS k FROM c) WHERE k = 1")
+def lang_vote5(spark, sf):
+    return timeline.vote(read(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "winner")
+
+
+@query("SELECT id, i * 25000.0 AS start, least(total, (i + 1) * 25000.0) AS \"end\" FROM (SELECT doc_id AS id, n_chars * 40.0 AS total, unnest(range(CAST(ceil(n_chars * 40.0 / 25000.0) AS BIGINT))) AS i FROM documents)")
+def fixed_windows(spark, sf):
+    return timeline.tumbling(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") * F.lit(40.0)).alias("total")), 25000.0)
+
+
+@query()
+def cue_merge(spark, sf):
+    c = cues(spark, sf).select("doc_id", "start", "end", F.col("original").alias("text"))
+    return timeline.merge_cues(c.withColumn("start", F.col("start") / 8).withColumn("end", F.least(F.col("end") / 8, F.col("start") + 0.4)), 42)
+
+
+@query()
+def audio_batches(spark, sf):
+    c = read(spark, sf, "conversations")
+    return timeline.duration_batches(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), (F.length("text") / F.lit(12.0)).alias("duration")), 60.0)
+
+
+@query("SELECT turn, conv_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS stamp, ms / 1000.0 AS seconds FROM (SELECT turn, conv_id, CAST(round((turn * 4.0 + 1 + length(text) / 20) * 1000) AS BIGINT) AS ms FROM conversations)")
+def srt_times(spark, sf):
+    c = cues(spark, sf).select("turn", F.col("doc_id").alias("conv_id"), X.srt_time(F.col("end")).alias("stamp"))
+    return c.withColumn("seconds", X.cue_seconds(F.col("stamp")))
+
+
+def boxes(spark, sf):
+    line = read(spark, sf, "lineitem")
+    x, y = (F.col("l_partkey") % 400).cast("double"), (F.col("l_linenumber") * 20.0)
+    return line.select((F.col("l_orderkey") % 97).alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), x.alias("x0"), y.alias("y0"), (x + 30).alias("x1"), (y + 12).alias("y1"))
+
+
+@query()
+def regions_components(spark, sf):
+    b = boxes(spark, sf)
+    return timeline.box_groups(b, timeline.boxes_linked(b, 4.0))
+
+
+@query("WITH b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_linenumber * 20.0 AS y0 FROM lineitem WHERE l_orderkey <= 4000) SELECT l.image, l.id AS a, r.id AS b FROM b l JOIN b r ON l.image = r.image AND l.id < r.id WHERE greatest(l.x0, r.x0) - least(l.x0 + 30, r.x0 + 30) <= 4 AND greatest(l.y0, r.y0) - least(l.y0 + 12, r.y0 + 12) <= 4")
+def region_links(spark, sf):
+    return timeline.boxes_linked(boxes(spark, sf).where("id <= 4000 * 8 + 7"), 4.0)
+
+
+@query()
+def region_order(spark, sf):
+    return timeline.reading_order(boxes(spark, sf))
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------------
+
+
+@query()
+def repeat_collapse(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.md5(X.collapse_repeats(F.concat("text", F.repeat(F.lit("ha"), (F.col("doc_id") % 30).cast("int")))).cast("binary")).alias("text"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, 'the', 'THE'), 'THE ', 'Z '), 'Z', 'ZZ')) AS text FROM documents")
+def rules_replace(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.md5(X.replace_all(F.col("text"), [("the", "THE"), ("THE ", "Z "), ("Z", "ZZ")]).cast("binary")).alias("text"))
+
+
+@query("SELECT c_custkey, CASE WHEN v[1] IN ('=', '+', '-', '@') THEN ' ' || v ELSE v END AS cell FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '=' || c_name WHEN 1 THEN '-' || c_mktsegment ELSE c_name END AS v FROM customer)")
+def safe_cells(spark, sf):
+    c = read(spark, sf, "customer")
+    v = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("="), "c_name")).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("-"), "c_mktsegment")).otherwise(F.col("c_name"))
+    return c.select("c_custkey", X.safe_cell(v).alias("cell"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS file_type, regexp_replace(url, '\\.[^./]*$', '') || '_en2de' || regexp_extract(url, '\\.[^./]*$') AS result FROM pages")
+def stem_names(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.file_type(F.col("url")).alias("file_type"), X.result_name(F.col("url"), "en", "de").alias("result"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 3600 THEN printf('%dh %dm %ds', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) WHEN n_chars >= 60 THEN printf('%dm %ds', n_chars // 60, n_chars % 60) ELSE printf('%ds', n_chars) END AS took FROM documents")
+def durations(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", X.duration(F.col("n_chars")).alias("took"))
+
+
+@query("SELECT p_partkey, list_sum(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS INTEGER), 0)))::BIGINT AS total FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || '.x' AS v FROM part)")
+def versions(spark, sf):
+    v = F.concat_ws(".", F.lit("v") if False else F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), F.lit("x"))
+    return read(spark, sf, "part").select("p_partkey", F.aggregate(X.version_parts(v), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT * FROM (VALUES (0, '12', 12), (1, ' 7 ', 7), (2, '③', 3), (3, 'xiv', 14), (4, '九', 9), (5, 'item 42b', 42), (6, 'none', 0), (7, '-5', -5), (8, '', 0)) t(id, value, number)")
+def tolerant_ints(spark, sf):
+    rows = [(i, v) for i, v in enumerate(["12", " 7 ", "③", "xiv", "九", "item 42b", "none", "-5", ""])]
+    return spark.createDataFrame(rows, "id int, value string").withColumn("number", X.to_int_tolerant(F.col("value")))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\s\p{L}\p{N}]+')) AS tokens FROM documents")
+def token_counts(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", X.token_count(F.col("text")).cast("long").alias("tokens"))
+
+
+@query("SELECT sha1('m1|en|de' || chr(0) || text) AS key, doc_id FROM documents")
+def cache_keys(spark, sf):
+    return read(spark, sf, "documents").select(X.cache_key(F.lit("m1|en|de"), F.col("text")).alias("key"), "doc_id")
+
+
+@query("SELECT o_orderstatus AS task, count_if(o_orderpriority = '1-URGENT') AS urgent, CAST(sum(o_custkey) AS BIGINT) AS tokens, least(1.0, count(*) / 100000.0) AS progress FROM orders GROUP BY o_orderstatus")
+def usage_sums(spark, sf):
+    return read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("task")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.sum("o_custkey").alias("tokens"), F.least(F.lit(1.0), F.count("*") / F.lit(100000.0)).alias("progress"))
+
+
+@query("SELECT role, text, max(turn) AS ts FROM conversations GROUP BY role, text ORDER BY ts DESC, role, text LIMIT 50")
+def quick_history(spark, sf):
+    c = read(spark, sf, "conversations").select("role", "text", F.col("turn").alias("ts"))
+    return history.latest_queries(c, ["role", "text"], 50)
