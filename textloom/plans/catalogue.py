@@ -306,11 +306,13 @@ def cell_explode(spark, sf):
     return p.select(F.col("p_partkey").alias("row_id"), F.inline(cells)).where(X.trim_u(F.col("value")) != "")
 
 
-@query("SELECT event_id, k AS path, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_type(props, '$.\"' || k || '\"') = 'VARCHAR' AND lower(k) NOT IN ('id','url','regex','key')")
+@query("SELECT event_id, unnest(['kind', 'tags.0', 'tags.1', 'deep.note']) AS path, unnest([event_type, event_type, 'x', event_type || '!']) AS value FROM events")
 def json_leaves(spark, sf):
     from textloom.sources import trees
 
-    return trees.json_leaves(read(spark, sf, "events"), "event_id", "props")
+    t = F.col("event_type")
+    tree = F.to_json(F.struct(t.alias("kind"), F.array(t, F.lit("x")).alias("tags"), F.struct(F.concat(t, F.lit("!")).alias("note"), t.alias("url"), F.col("value").alias("n")).alias("deep"), t.alias("id")))
+    return trees.json_leaves(read(spark, sf, "events").select("event_id", tree.alias("tree")), "event_id", "tree")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.\"' || k || '\"') AS value, k AS item FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -513,3 +515,49 @@ def usage_sums(spark, sf):
 def quick_history(spark, sf):
     c = read(spark, sf, "conversations").select("role", "text", F.col("turn").alias("ts"))
     return history.latest_queries(c, ["role", "text"], 50)
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, make_timestamp(w) AS start, count(*) AS n FROM (SELECT event_type, unnest(range((epoch_us(ts) // 600000000) * 600000000 - 3000000000, (epoch_us(ts) // 600000000) * 600000000 + 1, 600000000)) AS w FROM events) GROUP BY ALL")
+def sliding_requests(spark, sf):
+    from textloom.streaming import speech
+
+    c = speech.request_counts(read(spark, sf, "events"), "event_type", "ts", "1 hour", "10 minutes")
+    return c.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(spark, sf):
+    from textloom.streaming import speech
+
+    s = speech.stream_sessions(read(spark, sf, "events"), "user_id", "ts")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def vad_segments(spark, sf):
+    """Frames made of the events of a user: one every 16 ms, voiced by event type."""
+    from textloom.streaming import speech
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = read(spark, sf, "events").select(F.col("user_id").alias("key"), ((F.row_number().over(w) - 1) * 16).cast("long").alias("ms"), (F.floor(F.row_number().over(w) / 20) % 3 != 2).alias("voiced"))
+    return speech.voice_segments(e)
+
+
+@query()
+def incremental_commit(spark, sf):
+    """Hypotheses: growing beginnings of each turn's text, the last one final."""
+    from textloom.streaming import speech
+
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i"))
+    n = (F.length("text") * F.col("i") / 6).cast("int")
+    return speech.commits(c.select("key", F.col("i").cast("long").alias("n"), F.substring("text", F.lit(1), n).alias("text"), (F.col("i") == 6).alias("final")))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
+def progress_changes(spark, sf):
+    from textloom.streaming import speech
+
+    return speech.changes(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
