@@ -16,12 +16,14 @@ def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     files = files.withColumn("extension", X.file_type(F.col("path"))).where(F.col("extension").isin(*formats.READERS))
 
+    readers = dict(formats.READERS)  # what is registered here goes to the tasks
+
     @F.pandas_udf("struct<slots:array<struct<type:string,place:string,value:string>>,error:string>")
     def read(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
         rows = []
         for raw, ext in zip(content, extension, strict=True):
             try:
-                rows.append((formats.READERS[ext](raw), None))
+                rows.append((readers[ext](raw), None))
             except Exception as e:  # a broken file is a row, not the end of the scan
                 rows.append(([], f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["slots", "error"])
@@ -38,9 +40,11 @@ def write_back(spark: SparkSession, path: str, translated: DataFrame) -> DataFra
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     new = translated.where("translated is not null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("place", "translated"))).alias("new"))
 
+    writers = dict(formats.WRITERS)
+
     @F.pandas_udf("binary")
     def write(content: pd.Series, extension: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([formats.WRITERS[e](raw, dict(n)) for raw, e, n in zip(content, extension, new, strict=True)])
+        return pd.Series([writers[e](raw, dict(n)) for raw, e, n in zip(content, extension, new, strict=True)])
 
     return files.join(new, "path").select("path", write("content", X.file_type(F.col("path")), "new").alias("result"))
 

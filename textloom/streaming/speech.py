@@ -132,9 +132,10 @@ class Cooldown:
         return usable[(self.turn - 1) % len(usable)] if usable else None
 
 
-def stateful(stream: DataFrame, key: str, order: str, make: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, timeout_ms: int = 60_000) -> DataFrame:
+def stateful(stream: DataFrame, key: str, order: str, make: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, timeout_ms: int | None = None) -> DataFrame:
     """One state per key over a stream: step(state, rows in order) gives rows to append. State lives in Spark's state
-    store, so a restart from the checkpoint goes on where it stood; a key idle for `timeout_ms` is dropped."""
+    store, so a restart from the checkpoint goes on where it stood; a key idle for `timeout_ms` is dropped
+    (which keeps a query running for ever, so not with trigger(availableNow=True))."""
 
     def run(_key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -144,10 +145,11 @@ def stateful(stream: DataFrame, key: str, order: str, make: Callable[[], object]
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         out = step(now, rows)
         state.update((pickle.dumps(now),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield out
 
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
 def voice_step(state: VoiceSegments, rows: pd.DataFrame) -> pd.DataFrame:
