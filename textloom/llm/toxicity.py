@@ -210,6 +210,16 @@ def candidates(train: DataFrame) -> DataFrame:
     words, stands, and how often it stands in them."""
     names = ["term", "stem", "toxic", "clean", "in_toxic", "in_clean"]
 
+    def flush(counts):
+        for label, of in enumerate(counts):
+            rows = list(of.items())
+            for at in range(0, len(rows), 50_000):
+                part = rows[at : at + 50_000]
+                mine, zero = [pa.array([r[1][i] for r in part], pa.int64()) for i in (0, 1)], pa.array([0] * len(part), pa.int64())
+                numbers = [zero, mine[0], zero, mine[1]] if label == 0 else [mine[0], zero, mine[1], zero]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in part], pa.string()), pa.array([r[0][1] for r in part], pa.bool_()), *numbers], names=names)
+            of.clear()
+
     def run(batches):
         counts: tuple[dict, dict] = ({}, {})
         for batch in batches:
@@ -229,13 +239,9 @@ def candidates(train: DataFrame) -> DataFrame:
                     else:
                         c[0] += 1
                         c[1] += n
-        for label, of in enumerate(counts):
-            rows = list(of.items())
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
-                mine, zero = [pa.array([r[1][i] for r in part], pa.int64()) for i in (0, 1)], pa.array([0] * len(part), pa.int64())
-                numbers = [zero, mine[0], zero, mine[1]] if label == 0 else [mine[0], zero, mine[1], zero]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in part], pa.string()), pa.array([r[0][1] for r in part], pa.bool_()), *numbers], names=names)
+                if len(of) > 150_000:  # Spark adds up the parts
+                    yield from flush(counts)
+        yield from flush(counts)
 
     made = train.mapInArrow(run, "term string, stem boolean, toxic long, clean long, in_toxic long, in_clean long")
     return made.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in names[2:]])
@@ -281,7 +287,8 @@ def fit(labelled: DataFrame) -> Model:
     """A model from (doc_id, text, toxic). Misspellings of a term are allowed as far as they don't stand in clean rows.
     Without rows of both labels it has no terms and scores every text alike."""
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    train = keep(labelled.join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "train")
+    tasks = 2 * labelled.sparkSession.sparkContext.defaultParallelism
+    train = keep(labelled.join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "train").repartition(tasks)
     terms = learn_terms(train)
     seen = read_hits(train, terms).select("toxic", F.explode("found").alias("hit")).groupBy("hit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()
     edits = {i: t.edits for i, t in enumerate(terms)}
