@@ -67,7 +67,7 @@ def build(vectors: np.ndarray, seed: int = 0) -> list[tuple[np.ndarray, np.ndarr
         src, dst = src[order], dst[order]
         place = np.arange(len(dst)) - np.searchsorted(dst, dst)
         both = np.full((len(members), most), -1, np.int32)
-        both[:, : most // 2] = links
+        both[:, : links.shape[1]] = links
         fits = place < most - most // 2
         both[dst[fits], most // 2 + place[fits]] = src[fits]
         both.sort(axis=1)
