@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -27,25 +28,33 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAIN = 0x180  #: below this code point lower case and NFC are the same for a letter alone and in its word
 
 
-class PieceIds(dict):
-    """Ids of each pre-token as little-endian bytes, encoded once; emptied when it holds `most` of them."""
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level BPE writes each byte: itself if printable, else the next free one from U+0100."""
+    keep_ = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(keep_)]
+    return {**{b: chr(b) for b in keep_}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
-    def __init__(self, tokenizer, most: int = 200_000):
-        self.tokenizer, self.most = tokenizer, most
+
+class WordIds(dict):
+    """Ids of each lower-case run between white space, as little-endian bytes, made once; emptied at `most` of them."""
+
+    def __init__(self, model, split: re.Pattern, most: int = 300_000):
+        self.model, self.split, self.most, self.letters = model, split, most, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+        ids = [t.id for w in self.split.findall(word) for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
 
 class FastIds:
     """The ids that tokenizer.encode(text, add_special_tokens=False) gives, as little-endian 32-bit bytes.
 
-    Texts whose characters all lie below U+0180, without odd controls or special tokens, are split by the tokenizer's own
-    pre-token pattern and looked up pre-token by pre-token; all others go to the tokenizer whole.
+    No pre-token holds white space. So a text whose characters all lie below U+0180, without odd controls or special
+    tokens, is split at white space, and each run is cut by the tokenizer's own pre-token pattern, encoded by its model
+    and remembered. All other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -53,22 +62,23 @@ class FastIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(open(path, encoding="utf-8").read())
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if spec.get("pre_tokenizer", {}).get("type") == "Sequence" else None
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         lower = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self.words = None
-        if split and lower and spec["model"]["type"] == "BPE":
+        self.ids = None
+        if lower and [s["type"] for s in steps] == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE":
             of = {k: "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-            py = split.replace(r"\p{L}", of["L"]).replace(r"\p{N}", of["N"])
-            self.words = re.compile(py)
-        marks = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))
-        self.odd = re.compile(rf"[^\t-\r\x20-\x7e\x85\xa0-{chr(PLAIN - 1)}]" + (f"|{marks}" if marks else ""))
-        self.ids = PieceIds(self.tokenizer)
+            split = steps[0]["pattern"]["Regex"].replace(r"\p{L}", of["L"]).replace(r"\p{N}", of["N"])
+            self.ids = WordIds(self.tokenizer.model, re.compile(split))
+        self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        # the bytes of U+0009 to U+000D, U+0020 to U+007E and U+0080 to U+017F in UTF-8
+        self.plain = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC2, 0xC6)])
 
     def encode(self, text: str) -> bytes:
-        if self.words is None or self.odd.search(text):
+        raw = text.encode("utf-8", "surrogatepass")
+        if self.ids is None or raw.translate(None, self.plain) or any(m in raw for m in self.marks):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids = self.ids
-        return b"".join([ids[w] for w in self.words.findall(text.lower())])
+        return b"".join([ids[w] for w in text.lower().split()])
 
 
 @lru_cache(maxsize=2)
