@@ -105,6 +105,40 @@ def test_near_copies_by_five_words(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def exact_classes(docs, similarity=0.8):
+    sets, u = [], Union()
+    for _, t in docs:
+        words = W.findall(t.translate(LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    for i, (a, _) in enumerate(docs):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                u.join(a, docs[j][0])
+    return {d: u.find(d) for d, _ in docs}
+
+
+@pytest.mark.parametrize("hot", [2000, 20])
+def test_distinct_texts_with_a_shared_passage_do_not_link(spark, sf, monkeypatch, hot):
+    """Pairs of Jaccard 0.6 to 0.75 stay apart, also where buckets are cut into chunks; those of 0.8 and more link."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(104)]
+    docs = [(n, " ".join(passage + [word() for _ in range(20 + n % 15)])) for n in range(100)]
+    docs += [(100 + n, docs[n][1] + " and a few more words") for n in range(0, 100, 10)]
+    docs += [(200 + n, "the same line of words again " * 40 + " ".join(word() for _ in range(12))) for n in range(10)]  # repeats count once
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == exact_classes(docs)
+    assert len(set(got.values())) == 110
+
+
+def test_near_duplicates_of_the_documents_are_exact(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == exact_classes([tuple(r) for r in docs.collect()])
+
+
 def test_one_of_each_with_odd_rows(spark, odd):
     kept = simhash.one_of_each(spark.read.parquet(f"{odd}/documents.parquet")).collect()
     assert Counter(r.doc_id for r in kept) == Counter([1, 2, 6, 7, None, 100, 120, 140])

@@ -10,6 +10,7 @@ members are cut into chunks along the first distance and chunk pairs are dealt o
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from .graph import components
 
 PIVOTS = 16
 HOT = 2000
+SENT = 2_000_000  # nodes, at most, that are sent to every task
 RADIUS, SHINGLE = 3, 3
 STAGE_SHINGLE, STAGE_WORDS, STAGE_SIMILARITY, ANCHORS = 5, 4, 0.8, 6
 SEED = 42
@@ -162,33 +164,146 @@ def links(keyed: DataFrame, words: int, radius: int) -> DataFrame:
     return found.unionByName(bucket_links(pairs, words, radius))
 
 
+def matches(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of hashes the position of the first one of its component, links being Jaccard similarities of
+    `similarity` or more. What two sets share is counted through the lists of the sets that hold a hash."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(n), size), times[ids] > 1
+    owner, ids = owner[shared], ids[shared]
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    holders = owner[np.argsort(ids, kind="stable")]
+    first = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(times)))))
+    root, listed, free = np.full(n, -1), n, n
+    for start in range(n):
+        if root[start] >= 0:
+            continue
+        root[start] = start
+        free -= 1
+        todo = [start]
+        while todo and free:
+            if 2 * free < listed:  # lists of those only that have no component yet
+                open_ = root[holders] < 0
+                first = np.concatenate(([0], np.cumsum(open_)))[first]
+                holders, listed = holders[open_], free
+            x = todo.pop()
+            own = ids[cuts[x] : cuts[x + 1]]
+            count = first[own + 1] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            common = np.bincount(holders[at], minlength=n)
+            near = np.flatnonzero((root < 0) & (common >= similarity * (size + size[x] - common) - 1e-9))
+            root[near] = start
+            free -= len(near)
+            todo += near.tolist()
+    return root
+
+
+def bucket_matches(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the members of each bucket of (key, node, shingles), as `bucket_links` gives them, but by the
+    Jaccard similarity of the shingle sets."""
+
+    def run(batches):
+        key, node, sets = [], [], []
+
+        def flush(end: int) -> pa.RecordBatch:
+            a, b, s = [], [], 0
+            for e in range(1, end + 1):
+                if e == end or key[e] != key[s]:
+                    if e - s > 1:
+                        for i, at in enumerate(matches(sets[s:e], similarity).tolist()):
+                            if at != i:
+                                a.append(node[s + i])
+                                b.append(node[s + at])
+                    s = e
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = batch.to_pydict()
+            key += raw["key"]
+            node += raw["node"]
+            sets += [np.frombuffer(x, "<u8") for x in raw["shingles"]]
+            whole = len(key) - 1
+            while whole and key[whole - 1] == key[-1]:
+                whole -= 1
+            if whole:
+                yield flush(whole)
+                del key[:whole], node[:whole], sets[:whole]
+        if key:
+            yield flush(len(key))
+
+    dealt = rows.select("key", "node", "shingles").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def verified_links(keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect all (key, node) that share a key and whose shingles in `sets` (node, size, shingles) have a
+    Jaccard similarity of `similarity` or more. Buckets above HOT are cut into chunks along the size of the sets; chunk
+    pairs whose sizes alone rule such a similarity out are skipped. A set counts more, the larger it is. Of buckets with the
+    same members one is read."""
+    weighed = keyed.join(sets.select("node", "size", (F.floor(F.col("size") / 500) + 1).cast("long").alias("weight")), "node")
+    weighed = keep(weighed.select("key", "node", "size", "weight"), "weighed")
+    members = [F.count("*").alias("rows"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    buckets = weighed.groupBy("key").agg(F.sum("weight").alias("n"), *members).where("rows > 1")
+    buckets = keep(buckets.groupBy("rows", "x", "y").agg(F.min("key").alias("key"), F.max("n").alias("n")).select("key", "n"), "buckets")
+    many = buckets.where(F.col("n") > HOT).select("key")
+    shingles = sets.select("node", "shingles")
+    few = weighed.join(buckets.where(F.col("n") <= HOT).select("key"), "key", "left_semi").select("key", "node")
+    found = bucket_matches(few.join(shingles, "node"), similarity)
+    if many.isEmpty():
+        return found
+    hot = weighed.join(many, "key", "left_semi")
+    hot = keep(ordered_sums(hot, ["key"], ["size", "node"], "weight", "hot-sets").withColumn("chunk", F.floor(F.col("before") / HOT)).select("key", "chunk", "size", "node"), "hot-set-chunks")
+    ends = hot.groupBy("key", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    other = ends.select("key", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"))
+    near = ends.join(other, "key").where((F.col("chunk2") >= F.col("chunk")) & (F.col("low2") * similarity <= F.col("high") + 1e-9)).select("key", "chunk", "chunk2")
+    pair = F.xxhash64("key", "chunk", "chunk2").alias("pair")
+    sides = near.select("key", "chunk", pair).unionByName(near.where("chunk < chunk2").select("key", F.col("chunk2").alias("chunk"), pair))
+    pairs = hot.join(sides, ["key", "chunk"]).select(F.col("pair").alias("key"), "node").join(shingles, "node")
+    return found.unionByName(bucket_matches(pairs, similarity))
+
+
+def candidate_radius(words: int, similarity: float) -> int:
+    """Differing bits of 64 x words that texts of this Jaccard similarity stay within, but for six standard deviations: the
+    angle of their shingle sets, and a share of 0.04 for small sets with as many ones as zeros."""
+    n, share = 64 * words, acos(2 * similarity / (1 + similarity)) / pi + 0.04
+    return min(n, int(n * share + 6 * sqrt(n * share * (1 - share))))
+
+
 def prints(docs: DataFrame, shingle: int, words: int = 1, anchors: int = 0) -> DataFrame:
-    """(doc_id, content, node, bits, dist, d0, anchors) of (doc_id, text, content); bits and dist are little-endian binary,
-    d0 is the first distance, node a long that stands for bits: the fingerprint itself, if it is one word.
+    """(doc_id, content, node, bits, dist, d0, anchors, shingles) of (doc_id, text, content); bits and dist are little-endian
+    binary, d0 is the first distance, node a long that stands for bits: the fingerprint itself, if it is one word.
 
     anchors: the least values of so many further hashes over the shingles, for buckets where the radius is too wide for
     sections; two texts share any one of them with a probability equal to their shingle sets' Jaccard similarity.
+    With anchors, a shingle counts once in bits however often it stands, shingles is the set of their hashes, sorted, and
+    node stands for that set; without, shingles is null.
     """
-    fields = [("doc_id", pa.int64()), ("content", pa.string()), ("node", pa.int64()), ("bits", pa.binary()), ("dist", pa.binary()), ("d0", pa.int32()), ("anchors", pa.list_(pa.int64()))]
+    fields = [("doc_id", pa.int64()), ("content", pa.string()), ("node", pa.int64()), ("bits", pa.binary()), ("dist", pa.binary()), ("d0", pa.int32()), ("anchors", pa.list_(pa.int64())), ("shingles", pa.binary())]
     refs = pivots(words)
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            bits, least = [], []
+            bits, least, sets = [], [], []
             for t in batch.column("text"):
                 h = shingle_hashes(t.as_py() or "", shingle)
+                if anchors:
+                    h = np.unique(h)
+                sets.append(h.astype("<u8").tobytes() if anchors else None)
                 bits.append(fingerprint(h, words))
                 least.append([int(mixed(h, 100 + j).min().view(np.int64)) if len(h) else j for j in range(anchors)])
             all_ = np.stack(bits) if bits else np.zeros((0, words), np.uint64)
             dist = distances(all_, refs).astype("<i2")
             raw = [b.astype("<u8").tobytes() for b in bits]
-            node = all_[:, 0] if words == 1 else np.array([xxh64_intdigest(b, SEED) for b in raw], np.uint64)
-            columns = [batch.column("doc_id"), batch.column("content"), pa.array(node.view(np.int64)), pa.array(raw, pa.binary()), pa.array([d.tobytes() for d in dist], pa.binary()), pa.array(dist[:, 0], pa.int32()), pa.array(least, pa.list_(pa.int64()))]
+            node = np.array([xxh64_intdigest(b, SEED) for b in sets], np.uint64) if anchors else all_[:, 0] if words == 1 else np.array([xxh64_intdigest(b, SEED) for b in raw], np.uint64)
+            columns = [batch.column("doc_id"), batch.column("content"), pa.array(node.view(np.int64)), pa.array(raw, pa.binary()), pa.array([d.tobytes() for d in dist], pa.binary()), pa.array(dist[:, 0], pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f[1]) for c, f in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
 
-    return docs.mapInArrow(run, "doc_id long, content string, node long, bits binary, dist binary, d0 int, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, content string, node long, bits binary, dist binary, d0 int, anchors array<long>, shingles binary")
 
 
 def section_keys(bits: Column, radius: int) -> Column:
@@ -199,9 +314,10 @@ def section_keys(bits: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), bits.bitwiseAND(F.lit(signed(a | b)))) for i, (a, b) in enumerate(combinations(masks, 2))])
 
 
-def near_classes(printed: DataFrame, keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """printed (written, with node) plus component_id: the least doc_id over all texts linked to a row's node."""
-    roots = components(links(keyed, words, radius))
+def near_classes(printed: DataFrame, found: DataFrame) -> DataFrame:
+    """printed (written, with node) plus component_id: the least doc_id over all texts that links (a, b) found connect to a
+    row's node."""
+    roots = components(found)
     firsts = printed.groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = keep(roots.join(firsts, "node"), "roots")
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -213,21 +329,29 @@ def near_classes(printed: DataFrame, keyed: DataFrame, words: int, radius: int)
 def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, content, fingerprint, component_id) of (doc_id, text): links at `radius` of 64 bits or fewer, exactly."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("content"), "text")
-    made = prints(text, shingle).drop("anchors")
+    made = prints(text, shingle).drop("anchors", "shingles")
     printed = keep(made, "prints")
     distinct = printed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")])
     keyed = keep(distinct.select(F.explode(section_keys(F.col("node"), radius)).alias("key"), "node", "bits", "dist", "d0"), "keyed")
-    return near_classes(printed, keyed, 1, radius).withColumn("fingerprint", F.lower(F.lpad(F.hex("node"), 16, "0")))
+    return near_classes(printed, links(keyed, 1, radius)).withColumn("fingerprint", F.lower(F.lpad(F.hex("node"), 16, "0")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, words: int = STAGE_WORDS, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, content, component_id) of (doc_id, text): texts link if they share an anchor and if their fingerprints of
-    64 x words bits agree in a share of `similarity` or more. content is the digest of the text."""
+    """(doc_id, content, component_id) of (doc_id, text): texts link if their sets of shingles have a Jaccard
+    similarity of `similarity` or more. Candidates share an anchor and have another text there whose fingerprint of 64 x words
+    bits lies within a radius that all but loses none; only their whole sets decide. content is the digest of the text."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("content"), "text")
     printed = keep(prints(text, shingle, words, anchors), "prints")
     distinct = printed.select("node", "bits", "dist", "d0", F.explode("anchors").alias("anchor")).groupBy("node", "anchor").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")])
     keyed = keep(distinct.select(F.col("anchor").alias("key"), "node", "bits", "dist", "d0"), "keyed")
-    return near_classes(printed.drop("anchors"), keyed, words, int(64 * words * (1 - similarity)))
+    ends = links(keyed, words, candidate_radius(words, similarity)).select(F.explode(F.array("a", "b")).alias("node"))
+    candidates = keep(ends.distinct(), "candidates")
+    if candidates.count() <= SENT:  # spares a shuffle of every text's set
+        candidates = F.broadcast(candidates)
+    sets = printed.select("node", "shingles").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = keep(sets.withColumn("size", F.length("shingles") / 8), "sets")
+    found = verified_links(keyed.select("key", "node"), sets, similarity)
+    return near_classes(printed.drop("anchors", "shingles"), found)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
