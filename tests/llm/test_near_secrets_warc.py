@@ -144,6 +144,12 @@ def test_one_of_each_with_odd_rows(spark, odd):
     assert Counter(r.doc_id for r in kept) == Counter([1, 2, 6, 7, None, 100, 120, 140])
 
 
+def test_unrelated_texts_of_one_doc_id_both_stay(spark):
+    a, b = ("one two three four five six seven " * 3).strip(), ("eight nine ten eleven twelve thirteen " * 3).strip()
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, "alone"), (4, "alone")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()) == sorted([(1, a), (1, b), (4, "alone")])
+
+
 def brute_spans(text):
     rules = [("assign", secrets.BASE[0].pattern, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
     out = [(m.start(), i, m.end(), k) for i, (k, p, g, least) in enumerate(rules) for m in re.finditer(p, text or "") if len(m[g]) >= least]

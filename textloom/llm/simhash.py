@@ -315,14 +315,14 @@ def section_keys(bits: Column, radius: int) -> Column:
 
 
 def near_classes(printed: DataFrame, found: DataFrame) -> DataFrame:
-    """printed (written, with node) plus component_id: the least doc_id over all texts that links (a, b) found connect to a
-    row's node."""
+    """printed (written, with node) plus root, which names a row's class: the least node that links (a, b) found connect to
+    the row's; and component_id: the least doc_id of the class."""
     roots = components(found)
     firsts = printed.groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = keep(roots.join(firsts, "node"), "roots")
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = joined.join(least, "root").select("node", "component_id")
-    of = firsts.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    linked = joined.join(least, "root").select("node", "root", "component_id")
+    of = firsts.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
     return printed.join(of, "node")
 
 
@@ -337,7 +337,7 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, words: int = STAGE_WORDS, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, content, component_id) of (doc_id, text): texts link if their sets of shingles have a Jaccard
+    """(doc_id, content, root, component_id) of (doc_id, text): texts link if their sets of shingles have a Jaccard
     similarity of `similarity` or more. Candidates share an anchor and have another text there whose fingerprint of 64 x words
     bits lies within a radius that all but loses none; only their whole sets decide. content is the digest of the text."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("content"), "text")
@@ -355,13 +355,13 @@ def near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: f
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each near-duplicate class: that with the least doc_id (of rows that share
-    it, one). Rows with a null doc_id stay only where their whole class has none, one for each text."""
+    """docs without all but one document of each near-duplicate class: that with the least doc_id (of rows of the
+    class that share it, one; classes of unrelated texts that share it keep one each). Rows with a null doc_id stay only where their whole class has none, one for each text."""
     classes = keep(near_duplicates(docs, **options), "classes")
-    w = classes.groupBy("doc_id", "content", "component_id").agg(F.count("*").alias("n"))
+    w = classes.groupBy("doc_id", "content", "root", "component_id").agg(F.count("*").alias("n"))
     mine = w.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("component_id").isNull(), F.col("content"))
-    one = mine.groupBy("component_id", alone.alias("_alone")).agg(F.min(F.struct("content", "n", "doc_id")).alias("k")).select("k.*")
+    one = mine.groupBy("root", alone.alias("_alone")).agg(F.min(F.struct("content", "n", "doc_id")).alias("k")).select("k.*")
     keys = one.select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), F.col("n").alias("_n"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (digest(docs["text"]) == F.col("_content"))
     found = docs.join(keys, same)
