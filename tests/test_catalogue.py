@@ -49,6 +49,17 @@ def test_pack_batches_fill_their_budget(spark, sf):
             assert sums.loc[a, "sum"] + costs[costs.batch == b]["cost"].iloc[0] > 512
 
 
+def test_region_links_of_every_box(spark, tmp_path):
+    """All boxes are linked, those of orders above 4000 too: against brute force."""
+    line = [(o, n, (o * 37 + n * 11) % 900) for o in [*range(1, 400, 7), *range(3990, 4400, 5), *range(90000, 90400, 3)] for n in range(1, 4)]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    boxes = sorted((o * 8 + n, o % 97, p % 400, n * 20) for o, n, p in line)
+    want = {(m, i, j) for i, m, x, y in boxes for j, k, u, v in boxes if i < j and m == k and abs(x - u) <= 34 and abs(y - v) <= 16}
+    got = catalogue.QUERIES["region_links"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.image, r.a, r.b) for r in got} == want
+    assert any(a > 4000 * 8 + 7 for _, a, _ in want)
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
