@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.storage import written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the cluster's shared folder and read again, so that what it numbers stays numbered."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/textloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["global_rank", "written"]
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
