@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -12,6 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.operators.joins import fresh, keyed_join, salted_join
+from textloom.storage import drop, scratch, temporaries
+from textloom.storage import written as keep
+
+__all__ = ["WORD", "WORD_PY", "digest", "drop", "fresh", "keep", "keyed_join", "ordered_sums", "salted_join", "scratch", "table", "temporaries"]
+
 #: A word of the contracts: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_PY = r"[^\x20\x09-\x0d]+"
@@ -22,38 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path before the application ends."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def digest(text: Column) -> Column:
     """Content address of a text; null and empty differ."""
     return F.when(text.isNull(), F.lit("null")).otherwise(F.sha2(text, 256))
@@ -67,8 +39,10 @@ def ordered_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     distinct places. The result is written, so places are stable. Adds before, row (long, unique), _g, _task and _local.
     """
     key = F.xxhash64(*[F.col(c) for c in group]) if group else F.lit(0).cast("long")
-    ranged = df.withColumn("_g", key).repartitionByRange(*[F.col(c) for c in [*group, *order]])
-    ranged = ranged.sortWithinPartitions(*[F.col(c) for c in [*group, *order]]).withColumn("_task", F.spark_partition_id().cast("long"))
+    by = [F.col(c) for c in [*group, *order]]
+    # the tie lets a range end among rows that are equal in all of these columns
+    ranged = df.withColumns({"_g": key, "_tie": F.monotonically_increasing_id()}).repartitionByRange(*by, "_tie").drop("_tie")
+    ranged = ranged.sortWithinPartitions(*by).withColumn("_task", F.spark_partition_id().cast("long"))
     schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType()), T.StructField("row", T.LongType())])
 
     def run(batches):
