@@ -1,8 +1,13 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, kept as flat neighbour arrays.
 
 Distinct vectors are dealt to shards of about SHARD members by hash, so each shard is a sample of all. A shard's graph is
-loaded in bulk: a level at a time, neighbours chosen by the diversity heuristic of HNSW from each node's exact nearest
-members of that level, plus their reverse links. A query block is searched in every shard and the shard results merged.
+loaded in bulk: a level at a time, neighbours chosen by the diversity heuristic of HNSW from each node's nearest members
+of that level, plus their reverse links. Up to this size a matrix product finds these members in less time than searches
+for each insertion would. Every node can be reached from the first of the top level: one that pruning has cut off is
+linked again by a spare place of the nearest node that can be reached. All distances are double and taken from differences
+of components, so a common offset or tight clusters cancel nothing.
+
+Query blocks are searched in every shard and the shard results merged. An index goes to a task once for GROUP blocks.
 """
 
 from __future__ import annotations
@@ -11,103 +16,142 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, table
 
-SHARD, LINKS, NEAR, EF, BLOCK = 4096, 16, 64, 160, 512
+SHARD, LINKS, NEAR, EF, BLOCK, GROUP = 16384, 16, 64, 256, 512, 32
+STEP = 4  #: candidates that a query expands at once
+BASE = 6  #: one member in so many is also a member of the next level
 K, QUERIES = 10, 100
-INDEX = "shard int, n int, dim int, vectors binary, ids binary, offsets binary, members binary, links binary"
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances, float32, of rows of a to rows of b."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+INDEX = "id int, n int, dim int, wide boolean, vectors binary, ids binary, offsets binary, members binary, links binary"
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v about its mean, as double, shrunk where squares could overflow; the order of distances stays."""
+    v = v.astype(np.float64)
+    big = np.abs(v).max(initial=0)
+    v = v / (big if big > 1e100 else 1.0)
+    return v - v.mean(axis=0)
+
+
+def nearest_members(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, squared distances) of the `most` nearest others of each row of v, nearest first. A product of matrices
+    finds a few more, differences order them."""
+    n = len(v)
+    c = min(most, n - 1)
+    near, own = np.empty((n, c), np.int64), np.empty((n, c))
+    norms = (v * v).sum(1)
+    for a in range(0, n, BLOCK):
+        block = v[a : a + BLOCK]
+        d = norms[None] - 2 * block @ v.T
+        d[np.arange(len(block)), np.arange(a, a + len(block))] = np.inf
+        wide = min(c + 8, n - 1)
+        some = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+        exact = ((v[some] - block[:, None]) ** 2).sum(2)
+        order = np.argsort(exact, axis=1, kind="stable")[:, :c]
+        near[a : a + BLOCK], own[a : a + BLOCK] = np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+    return near, own
+
+
+def chosen(v: np.ndarray, near: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """For each row of v the places (columns of `near`) of up to `most` neighbours: one is taken if it is closer to the row
+    than to any taken before; what room is left goes to the closest of the others. -1 fills up."""
+    n, c = near.shape
+    out = np.full((n, min(most, c)), -1)
+    for a in range(0, n, BLOCK):
+        rel = v[near[a : a + BLOCK]] - v[a : a + BLOCK, None]
+        sq = own[a : a + BLOCK]
+        apart = sq[:, :, None] + sq[:, None] - 2 * rel @ rel.transpose(0, 2, 1)
+        taken, count = np.zeros(sq.shape, bool), np.zeros(len(sq), int)
+        for j in range(c):
+            taken[:, j] = (count < most) & ~(taken[:, :j] & (apart[:, j, :j] < sq[:, j : j + 1])).any(axis=1)
+            count += taken[:, j]
+        out[a : a + BLOCK] = np.argsort(np.where(taken, 0, c) + np.arange(c), axis=1)[:, :most]
+    return out
 
 
-def chosen(d: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
-    """For each node up to `most` of its candidates `near` (ordered by distance): one is taken if it is closer to the
-    node than to any taken before; what room is left goes to the closest of the others. -1 fills up."""
-    n, c = near.shape
-    own = np.take_along_axis(d, np.maximum(near, 0), axis=1)
-    taken = np.zeros((n, c), bool)
-    count = np.zeros(n, int)
-    for j in range(c):
-        ok = (near[:, j] >= 0) & (count < most)
-        for k in range(j):
-            ok &= ~(taken[:, k] & (d[near[:, j], near[:, k]] < own[:, j]))
-        taken[:, j] = ok
-        count += ok
-    rank = np.where(near < 0, 2 * c, np.where(taken, 0, c) + np.arange(c))
-    pick = np.argsort(rank, axis=1, kind="stable")[:, :most]
-    return np.where(np.take_along_axis(rank, pick, axis=1) < 2 * c, np.take_along_axis(near, pick, axis=1), -1).astype(np.int32)
+def reached(links: np.ndarray, start: int, seen: np.ndarray) -> None:
+    """Marks in `seen` what can be reached from `start`."""
+    seen[start] = True
+    front = np.array([start])
+    while len(front):
+        to = np.unique(links[front])
+        front = to[(to >= 0) & ~seen[np.maximum(to, 0)]]
+        seen[front] = True
 
 
 def build(vectors: np.ndarray, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels from 0 up: (members, flat neighbours): neighbours are positions in `vectors`, a row per member."""
-    n = len(vectors)
-    level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
+    """Levels from 0 up: (members, flat neighbours): neighbours are positions in `vectors`, a row per member. The last
+    neighbour of a row is the spare place."""
+    n, x = len(vectors), scaled(vectors)
+    level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(BASE)).astype(int)
+    root = int(level.argmax()) if n else 0
     out = []
     for at in range(int(level.max(initial=0)) + 1):
         members = np.flatnonzero(level >= at)
         most = 2 * LINKS if at == 0 else LINKS
-        v = vectors[members]
-        d = distances(v, v)
-        np.fill_diagonal(d, np.inf)
-        c = min(NEAR, len(members) - 1)
-        if c <= 0:
-            out.append((members, np.full((len(members), most), -1, np.int32)))
-            continue
-        near = np.argpartition(d, c - 1, axis=1)[:, :c]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-        links = chosen(d, near, most // 2)
-        # reverse links: the closest first, as far as there is room
-        src, col = np.nonzero(links >= 0)
-        dst = links[src, col]
-        order = np.lexsort((d[dst, src], dst))
-        src, dst = src[order], dst[order]
-        place = np.arange(len(dst)) - np.searchsorted(dst, dst)
-        both = np.full((len(members), most), -1, np.int32)
-        both[:, : links.shape[1]] = links
-        fits = place < most - most // 2
-        both[dst[fits], most // 2 + place[fits]] = src[fits]
-        both.sort(axis=1)
-        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1  # linked both ways
-        out.append((members, np.where(both >= 0, members[both], -1).astype(np.int32)))
+        v, half = x[members], most // 2
+        links = np.full((len(members), most + 1), -1)
+        if len(members) > 1:
+            near, own = nearest_members(v, NEAR)
+            places = chosen(v, near, own, half)
+            mine, dist = np.take_along_axis(near, places, 1), np.take_along_axis(own, places, 1)
+            links[:, : mine.shape[1]] = mine
+            # reverse links: the closest first, as far as there is room
+            src, dst = np.repeat(np.arange(len(members)), mine.shape[1]), mine.ravel()
+            order = np.lexsort((src, dist.ravel(), dst))
+            src, dst = src[order], dst[order]
+            place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+            fits = place < most - half
+            links[dst[fits], half + place[fits]] = src[fits]
+            links[:, :most] = np.sort(links[:, :most], axis=1)
+            links[:, 1:most][links[:, 1:most] == links[:, : most - 1]] = -1  # linked both ways
+            seen = np.zeros(len(members), bool)
+            reached(links, int(np.searchsorted(members, root)), seen)
+            while not seen.all():
+                lost, hosts = int(np.argmin(seen)), np.flatnonzero(seen & (links[:, most] < 0))
+                links[hosts[((v[hosts] - v[lost]) ** 2).sum(1).argmin()], most] = lost
+                reached(links, lost, seen)
+        out.append((members, np.where(links >= 0, members[links], -1).astype(np.int32)))
     return out
 
 
 def search(queries: np.ndarray, vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], ef: int = EF) -> tuple[np.ndarray, np.ndarray]:
     """(positions, squared distances) of the `ef` nearest found of each query, -1 and inf filling up. All queries step
-    together: each expands its nearest unexpanded candidate until none is left among its best `ef`."""
+    together: each expands its nearest unexpanded candidates until none is left among its best `ef`."""
     q, n = len(queries), len(vectors)
-    norms = (vectors * vectors).sum(1)
-    own = (queries * queries).sum(1)
     top = levels[-1][0]
     beam = np.full((q, ef), -1)
-    dist = np.full((q, ef), np.inf, np.float32)
+    dist = np.full((q, ef), np.inf)
     start = top[: min(ef, len(top))]
     beam[:, : len(start)] = start
-    dist[:, : len(start)] = distances(queries, vectors[start])
+    dist[:, : len(start)] = ((queries[:, None] - vectors[start][None]) ** 2).sum(2)
     for at in range(len(levels) - 1, -1, -1):
         members, links = levels[at]
         row = np.full(n, -1)
         row[members] = np.arange(len(members))
-        seen = np.zeros((q, n), bool)
-        r = np.repeat(np.arange(q), ef)
-        seen[r[beam.ravel() >= 0], beam.ravel()[beam.ravel() >= 0]] = True
+        seen = np.zeros((q, n + 1), bool)  # the last column takes what is no neighbour
+        seen[:, n] = True
+        seen[np.arange(q)[:, None], np.where(beam >= 0, beam, n)] = True
         open_ = beam >= 0
         while True:
-            best = np.where(open_, dist, np.inf)
-            pick = best.argmin(axis=1)
-            live = np.flatnonzero(np.isfinite(best[np.arange(q), pick]))
+            live = np.flatnonzero(open_.any(axis=1))
             if not len(live):
                 break
-            open_[live, pick[live]] = False
-            to = links[row[beam[live, pick[live]]]]
-            fresh = (to >= 0) & ~seen[live[:, None], np.maximum(to, 0)]
-            seen[live[:, None].repeat(to.shape[1], 1)[fresh], to[fresh]] = True
-            d = own[live][:, None] + norms[np.maximum(to, 0)] - 2 * np.einsum("qd,qkd->qk", queries[live], vectors[np.maximum(to, 0)])
-            d = np.where(fresh, np.maximum(d, 0), np.inf).astype(np.float32)
+            best = np.where(open_[live], dist[live], np.inf)
+            pick = np.argpartition(best, STEP - 1, axis=1)[:, :STEP] if ef > STEP else np.argsort(best, axis=1)
+            good = np.isfinite(np.take_along_axis(best, pick, 1))
+            open_[live[:, None], pick] &= ~good
+            to = np.where(good[:, :, None], links[row[beam[live[:, None], pick]]], -1).reshape(len(live), -1)
+            to = np.where(to >= 0, to, n)
+            fresh = ~seen[live[:, None], to]
+            to = np.sort(np.where(fresh, to, n), axis=1)
+            fresh = (to < n) & np.concatenate((np.ones((len(live), 1), bool), to[:, 1:] != to[:, :-1]), axis=1)
+            seen[live[:, None], to] = True
+            r, c = np.nonzero(fresh)
+            d = np.full(to.shape, np.inf)
+            d[r, c] = ((vectors[to[r, c]] - queries[live[r]]) ** 2).sum(1)
             alln, alld = np.concatenate([beam[live], np.where(fresh, to, -1)], 1), np.concatenate([dist[live], d], 1)
             allo = np.concatenate([open_[live], fresh], 1)
             order = np.argpartition(alld, ef - 1, axis=1)[:, :ef]
@@ -115,6 +159,15 @@ def search(queries: np.ndarray, vectors: np.ndarray, levels: list[tuple[np.ndarr
     return beam, dist
 
 
+def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a to b in double; components beyond the root of the largest double are scaled first."""
+    d = np.abs(a.astype(np.float64) - b.astype(np.float64))
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt((d * d).sum(1))
+        big = d.max(axis=1, initial=0)
+        return np.where(np.isfinite(out), out, big * np.sqrt(((d / np.maximum(big, 1)[:, None]) ** 2).sum(1)))
+
+
 def usable(v: Column) -> Column:
     """Not null, empty, zero, or with a null or non-finite component."""
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -129,86 +182,111 @@ def classes(vectors: DataFrame, most: int) -> DataFrame:
     return part.groupBy("vec").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
-def index(of: DataFrame, shards: int) -> DataFrame:
-    """A row per shard of (shard, vec, ids): INDEX, its arrays as little-endian binary."""
+def flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
 
-    def made(shard: int, vecs: list, ids: list) -> pa.RecordBatch:
-        v = np.array(vecs, np.float32)
-        levels = build(v.astype(np.float32), shard)
-        pack = lambda parts, kind: b"".join(np.concatenate([[len(p)], np.ravel(p)]).astype(kind).tobytes() for p in parts)
-        offsets = np.cumsum([0, *map(len, ids)])
-        columns = [shard, len(v), v.shape[1], v.astype("<f4").tobytes(), np.concatenate(ids).astype("<i8").tobytes(), offsets.astype("<i4").tobytes(), pack([m for m, _ in levels], "<i4"), pack([k for _, k in levels], "<i4")]
-        kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+def index(of: DataFrame, shards: int, wide: bool) -> DataFrame:
+    """A row per shard of (id, vec, ids), ids from 0: INDEX, its arrays as little-endian binary."""
+
+    def made(shard: int, vecs: list, ids: list, counts: list) -> pa.RecordBatch:
+        v, i, c = np.concatenate(vecs), np.concatenate(ids), np.concatenate(counts)
+        levels = build(v, shard)
+        pack = lambda parts: b"".join(np.concatenate([[len(p)], np.ravel(p)]).astype("<i4").tobytes() for p in parts)
+        columns = [shard, len(v), v.shape[1], wide, v.astype("<f8" if wide else "<f4").tobytes(), i.astype("<i8").tobytes(), np.concatenate([[0], np.cumsum(c)]).astype("<i4").tobytes(), pack([m for m, _ in levels]), pack([k for _, k in levels])]
+        kinds = [pa.int32()] * 3 + [pa.bool_()] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     def run(batches):
-        shard, vecs, ids = None, [], []
+        shard, vecs, ids, counts = None, [], [], []
         for batch in batches:
-            for s, v, i in zip(*[batch.column(c).to_pylist() for c in ("shard", "vec", "ids")], strict=True):
-                if s != shard and vecs:
-                    yield made(shard, vecs, ids)
-                    vecs, ids = [], []
-                shard = s
-                vecs.append(v)
-                ids.append(i)
+            s = batch.column("id").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if s[a] != shard and vecs:
+                    yield made(shard, vecs, ids, counts)
+                    vecs, ids, counts = [], [], []
+                shard, part = int(s[a]), batch.slice(a, b - a)
+                vecs.append(flat(part.column("vec")).reshape(b - a, -1))
+                ids.append(flat(part.column("ids")))
+                counts.append(part.column("ids").value_lengths().to_numpy())
         if vecs:
-            yield made(shard, vecs, ids)
+            yield made(shard, vecs, ids, counts)
 
-    return of.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.element_at("ids", 1)).mapInArrow(run, INDEX)
+    dealt = of.select("id", "vec", "ids").repartitionById(shards, "id")
+    return dealt.sortWithinPartitions("id", F.element_at("ids", 1)).mapInArrow(run, INDEX)
 
 
-def levels_of(members: bytes, links: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    m, k = np.frombuffer(members, "<i4"), np.frombuffer(links, "<i4")
+def levels_of(members: np.ndarray, links: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out, i, j = [], 0, 0
-    while i < len(m):
-        n, rows = m[i], k[j]
-        width = 2 * LINKS if not out else LINKS
-        out.append((m[i + 1 : i + 1 + n], k[j + 1 : j + 1 + rows * width].reshape(rows, width)))
+    while i < len(members):
+        n, rows = members[i], links[j]
+        width = (LINKS if out else 2 * LINKS) + 1
+        out.append((members[i + 1 : i + 1 + n], links[j + 1 : j + 1 + rows * width].reshape(rows, width)))
         i, j = i + 1 + n, j + 1 + rows * width
     return out
 
 
+def found_by(shard: dict, ask: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query_id, vec_id, score) of the k best of all that a shard's search has found, ties to the lesser id."""
+    v, ids, offsets = shard["v"], shard["ids"], shard["offsets"]
+    shift = np.abs(v).max(initial=0)
+    by = shift if shift > 1e100 else 1.0
+    beam, dist = search(q.astype(np.float64) / by, v.astype(np.float64) / by, shard["levels"])
+    out = []
+    for i, (b, d) in enumerate(zip(beam, dist, strict=True)):
+        # the k + 1 best vectors have k ids besides the query's own; those as near as the last of them tie with it
+        last = np.sort(d)[min(k, len(d) - 1)]
+        b = b[(b >= 0) & (d <= last * (1 + 1e-9))]
+        scores = euclidean(v[b], q[i])
+        mine = sorted((s, int(x)) for s, c in zip(scores.tolist(), b.tolist(), strict=True) for x in ids[offsets[c] : offsets[c + 1]] if x != ask[i])
+        out += [(int(ask[i]), x, s) for s, x in mine[:k]]
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found to each of queries (query_id, vec) among vectors (vec_id,
     vec), by Euclidean distance in double precision, the query's own id left out, ties to the lesser vec_id. Vectors of
-    another length than the query's are no candidates."""
-    of = classes(vectors, k + 1).withColumn("dim", F.size("vec"))
-    of = keep(of, "vectors")
-    sizes = {r["dim"]: r["n"] for r in of.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    first, shard, spans, total = F.lit(0), F.lit(0), {}, 0
-    for dim, n in sorted(sizes.items()):  # one length, unless the table is mixed
-        count = -(-n // SHARD)
-        shard = F.when(F.col("dim") == dim, F.lit(total) + F.pmod(F.xxhash64("vec"), F.lit(count))).otherwise(shard)
-        spans[dim] = (total, total + count - 1)
-        total += count
-    made = keep(index(of.withColumn("shard", shard.cast("int")), max(total, 1)), "index")
-
-    blocks = -(-queries.count() // BLOCK)
-    queries = queries.withColumn("dim", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
-    grouped = queries.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("queries"))
-    span = F.lit(None).cast("array<int>")
-    for dim, (low, high) in spans.items():
-        span = F.when(F.col("dim") == dim, F.sequence(F.lit(low), F.lit(high))).otherwise(span)
-    asked = grouped.withColumn("shard", F.explode(span)).select("shard", "queries")
+    another length than the query's are no candidates. Components are float or double."""
+    wide = vectors.schema["vec"].dataType.elementType == T.DoubleType()
+    of = keep(classes(vectors, k + 1).withColumn("dim", F.size("vec")), "vectors")
+    count = F.ceil(F.count("*") / SHARD).cast("int")
+    before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)  # a row per length
+    plan = of.groupBy("dim").agg(count.alias("shards")).withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int"))
+    plan = F.broadcast(keep(plan, "plan"))
+    total = plan.agg(F.sum("shards")).first()[0] or 0
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dealt = of.join(plan, "dim").withColumn("id", (F.col("first") + F.pmod(F.xxhash64("vec"), F.col("shards"))).cast("int"))
+    made = keep(index(dealt, total, wide), "index")
+
+    queries = keep(queries.withColumn("dim", F.size("vec")), "queries")
+    blocks = -(-queries.count() // BLOCK) or 1
+    grouped = queries.groupBy("dim", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("query_id").alias("asked"), F.flatten(F.collect_list("vec")).alias("query_vecs"))
+    groups = -(-blocks // GROUP)
+    part = lambda id_, group: (id_ * groups + group).cast("int")
+    asked = grouped.join(plan, "dim").withColumn("id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)))
+    asked = asked.select(part(F.col("id"), F.pmod(F.col("block"), F.lit(groups))).alias("part"), (F.col("block") + 1).alias("turn"), "asked", "query_vecs")
+    sent = made.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: part(F.col("id"), g)))).withColumn("turn", F.lit(0))
 
     def run(batches):
+        shard: dict = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                v = np.frombuffer(r["vectors"], "<f4").reshape(r["n"], r["dim"])
-                ids, offsets = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["offsets"], "<i4")
-                ask = np.array([x["query_id"] for x in r["queries"]], np.int64)
-                q = np.array([x["vec"] for x in r["queries"]], np.float32)
-                beam, dist = search(q, v, levels_of(r["members"], r["links"]))
-                out = []
-                for i, (b, d) in enumerate(zip(beam, dist, strict=True)):
-                    b = b[np.argsort(d, kind="stable")][: k + 8]  # float32 order, more than k for its rounding
-                    b = b[b >= 0]
-                    exact = np.sqrt(((v[b].astype(np.float64) - q[i].astype(np.float64)) ** 2).sum(1))
-                    found = sorted((s, int(x)) for s, c in zip(exact.tolist(), b.tolist(), strict=True) for x in ids[offsets[c] : offsets[c + 1]] if x != ask[i])
-                    out += [(ask[i], x, s) for s, x in found[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    found = asked.join(made, "shard").select("queries", "n", "dim", "vectors", "ids", "offsets", "members", "links").mapInArrow(run, "query_id long, vec_id long, score double")
+            raw = {c: batch.column(c) for c in batch.schema.names}
+            binary = lambda c, i, kind, raw=raw: np.frombuffer(raw[c][i].as_buffer(), kind)
+            for i in range(batch.num_rows):
+                if raw["turn"][i].as_py() == 0:
+                    v = binary("vectors", i, "<f8" if raw["wide"][i].as_py() else "<f4").reshape(raw["n"][i].as_py(), -1)
+                    levels = levels_of(binary("members", i, "<i4").copy(), binary("links", i, "<i4").copy())
+                    shard = {"part": raw["part"][i].as_py(), "v": v.copy(), "ids": binary("ids", i, "<i8").copy(), "offsets": binary("offsets", i, "<i4").copy(), "levels": levels}
+                elif shard and shard["part"] == raw["part"][i].as_py():
+                    ask = raw["asked"][i].values.to_numpy(zero_copy_only=False)
+                    q = raw["query_vecs"][i].values.to_numpy(zero_copy_only=False).reshape(len(ask), -1)
+                    out = found_by(shard, ask, q, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    both = sent.unionByName(asked, allowMissingColumns=True).repartitionById(total * groups, "part").sortWithinPartitions("part", "turn")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -220,6 +298,8 @@ def op1_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks with the least; an empty table gives no rows; extra columns are not read.
     """
     e = table(spark, sf_dir, "embeddings")
-    vectors = e.select(e["vec_id"].cast("long").alias("vec_id"), e["embedding"].alias("vec")).where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
+    kind = e.schema["embedding"].dataType.elementType
+    vec = e["embedding"] if kind in (T.FloatType(), T.DoubleType()) else e["embedding"].cast("array<double>")
+    vectors = e.select(e["vec_id"].cast("long").alias("vec_id"), vec.alias("vec")).where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
     queries = vectors.where(F.col("vec_id") % QUERIES == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
     return nearest(vectors, queries)
