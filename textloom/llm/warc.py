@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and the reader that checks what it wrote.
 
-The order of page_id, cut where the payload bytes add up to a shard, decides which records stand in which shard; a shard
-rolls to a new file by compressed size. Tasks write under temporary names that hold a random part. Spark keeps the
+The order of page_id and digest, cut where the bytes of the payloads add up to a shard, decides which records stand in
+which shard; a shard rolls to a new file by compressed size. Tasks write under temporary names that hold a random part. Spark keeps the
 manifest rows of one attempt of each task, and only the files that these name get their final names; the manifest is
 written last, and a reader takes the files that it names.
 """
@@ -15,14 +15,16 @@ import io
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, keep, scratch, table
+from .common import drop, keep, keyed_join, ordered_sums, scratch, table
 
-SHARD_BYTES, SHARDS, BINS = 32 << 20, 4096, 1 << 16
+SHARD_BYTES, SHARDS = 32 << 20, 1 << 16
 ROLL_BYTES = 64 << 20
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"  #: pages carry no fetch time, and the clock would make files differ between runs
@@ -95,6 +97,11 @@ class Roller:
         return row
 
 
+def place(page_id: int | None, digest: str) -> tuple:
+    """The key of the order of records: null page_ids first."""
+    return page_id is not None, page_id or 0, digest
+
+
 def batch_of(rows: list, ddl: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string()}
     fields = [f.strip().split(" ") for f in ddl.split(",")]
@@ -108,25 +115,28 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     are revisits that name it; of rows that share that page_id too, one is. A null page_id is never named: payloads that
     only such rows have are all responses.
     """
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     thin = keep(pages.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "payloads")
     firsts = thin.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    refs = thin.join(firsts, "digest").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    firsts = keep(firsts.select("digest", F.col("first").alias("refers_to")), "firsts")
+    refs = keyed_join(thin, firsts, ["digest"]).select("page_id", "digest", "refers_to").distinct()
 
-    low, high, total = thin.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + 512)).first()
-    size = max(shard_bytes, (total or 0) // SHARDS)
-    width = (float(high or 0) - float(low or 0) + 1) / BINS
-    bin_ = F.coalesce(F.floor((F.col("page_id").cast("double") - float(low or 0)) / width), F.lit(0)).cast("int")
-    bins = thin.groupBy(bin_.alias("bin")).agg(F.sum(F.col("bytes") + 512).alias("b"))  # BINS + 1 rows at most
-    before = F.sum("b").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = keep(bins.select("bin", F.floor(F.coalesce(before, F.lit(0)) / size).cast("long").alias("shard")), "bins")
-    shards = bins.agg(F.count_distinct("shard")).first()[0] or 1
+    # a shard begins where the bytes of all records before it, in order of page_id and digest, add up to it
+    sized = thin.withColumn("bytes", F.col("bytes") + 512)
+    size = max(shard_bytes, -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // SHARDS))
+    placed = ordered_sums(sized, [], ["page_id", "digest"], "bytes", "order").withColumn("run", F.floor(F.col("before") / size))
+    cuts = sorted(place(*r["first"]) for r in placed.groupBy("run").agg(F.min(F.struct("page_id", "digest")).alias("first")).collect())  # SHARDS + 1 rows at most
+
+    @F.pandas_udf("long")
+    def shard_of(page: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, place(None if p is None else int(p), d)) - 1 for p, d in zip(page, digest, strict=True)], dtype="int64")
 
     rows = pages.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)).unionByName(refs.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("bin", bin_).join(F.broadcast(bins), "bin").drop("bin")
+    rows = rows.withColumn("shard", shard_of(F.col("page_id").cast("string"), "digest"))
     # a reference stands just before the pages that it is about: no join has to carry payloads
-    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    rows = rows.repartitionById(max(len(cuts), 1), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def write(batches):
         roller, about, named = Roller(path, roll_bytes), None, False
@@ -156,7 +166,6 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
                     fs.move(f"{at}/{temporary}", f"{at}/{name}")
             yield batch
 
-    spark = pages.sparkSession
     written.repartition("name").mapInArrow(commit, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
     drop(spark, f"{path}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
