@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import digest, keep, scratch, table
+from .common import digest, fresh, keep, keyed_join, scratch, table
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def may_match(rule: Rule, text: Column) -> Column:
 
 
 def find_spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kind_no, kind, start, end) of (blob, text, todo): leftmost non-overlapping matches of each rule in todo, in
+    """(blob, rule, kind_no, kind, start, end) of (blob, text, todo): leftmost non-overlapping matches of each rule in todo, in
     code points. Where matches stand follows from the lengths of the texts between them, which the same pattern splits."""
     any_ = reduce(lambda a, b: a | b, [F.array_contains("todo", r.name) & may_match(r, F.col("text")) for r in rules])
     hit = keep(blobs.where(any_), "hits")
@@ -65,18 +65,18 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         through = Window.partitionBy("blob").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum(F.col("gap") + F.col("len")).over(through)
         rows = rows.withColumn("end", end).where(F.col("value") >= rule.least)
-        return rows.select("blob", F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), (F.col("end") - F.col("len")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+        return rows.select("blob", F.lit(rule.name).alias("rule"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), (F.col("end") - F.col("len")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
     return reduce(DataFrame.unionByName, [of(i, r) for i, r in enumerate(rules)])
 
 
 class Ledger:
-    """Two tables at a path: scanned (blob, rules) and findings (blob, kind_no, kind, start, end). A scan writes a part of
+    """Two tables at a path: scanned (blob, rules) and findings (blob, rule, kind_no, kind, start, end). A scan writes a part of
     each, findings first, so a scan that broke off is repeated and its rows count once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.scanned_schema, self.finding_schema = "blob string, rules array<string>", "blob string, kind_no int, kind string, start long, end long"
+        self.scanned_schema, self.finding_schema = "blob string, rules array<string>", "blob string, rule string, kind_no int, kind string, start long, end long"
 
     def _read(self, name: str, schema: str) -> DataFrame:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -108,10 +108,16 @@ class Ledger:
 
 
 def spans_of(ledger: Ledger, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, spans): spans as structs (start, kind_no, end, kind), in order of start, then of the rules."""
-    order = {r.kind: i for i, r in enumerate(rules)}
-    of = ledger.findings().where(F.col("kind").isin(*order))
-    return of.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "kind"))).alias("spans"))
+    """(blob, spans): spans of these versions of the rules as structs (start, kind_no, end, kind), in order of start, then
+    of the rules."""
+    of = ledger.findings().where(F.col("rule").isin(*[r.name for r in rules]))
+    return keep(of.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "kind"))).alias("spans")), "spans")
+
+
+def at_paths(paths: DataFrame, found: DataFrame, spans: str) -> DataFrame:
+    """Rows of paths with the findings of their blob, null where there are none. Copies of one blob spread over tasks."""
+    blob = found.columns[0]
+    return keyed_join(paths, found, [blob], "left", weight=F.greatest(F.size(spans), F.lit(1)))
 
 
 def joined(spans: Column) -> Column:
@@ -119,21 +125,22 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span in `text` replaced by `mark`; overlapping spans give one mark."""
-    names = ["_blob", "_spans"]
-    found = spans_of(ledger, rules).select(F.col("blob").alias(names[0]), F.col("spans").alias(names[1]))
-    texts = docs.join(found, digest(docs["text"]) == found[names[0]], "left")
+    """docs with every span in `text` replaced by `mark`; overlapping spans give one mark. Every other column, of any name,
+    stays as it is; a null text stays null; repeated rows stay."""
+    blob, spans = fresh("_blob", docs), fresh("_spans", docs)
+    found = spans_of(ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    texts = at_paths(docs.withColumn(blob, digest(docs["text"])), found, spans)
 
     def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] + 1 >= acc["at"]
+        new = s["start"] + 1 >= acc["at"]
         gap = F.substring(F.col("text"), acc["at"].cast("int"), F.greatest(s["start"] + 1 - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.concat(acc["out"], gap, F.when(fresh, mark).otherwise("")).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.concat(acc["out"], gap, F.when(new, mark).otherwise("")).alias("out"))
 
     def rest(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int"), F.length("text")))
 
-    clean = F.aggregate(F.col(names[1]), F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out")), cut, rest)
-    return texts.withColumn("text", F.when(F.col(names[1]).isNull(), F.col("text")).otherwise(clean)).drop(*names)
+    clean = F.aggregate(F.col(spans), F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out")), cut, rest)
+    return texts.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def scan_texts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> Ledger:
@@ -153,10 +160,12 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans_of(scan_texts(docs), RULES)
     base = [r.kind for r in BASE]
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    per = found.select("blob", *[count(k) for k in base], F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
-    paths = docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(docs["text"]).alias("blob"))
+    paths = keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(docs["text"]).alias("blob")), "paths")
+    per = at_paths(paths, found, "spans")
+    per = per.select("doc_id", *[count(k) for k in base], F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), F.when(F.col("spans").isNotNull(), joined(F.col("spans"))).alias("spans"))
+    per = per.withColumns({f"n_{k}": F.when(F.col("spans").isNotNull(), F.col(f"n_{k}")) for k in base})
     none = {"n_assign": F.lit(0).cast("long"), "n_access": F.lit(0).cast("long"), "n_hex": F.lit(0).cast("long"), "base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")}
-    return paths.join(per, "blob", "left").select("doc_id", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
+    return per.select("doc_id", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def _sql() -> str:
