@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from .common import keep, table
 
 TRAIN_DOCS = 12_000  #: the classifier's labelled rows: at most so many, those of least hash
-TERMS = 2_000  #: the lexicon's terms: at most so many, those of most evidence
-STEM, LONGEST = 4, 9
+STEM, LONGEST = 4, 9  #: letters of a beginning of words: the least, and the most; longer words are whole terms
 WINDOW = 8
 THRESHOLD = 0.3
 STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’…-_*#/\\|~`^+=&%$@"
@@ -95,7 +94,7 @@ class Lexicon:
         return self.numbers[key]
 
     def step(self, at: int, ch: str) -> int:
-        if len(self.sets) > 200_000:  # made anew as the words need it
+        if len(self.sets) > 50_000:  # made anew as the words need it
             pairs = self.sets[at]
             self.reset()
             at = self.state(set(pairs))
@@ -128,7 +127,7 @@ class Lexicon:
 class Hits(dict):
     """Word to (term number, edits) or None, remembered for `most` words."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 300_000):
+    def __init__(self, lexicon: Lexicon, most: int = 100_000):
         self.lexicon, self.most = lexicon, most
 
     def __missing__(self, word: str):
@@ -139,7 +138,8 @@ class Hits(dict):
         if found is None and len(bare) >= 4 and not bare.isalpha() and (plain := word.translate(LEET).strip(STRIP)).isalpha() and sum(map(str.isalpha, bare)) >= 2:
             found = self.lexicon.find(plain)
             found = found and (found[0], found[1] + 1)
-        self[word] = found
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -227,7 +227,7 @@ def candidates(train: DataFrame) -> DataFrame:
                 mine: Counter = Counter()
                 for w, n in Counter((text or "").lower().split()).items():
                     w = w.strip(STRIP)
-                    if 3 <= len(w) <= 30:
+                    if len(w) >= 3:  # find() looks at no shorter words either
                         mine[w, False] += n
                     for k in range(STEM, min(LONGEST, len(w)) + 1):
                         mine[w[:k], True] += n
@@ -258,13 +258,13 @@ def learn_terms(train: DataFrame) -> list[Term]:
     odds = F.log((F.col("toxic") + 0.5) / (bad["n"] + 1)) - F.log((F.col("clean") + 0.5) / (good["n"] + 1))
     rate = F.log((F.col("in_toxic") + 0.5) / (bad["w"] + 1)) - F.log((F.col("in_clean") + 0.5) / (good["w"] + 1))
     found = candidates(train).where(F.col("toxic") >= least).withColumn("odds", odds).withColumn("rate", rate).where("rate >= 2.5 and odds >= 1.5")
-    rows = found.orderBy(F.desc(F.col("rate") * F.sqrt("toxic")), "term", "stem").limit(4 * TERMS).collect()
+    rows = found.orderBy(F.desc(F.col("rate") * F.sqrt("toxic")), "term", "stem").collect()  # out of TRAIN_DOCS texts; each stands in `least` toxic ones or more
     stems: dict[str, Term] = {}
     for r in sorted((r for r in rows if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
         if not any(r["term"][:k] in stems for k in range(STEM, len(r["term"]))):
             stems[r["term"]] = Term(r["term"], True, 1 if len(r["term"]) >= 6 else 0, min(r["odds"], 6.0))
     whole = [Term(r["term"], False, 2 if len(r["term"]) >= 9 else 1 if len(r["term"]) >= 5 else 0, min(r["odds"], 6.0)) for r in rows if not r["stem"] and r["toxic"] >= 2 * least]
-    return [*stems.values(), *whole][:TERMS]
+    return [*stems.values(), *whole]
 
 
 def read_hits(train: DataFrame, terms: list[Term]) -> DataFrame:
