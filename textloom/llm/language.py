@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, keyed_join, table
 from .toxicity import held_out
 
 TRAIN_DOCS = 10_000  #: the text model's labelled rows: at most so many, those of least hash
@@ -130,35 +130,52 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
-def code_logs(rows: DataFrame, code: str, n: int) -> DataFrame:
-    """(code, log likelihood of the code by language) from soft counts over all rows that have one."""
-    per = rows.where(F.col(code).isNotNull()).groupBy(code).agg(*sums("post", n)).select(code, packed(n).alias("c"))
-    whole = per.agg(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).select(packed(n).alias("all"))
-    mix = F.zip_with("c", "all", lambda c, a: F.log((c + SMOOTH_CODE) / (a + SMOOTH_CODE * n)) * TRUST)
-    return per.crossJoin(F.broadcast(whole)).select(F.col(code).alias(f"_{code}"), mix.alias(f"{code}_logs"))  # `whole` is one row
+def counts_of(rows: DataFrame, code: str, n: int) -> DataFrame:
+    """(code, its soft counts by language) of all rows that have one."""
+    return keep(rows.where(F.col(code).isNotNull()).groupBy(code).agg(*sums("post", n)).select(code, packed(n).alias(f"{code}_c")), code)
+
+
+def everywhere(rows: DataFrame, n: int) -> list[float]:
+    """The soft counts by language of all rows."""
+    got = rows.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
+    return [got[i] for i in range(n)]
+
+
+def without_own(counts: Column, own: Column) -> Column:
+    """Soft counts less the row's own posterior: its text is no evidence for what else speaks about it."""
+    return F.zip_with(counts, own, lambda c, p: F.greatest(c - p, F.lit(0.0)))
+
+
+def code_logs(code: str, all_: list[float], n: int) -> Column:
+    """The log likelihood by language of a row's code, out of the soft counts of the other rows, TRUST of it; null without
+    a code."""
+    others = without_own(F.col(f"{code}_c"), F.col("post"))
+    whole = without_own(F.array(*map(F.lit, all_)), F.col("post"))
+    return F.zip_with(others, whole, lambda c, a: F.log((c + SMOOTH_CODE) / (a + SMOOTH_CODE * n)) * TRUST)
 
 
 def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
-    """Adds lang, probability and text_lang to rows with logs, declared, address, domain and host (any of these null)."""
+    """Adds lang, probability and text_lang to rows with logs, declared, address, domain and host (any of these null). A
+    host, code or domain that a third of all rows have spreads over tasks."""
     n = len(langs)
     rows = scored.withColumn("tempered", F.transform("logs", lambda x: x * TEMPER))
-    rows = rows.withColumn("post", softmax(F.col("tempered")))
-    everywhere = rows.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
-    count = sum(everywhere[i] for i in range(n))
-    root = F.array(*[F.lit((everywhere[i] + 1) / (count + n)) for i in range(n)])
-    domain = rows.where("domain is not null").groupBy("domain").agg(*sums("post", n)).select("domain", packed(n).alias("c"))
-    domain = domain.select("domain", F.zip_with("c", root, lambda c, r: (c + SMOOTH_HOST * r) / (total(F.col("c")) + SMOOTH_HOST)).alias("domain_p"))
+    rows = keep(rows.withColumn("post", softmax(F.col("tempered"))), "posteriors")
+    all_ = everywhere(rows, n)
+    root = F.array(*[F.lit((c + 1) / (sum(all_) + n)) for c in all_])
+    domain = counts_of(rows, "domain", n)
+    domain = domain.select("domain", F.zip_with("domain_c", root, lambda c, r: (c + SMOOTH_HOST * r) / (total(F.col("domain_c")) + SMOOTH_HOST)).alias("domain_p"))
     host = rows.where("host is not null").groupBy("host", "domain").agg(*sums("post", n)).select("host", "domain", packed(n).alias("host_c"))
-    host = host.join(domain, "domain", "left").select(F.col("host").alias("_host"), "host_c", F.coalesce("domain_p", root).alias("domain_p"))
-    out = rows.join(host, F.col("host") == F.col("_host"), "left")
-    for code in ("declared", "address"):
-        out = out.join(code_logs(rows, code, n), F.col(code) == F.col(f"_{code}"), "left")
-    # a row's own text is no evidence for its host's prior
-    others = F.zip_with("host_c", "post", lambda c, p: F.greatest(c - p, F.lit(0.0)))
-    prior = F.when(F.col("host_c").isNull(), root).otherwise(F.zip_with(others, "domain_p", lambda c, p: (c + SMOOTH_HOST * p) / (total(F.col("host_c")) - 1 + SMOOTH_HOST)))
+    host = keep(host.join(domain, "domain", "left").select("host", "host_c", F.coalesce("domain_p", root).alias("domain_p")), "hosts")
+    out = keyed_join(rows, host, ["host"], "left")
+    with_code = {code: counts_of(rows.where(F.col(code).isNotNull()), code, n) for code in ("declared", "address")}
+    for code, counts in with_code.items():
+        out = keyed_join(out, counts, [code], "left")
+    prior = F.when(F.col("host_c").isNull(), root).otherwise(F.zip_with(without_own(F.col("host_c"), F.col("post")), "domain_p", lambda c, p: (c + SMOOTH_HOST * p) / (total(F.col("host_c")) - 1 + SMOOTH_HOST)))
     add = lambda a, b: F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
     logs = F.zip_with("tempered", prior, lambda x, p: x + F.log(F.greatest(p, F.lit(1e-12))))
-    out = out.withColumn("fused", add(add(logs, F.col("declared_logs")), F.col("address_logs")))
+    for code in with_code:
+        logs = add(logs, code_logs(code, all_, n))
+    out = out.withColumn("fused", logs)
     name = lambda a: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(a, F.array_max(a)).cast("int"))
     return out.select(*scored.columns, name(F.col("fused")).alias("lang"), F.array_max(softmax(F.col("fused"))).alias("probability"), name(F.col("tempered")).alias("text_lang"))
 
