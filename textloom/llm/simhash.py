@@ -3,8 +3,8 @@
 Every fingerprint carries its Hamming distances to fixed reference fingerprints. Two fingerprints within r of each other
 differ by at most r in each of these distances, so a pair with a larger difference anywhere is discarded unread, and only
 survivors are compared bit by bit. That alone would still look at every pair, so pairs are first confined to buckets that
-lose none of them: for radius r, fingerprints cut into r + 2 sections agree in two sections at least. Buckets above HOT
-members are cut into chunks along the first distance and chunk pairs are dealt out as tasks of their own.
+lose none of them: for radius r, fingerprints cut into r + a sections agree in a sections at least. The more fingerprints,
+the larger a, so that buckets stay small: two sections have 25 bits, three 32, four 37. Buckets above HOT members are cut into chunks along the first distance and chunk pairs are dealt out as tasks of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, keep, ordered_sums, table
+from .common import digest, fresh, keep, keyed_join, ordered_sums, salted_join, table, temporaries
 from .graph import components
 
 PIVOTS = 16
@@ -306,24 +306,34 @@ def prints(docs: DataFrame, shingle: int, words: int = 1, anchors: int = 0) -> D
     return docs.mapInArrow(run, "doc_id long, content string, node long, bits binary, dist binary, d0 int, anchors array<long>, shingles binary")
 
 
-def section_keys(bits: Column, radius: int) -> Column:
-    """Bucket keys of a 64-bit fingerprint (long): each pair of radius + 2 sections, two of which differ in no bit."""
-    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+def sections_for(fingerprints: int, radius: int) -> int:
+    """How many sections to agree in: two, or as many more as keep a bucket of evenly spread fingerprints small."""
+    agree = 2
+    while agree < 5 and fingerprints >> (64 * agree // (radius + agree)) > 4:
+        agree += 1
+    return agree
+
+
+def section_keys(bits: Column, radius: int, agree: int = 2) -> Column:
+    """Bucket keys of a 64-bit fingerprint (long): each choice of `agree` among radius + agree sections, of which at least
+    so many differ in no bit. The number of sections changes the work, never the links."""
+    n = radius + agree
+    cuts = [round(64 * i / n) for i in range(n + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return F.array(*[F.xxhash64(F.lit(i), bits.bitwiseAND(F.lit(signed(a | b)))) for i, (a, b) in enumerate(combinations(masks, 2))])
+    return F.array(*[F.xxhash64(F.lit(i), bits.bitwiseAND(F.lit(signed(sum(c))))) for i, c in enumerate(combinations(masks, agree))])
 
 
 def near_classes(printed: DataFrame, found: DataFrame) -> DataFrame:
     """printed (written, with node) plus root, which names a row's class: the least node that links (a, b) found connect to
     the row's; and component_id: the least doc_id of the class."""
-    roots = components(found)
-    firsts = printed.groupBy("node").agg(F.min("doc_id").alias("first"))
+    firsts = keep(printed.groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
+    roots = keep(components(found), "components")
     joined = keep(roots.join(firsts, "node"), "roots")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = joined.join(least, "root").select("node", "root", "component_id")
+    least = keep(joined.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    linked = keyed_join(joined, least, ["root"]).select("node", "root", "component_id")
     of = firsts.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
-    return printed.join(of, "node")
+    return salted_join(printed, of, ["node"])  # copies of a text share a node
 
 
 def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -331,8 +341,9 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("content"), "text")
     made = prints(text, shingle).drop("anchors", "shingles")
     printed = keep(made, "prints")
-    distinct = printed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")])
-    keyed = keep(distinct.select(F.explode(section_keys(F.col("node"), radius)).alias("key"), "node", "bits", "dist", "d0"), "keyed")
+    distinct = keep(printed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")]), "fingerprints")
+    keys = section_keys(F.col("node"), radius, sections_for(distinct.count(), radius))
+    keyed = keep(distinct.select(F.explode(keys).alias("key"), "node", "bits", "dist", "d0"), "keyed")
     return near_classes(printed, links(keyed, 1, radius)).withColumn("fingerprint", F.lower(F.lpad(F.hex("node"), 16, "0")))
 
 
@@ -356,18 +367,25 @@ def near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: f
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each near-duplicate class: that with the least doc_id (of rows of the
-    class that share it, one; classes of unrelated texts that share it keep one each). Rows with a null doc_id stay only where their whole class has none, one for each text."""
-    classes = keep(near_duplicates(docs, **options), "classes")
+    class that share it, one; classes of unrelated texts that share it keep one each). Rows with a null doc_id stay only
+    where their whole class has none, one for each text. Null and empty texts are two texts of one class; every column
+    of docs stays, of any name; an empty table stays empty."""
+    doc, content, n = fresh("_doc", docs), fresh("_content", docs), fresh("_n", docs)
+    with temporaries(docs.sparkSession) as outlives:
+        classes = outlives(near_duplicates(docs.select("doc_id", "text"), **options), "classes")
     w = classes.groupBy("doc_id", "content", "root", "component_id").agg(F.count("*").alias("n"))
     mine = w.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("component_id").isNull(), F.col("content"))
     one = mine.groupBy("root", alone.alias("_alone")).agg(F.min(F.struct("content", "n", "doc_id")).alias("k")).select("k.*")
-    keys = one.select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), F.col("n").alias("_n"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (digest(docs["text"]) == F.col("_content"))
-    found = docs.join(keys, same)
-    single = found.where("_n = 1").drop("_doc", "_content", "_n")
-    several = found.where("_n > 1").dropDuplicates(["_doc", "_content"]).drop("_doc", "_content", "_n")
-    return single.unionByName(several)
+    # a missing doc_id is no key of a join
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    keys = keep(one.select(key(F.col("doc_id")).alias(doc), F.col("content").alias(content), F.col("n").alias(n)), "kept")
+    named = docs.withColumns({doc: key(docs["doc_id"].cast("long")), content: digest(docs["text"])})
+    out = named.join(keys.where(F.col(n) == 1).drop(n), [doc, content], "left_semi").drop(doc, content)
+    several = keys.where(F.col(n) > 1).drop(n)
+    if not several.isEmpty():
+        out = out.unionByName(keyed_join(named, keep(several, "repeated"), [doc, content], "left_semi").dropDuplicates([doc, content]).drop(doc, content))
+    return out
 
 
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
