@@ -27,7 +27,7 @@ def test_should_translate(spark):
 
 
 def test_scalars(spark):
-    assert column(spark, ["12", "③", "xiv", "item 42b", "none", None], X.to_int_tolerant) == [12, 3, 14, 42, 0, 0]
+    assert column(spark, ["12", "③", "㊿", "xiv", "贰", "item 42b", "none", None], X.to_int_tolerant) == [12, 3, 50, 14, 2, 42, 0, 0]
     assert column(spark, ["ab", "字a"], X.cells) == [2, 3]
     assert column(spark, ["00:01:02,500", "x", None], X.cue_seconds) == [62.5, None, None]
     assert column(spark, [59.9999, 3661.5], X.srt_time, "double") == ["00:01:00,000", "01:01:01,500"]
@@ -37,15 +37,21 @@ def test_scalars(spark):
     assert column(spark, ['```json\n{"1": "a",}\n```', 'say {"translation": "b"} now', "plain", '{"text": "c"}'], X.plain_reply) == ["a", "b", "plain", "c"]
     assert column(spark, ["=1", "-x", "ok", "a\x01b"], X.safe_cell) == [" =1", " -x", "ok", "ab"]
     assert column(spark, ["1.10", "1.9"], X.version_parts) == [[1, 10], [1, 9]]
-    assert column(spark, ["429 Too Many Requests", "HTTP 401", "boom", None], X.error_class) == ["rate", "auth", "other", "other"]
-    assert column(spark, ["• a", "1. b", "(a) c", "3.5 d"], X.without_numbering) == ["a", "b", "c", "3.5 d"]
+    assert column(spark, ["Too Many Requests", "Request timed out", "Insufficient Balance", "boom", None], X.error_class) == ["rate_limit", "timeout", "hard", "unknown", "unknown"]
+    assert column(spark, [429, 402, 503, 400, 422, 413, 200], lambda c: X.error_class(F.lit("x"), c), "int") == ["rate_limit", "hard", "server", "invalid_request", "invalid_request", "too_large", "unknown"]
+    assert column(spark, ["insufficient_quota", "Invalid API key", "x"], X.fatal_class) == ["insufficient_balance", "invalid_key", "api_error"]
+    assert column(spark, ["• a", "1. b", "- words", "- ab", "-x", "3.5 d", "2022.12", "•"], X.without_numbering) == ["a", "1. b", "words", "- ab", "-x", "3.5 d", "2022.12", "•"]
+    assert column(spark, ["• a"], lambda c: X.without_numbering(c, False)) == ["• a"]
+    assert column(spark, [45, 60, 125, 3600, 5400, 3661], X.duration, "long") == ["45s", "1m", "2m 5s", "1h", "1h 30m", "1h 1m 1s"]
+    assert column(spark, [500, 12_500, None], X.short_count, "long") == ["500", "12.5K", "0"]
 
 
 VALID = [
     ("100%", "100%", "en", "de", True), ("https://x.y", "https://x.y", "en", "de", True), ("a@b.co", "a@b.co", "en", "de", True), ("Hello", " hello ", "en", "de", False),
     ("Hello", "Hallo", "en", "de", True), ("Hello", "", "en", "de", False), ("Hello", "Hallo", "en", "zh", False), ("Hello", "你好", "en", "zh", True), ("你好", "你好", "zh", "en", False),
     ("abc", "abc", "zh", "en", True), ("Hi %s", "Hallo", "en", "de", False), ("Hi %s {n}", "{n} Hallo %s", "en", "de", True), ("Hi {{X}}", "Hallo", "en", "de", False), ("Hi", "na " * 60, "en", "de", False),
-    ("Hi", "Chào", "en", "vi", True),
+    ("Hi", "Chào", "en", "vi", True), ("Straße", "STRASSE", "de", "fr", False), ("Hi", "a line\nof text\n" * 12, "en", "de", False), ("Hi {!x}", "Hallo", "en", "de", False), ("95% of it", "95 % davon", "en", "de", True),
+    ("Hi", "In the beginning was a sentence which goes on for longer than its source but says other things.", "de", "en", True),
 ]
 
 
@@ -102,8 +108,17 @@ def test_a_missing_chunk_gives_the_source(spark):
 
 
 def test_greedy_batches():
-    assert segments.greedy([3, 3, 5, 20, 1], 6) == [0, 0, 1, 2, 3]
-    assert segments.greedy([], 6) == []
+    machine = segments.Greedy(6, 0)
+    assert [row for c in [3, 3, 5, 20, 1] for row in machine.add(c)] == [(3, 0), (3, 0), (5, 1), (20, 2), (1, 3)]
+
+
+def test_fold_runs_a_machine_a_key(spark):
+    rows = spark.createDataFrame([(i % 7, i, float(i)) for i in range(5000)], "k long, o int, v double")
+    got = segments.fold(rows.repartition(9), "k", ["o"], lambda: segments.Greedy(1e4, 2), "k long, o int, v double, b int").collect()
+    for k in range(7):
+        machine = segments.Greedy(1e4, 2)
+        assert sorted(tuple(r) for r in got if r.k == k) == [r for i in range(k, 5000, 7) for r in machine.add(k, i, float(i))]
+    assert segments.fold(rows.limit(0), "k", ["o"], lambda: segments.Greedy(1, 2), "k long, o int, v double, b int").collect() == []
 
 
 def test_glossary_rules(spark):
@@ -122,18 +137,49 @@ def test_retention_and_names(spark):
 
 
 def test_cues_and_boxes(spark):
-    c = spark.createDataFrame([(1, 0.0, 0.5, "a"), (1, 0.6, 1.0, "b"), (1, 3.0, 6.0, "c")], "doc_id long, start double, end double, text string")
-    assert [(r.start, r.end, r.text) for r in timeline.merge_cues(c, 42).orderBy("start").collect()] == [(0.0, 1.0, "a b"), (3.0, 6.0, "c")]
+    rows = [(1, 0.0, 0.5, "Hi."), (1, 0.6, 1.0, "there"), (1, 3.0, 6.0, "A short fine line."), (2, 0.0, 1.0, "好。"), (2, 1.1, 3.0, "是的"), (3, 0.0, 1.3, "a"), (3, 1.4, 2.7, "b"), (4, 0.0, 1.0, "w" * 60), (4, 1.0, 2.0, "w" * 60)]
+    c = spark.createDataFrame(rows, "doc_id long, start double, end double, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.text) for r in timeline.merge_cues(c, 42).collect())
+    assert got == [(1, 0.0, 1.0, "Hi. there"), (1, 3.0, 6.0, "A short fine line."), (2, 0.0, 3.0, "好。是的"), (3, 0.0, 1.3, "a"), (3, 1.4, 2.7, "b"), (4, 0.0, 1.0, "w" * 60), (4, 1.0, 2.0, "w" * 60)]
     b = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 12.0, 1.0, 22.0, 11.0), (1, 3, 0.0, 100.0, 10.0, 110.0)], "image long, id long, x0 double, y0 double, x1 double, y1 double")
     assert {r.id: r.grp for r in timeline.box_groups(b, timeline.boxes_linked(b, 5.0)).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r.id: r["rank"] for r in timeline.reading_order(b, right_to_left=True).collect()} == {2: 0, 1: 1, 3: 2}
 
 
+def test_boxes_of_all_sizes_meet_once(spark):
+    """Against brute force: page-wide, tiny and overlapping boxes, several images."""
+    import random
+
+    random.seed(8)
+    boxes = []
+    for i in range(240):
+        x, y, h = random.uniform(0, 300), random.uniform(0, 300), random.choice((3, 8, 12, 20, 45))
+        boxes.append((i % 3, i, x, y, x + random.choice((5, 30, 600)), y + h * random.uniform(0.9, 1.1)))
+    df = spark.createDataFrame(boxes, "image long, id long, x0 double, y0 double, x1 double, y1 double")
+    want = set()
+    for a in boxes:
+        for b in boxes:
+            ha, hb = a[5] - a[3], b[5] - b[3]
+            if a[0] == b[0] and a[1] < b[1] and max(a[2], b[2]) - min(a[4], b[4]) <= 12 and max(a[3], b[3]) - min(a[5], b[5]) <= 12 and max(ha, hb) <= 1.8 * min(ha, hb):
+                want.add((a[0], a[1], b[1]))
+    links = timeline.boxes_linked(df)
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    up = {(b[0], b[1]): b[1] for b in boxes}
+    for _ in range(len(boxes)):
+        for m, a, b in want:
+            up[m, a] = up[m, b] = min(up[m, a], up[m, b])
+    assert {(r.image, r.id): r.grp for r in timeline.box_groups(df, links).collect()} == up
+
+
 def test_voice_segments_and_limits():
     v, out = speech.VoiceSegments(), []
     for i in range(400):
         out += v.add(i * 16, 50 <= i < 150 or 250 <= i < 253)
-    assert out == [(50 * 16 - 500, 150 * 16)]
+    onset = 56 * 16  # six frames are 96 ms of voice
+    assert out == [(onset - 500, (150 + 57) * 16)]  # 57 frames are 912 ms of silence
+    v = speech.VoiceSegments()
+    assert [x for i in range(4000) for x in v.add(i * 16, True)][0] == (0, 30000)
     limit = speech.Limit()
     assert limit.add(False) == 4
     assert [limit.add(True) for _ in range(12)][-1] == 5
@@ -146,14 +192,17 @@ def test_voice_segments_and_limits():
 
 def test_agreement_commits_everything_once():
     a = speech.Agreement()
-    out = [a.add(t, f) for t, f in (("the cat", False), ("the cat sat on", False), ("the cat sat on a mat", False), ("the cat sat on a mat.", True))]
-    assert out[0] == "" and "".join(out) == "the cat sat on a mat."
+    grown = ("The cat sat.", "The cat sat. It", "Well, the cat sat. It was glad", "Well, the cat sat, it was glad.", "Well, the cat sat, it was glad. And")
+    out = [a.add(t, f) for t, f in zip(grown, (False, False, False, False, True), strict=True)]
+    assert out == [[], ["The cat sat."], [], [], ["it was glad.", "And"]]
+    a = speech.Agreement("so we went", "")
+    assert a.tail("so we went on") == " on" and a.tail("Oh, so we went, home") == "home" and a.tail("entirely other words") == "ther words"
 
 
 def test_stream_equals_batch(spark, tmp_path):
     """Each file holds both keys' next hypotheses; the stream takes a file a time and gives what the batch gives."""
     schema = "key long, n long, text string, final boolean"
-    grown = ("so we", "so we go", "so we go on and", "so we go on and on.")
+    grown = ("So we go. And", "So we go. And on", "So we go. And on we go. For", "So we go. And on we go. For ever.")
     for i, t in enumerate(grown):
         spark.createDataFrame([(k, i, t, i == 3) for k in (1, 2)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -164,6 +213,6 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     want = speech.commits(spark.read.schema(schema).parquet(str(tmp_path / "in")))
-    joined = lambda df: {k: "".join(r.text for r in sorted(df, key=lambda r: r.n) if r.key == k) for k in (1, 2)}
-    assert joined(want.collect()) == {1: grown[-1], 2: grown[-1]}
+    joined = lambda df: {k: [r.text for r in sorted(df, key=lambda r: r.n) if r.key == k] for k in (1, 2)}
+    assert joined(want.collect()) == {k: ["So we go.", "And on we go.", "For ever."] for k in (1, 2)}
     assert joined(spark.table("committed").collect()).keys() == {1, 2}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textloom.functions import tokens as K
 
 
-@pytest.mark.parametrize("text, want", [("Hi %s and %1$d of 100%", ["%s", "%1$d"]), ("${HOME}/$USER", ["${HOME}", "$USER"]), ("{n, plural, one {# item} other {# items}} x", ["{n, plural, one {# item} other {# items}}"]), ("{{HLINK_1}} stays {0}", ["{0}"]), ("{ } {", [])])
+@pytest.mark.parametrize("text, want", [("Hi %s and %1$d of 100%", ["%s", "%1$d"]), ("${HOME}/$USER", ["${HOME}", "$USER"]), ("{n, plural, one {# item} other {# items}} x", ["{n, plural, one {# item} other {# items}}"]), ("{{HLINK_1}} stays {0}", ["{0}"]), ("{ } {", ["{ }"]), ("100%% {!x} 50% off $2", ["%%", "{!x}"]), ("{a}} {{b} {c", [])])
 def test_tokens_and_masks(text, want):
     assert [text[a:b] for a, b in K.token_spans(text)] == want
     masked, kept = K.mask(text)
@@ -27,7 +27,7 @@ def test_unknown_and_repeated_marks():
 
 def test_replies():
     assert K.merged_json('x {"1": "a}", "2": "b",} y {"2": "c"} {bad}') == {"1": "a}", "2": "c"}
-    assert K.term_list('so: [["a", "b"], {"src": "c", "dst": "d"}, ["x"], 3] end') == [("a", "b"), ("c", "d")]
+    assert K.term_list('so: [["a", "b"], {"src": "c", "dst": "d"}, {"source": "e", "target": "f"}, ["same", "same"], ["x"], 3] end') == [("a", "b"), ("c", "d"), ("e", "f")]
     assert K.term_list("junk") == []
 
 
@@ -41,19 +41,26 @@ def test_cues_are_cut_at_sense_and_keep_their_text():
     assert [t for _, _, t in got] == ["One sentence here.", "Another sentence there, and a clause."]
     assert got[0][0] == 0.0 and got[-1][1] == 9.0 and got[0][1] == got[1][0]
     assert K.split_cue(0.0, 3.0, "short") == [(0.0, 3.0, "short")]
+    assert len(K.split_cue(0.0, 2.0, "Too many words to read. In so little time as this.", fastest=10.0)) > 1
+    words = [(0.5 * i, 0.5 * i + 0.5, w + " ") for i, w in enumerate("Hello there friend. This is a long sentence that should be split now.".split())]
+    got = K.split_cue(0.0, 12.0, "".join(w for _, _, w in words), words=words)
+    assert got[0] == (0.0, 1.5, "Hello there friend.") and all(a < b for a, b, _ in got)
+    assert K.split_cue(0.0, 90.0, "nowheretocutthis") == [(0.0, 90.0, "nowheretocutthis")]
 
 
 def test_units_wait_for_more():
-    text = "This is a first sentence that is long enough. And this one goes on for a while, then stops"
+    text = "Short. This is a second sentence. And this one goes on for a while, then it does not stop but goes on"
     some, used = K.units(text, False)
-    rest, _ = K.units(text[used:], True)
-    assert some == ["This is a first sentence that is long enough."] and " ".join(some + rest) == text
+    assert some == ["Short.", "This is a second sentence.", "And this one goes on for a while,"] and text[used:] == " then it does not stop but goes on"
+    assert K.units(text[used:], True)[0] == ["then it does not stop but goes on"]
+    assert K.units("x" * 100, False) == (["x" * 88], 88) and K.units("x" * 50, False) == ([], 0)
+    assert K.units("这句话很长很长很长很长很长但是没有标点符号的时候也要断开来看看行不行呢", False)[0] == ["这句话很长很长很长很长很长"]
 
 
 def test_dates_headers_and_samples():
     assert K.english_dates("2024年3月5日 and 2023-12 and 9999-01-01") == "March 05, 2024 and December 2023 and 9999-01-01"
     assert K.header_parts('&L&"Arial"Title &P') == [("code", "&L"), ("code", '&"Arial"'), ("text", "Title "), ("code", "&P")]
-    assert len(K.sample(["x" * 20000])) == 9002 and K.sample(["a", " ", "b"]) == "a\nb"
+    assert K.sample(["a" * 9000, "b" * 9000, "c" * 9000]).count("…") == 2 and len(K.sample(["x" * 20000])) == 9006 and K.sample(["a", "", "b"]) == "a\nb"
 
 
 def test_audio_and_budgets():

@@ -1,11 +1,15 @@
-"""Column expressions over segment texts. All are native, so filters on them stay inside generated code."""
+"""Column expressions over segment texts. They are native but for two that fall back to Arrow batches where a cheap test
+asks for it: balanced braces (machine_tokens) and compression ratios (repeated)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space that str.strip() removes, and the scripts' character ranges.
+# Unicode white space that str.strip() removes, as characters and as a class; the scripts' character ranges.
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WIDE = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{ff00}-\x{ffef}]"
 SCRIPTS = {
@@ -19,6 +23,7 @@ SCRIPTS = {
 }
 CHECKED = ("zh", "zh-Hant", "ja", "ko", "ru", "th")  #: target languages whose script a translation must show
 
+# What the filter takes for no prose: times, units, top-level domains, and patterns of codes and addresses.
 TIME = r"^\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM|am|pm)$"
 _UNITS = (
     "mm|cm|dm|m|km|in|ft|yd|mi|mil|mg|g|kg|t|oz|lb|ton|lbs|ml|cl|dl|l|kl|fl\\s?oz|gal|pt|qt|cup|(mm|cm|m|km|in|ft|yd|mi)[²³]|ha|"
@@ -74,7 +79,12 @@ REJECT = (any_of(NO_PROSE, "(?i)"), any_of(NO_PROSE_CASED), f"^(?:{'|'.join(NO_P
 
 def trim_u(c: Column) -> Column:
     """c without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
+
+
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
 def count_of(c: Column, cls: str) -> Column:
@@ -84,21 +94,27 @@ def count_of(c: Column, cls: str) -> Column:
 def should_translate(c: Column, keep_out: tuple[str, ...] = ()) -> Column:
     """Whether a text holds prose. Blank and listed texts don't, wide characters always do; then times with AM or PM do,
     codes of all kinds don't, and the share of letters decides about the rest. Null is no prose."""
-    t = trim_u(F.coalesce(c, F.lit("")))
-    letters, others = count_of(t, r"\p{L}"), count_of(t, r"\p{N}")
-    no = t == ""
-    if keep_out:
-        no = no | t.isin(*keep_out)
-    codes = t.rlike(REJECT[0]) | t.rlike(REJECT[1]) | t.rlike(REJECT[2]) | t.rlike(REJECT[3])
-    return (
-        F.when(no, False)
-        .when(t.rlike(WIDE), True)
-        .when(t.rlike(TIME), True)
-        .when(letters < 2, False)
-        .when(codes, False)
-        .when(letters >= 0.6 * (letters + others), True)
-        .otherwise((F.length(t) > 8) & (letters >= 3))
-    )
+
+    def judged(t: Column) -> Column:
+        letters, others = count_of(t, r"\p{L}"), count_of(t, r"\p{N}")
+        no = t == ""
+        if keep_out:
+            no = no | t.isin(*keep_out)
+        codes = t.rlike(REJECT[0]) | t.rlike(REJECT[1]) | t.rlike(REJECT[2]) | t.rlike(REJECT[3])
+        # most texts are words: two of them next to each other are settled without counting all letters
+        words = t.rlike(r"^\p{L}{2,} \p{L}{2,}") & ~t.rlike(r"\p{N}")
+        return (
+            F.when(no, False)
+            .when(t.rlike(WIDE), True)
+            .when(t.rlike(TIME), True)
+            .when(~words & (letters < 2), False)
+            .when(codes, False)
+            .when(words, True)
+            .when(letters >= 0.6 * (letters + others), True)
+            .otherwise((F.length(t) > 8) & (letters >= 3))
+        )
+
+    return let(trim_u(F.coalesce(c, F.lit(""))), judged)
 
 
 def has_script(c: Column, lang: str) -> Column:
@@ -129,8 +145,9 @@ def srt_time(seconds: Column) -> Column:
 STRUCTURAL = r"\{\{[^}]+\}\}|\[formula_\d+\]|[␊␍]"
 SENTINEL = r"\x{e002}\d+\x{e003}"
 LOOSE = r"\{\{.*?\}\}|\$\{[^}]*\}|%\d+\$[a-zA-Z]|%[sdfgSDFG]|\{[^{}]*\}"
-#: printf, shell and brace tokens; braces nested deeper than one level need functions.tokens.
-MACHINE = r"%(?:\d+\$)?[-+0#]*(?:\d+|\*)?(?:\.\d+)?(?:hh|h|ll|l|L|q|j|z|t)?[sdiufFeEgGxXoc@]|\$\{[^{}]*\}|\$[A-Za-z_][A-Za-z0-9_]*|\{[A-Za-z0-9_][^{}]*\}"
+# Printf and shell tokens; single braces, which may nest, are functions.tokens.brace_spans'.
+PRINTF = r"%(?:%|(?:\d+\$)?[-+0#]*\d*(?:\.\d+)?[diouxXeEfFgGaAcspn])"
+SHELL = r"\$\{[A-Za-z_][\p{L}\p{N}_]*\}|\$[A-Za-z_][\p{L}\p{N}_]*"
 
 
 def tokens(c: Column, pattern: str) -> Column:
@@ -138,6 +155,17 @@ def tokens(c: Column, pattern: str) -> Column:
     return F.array_sort(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)))
 
 
+def machine_tokens(c: Column) -> Column:
+    """The multiset of printf, shell and single-brace tokens, leftmost and longest first: a sorted array, empty for null.
+    Only texts with a brace leave the JVM."""
+    from textloom.functions.tokens import arrow, machine_parts
+
+    t = F.coalesce(c, F.lit(""))
+    braced = t.contains("{")
+    with_braces = arrow(machine_parts, "array<string>")(F.when(braced, t))
+    return F.array_sort(F.when(braced, with_braces).otherwise(F.regexp_extract_all(t, F.lit(f"{PRINTF}|{SHELL}"), F.lit(0))))
+
+
 def same_tokens(a: Column, b: Column, *patterns: str) -> Column:
     out = F.lit(True)
     for p in patterns:
@@ -145,37 +173,60 @@ def same_tokens(a: Column, b: Column, *patterns: str) -> Column:
     return out
 
 
+def same_machine_tokens(a: Column, b: Column) -> Column:
+    """Whether two texts have the same machine tokens; texts without a percent, dollar or brace have none."""
+    marks = r"[%$\{]"
+    some = F.coalesce(a, F.lit("")).rlike(marks) | F.coalesce(b, F.lit("")).rlike(marks)
+    return ~some | (machine_tokens(F.when(some, a)) == machine_tokens(F.when(some, b)))
+
+
+def fold_case(c: Column) -> Column:
+    """Lower case, and one form for the letters that have two of them: long and sharp s, sigma at the end of a word."""
+    return F.replace(F.translate(F.lower(c), "ſς", "sσ"), F.lit("ß"), F.lit("ss"))
+
+
 def normalized(c: Column) -> Column:
-    return F.lower(F.regexp_replace(trim_u(c), f"{WHITE}+", " "))
+    return fold_case(F.regexp_replace(trim_u(c), f"{WHITE}+", " "))
 
 
 def repeated(original: Column, translated: Column) -> Column:
-    """A run-away repetition: 40 characters or more, far longer than the source, and a unit of up to 24 characters that
-    fills it four times over and more. (Where zlib's ratio is wanted to the byte, functions.tokens has it.)"""
-    t = trim_u(translated)
-    return (F.length(t) >= 40) & (F.length(t) > 2 * F.length(F.coalesce(original, F.lit(""))) + 40) & t.rlike(r"^.{0,24}?(.{1,24}?)\1{7,}.{0,24}$")
+    """A run-away repetition: 40 characters or more, far longer than the source, and over four bytes for each that zlib
+    needs. Only texts of such a length leave the JVM."""
+    from textloom.functions.tokens import arrow, repetition_ratio
+
+    t = trim_u(F.coalesce(translated, F.lit("")))
+    long = (F.length(t) >= 40) & (F.length(t) > 2 * F.length(F.coalesce(original, F.lit(""))) + 40)
+    return long & F.coalesce(arrow(repetition_ratio, "double")(F.when(long, t)) > 4.0, F.lit(False))
+
+
+def structure_kept(original: Column, translated: Column) -> Column:
+    """Placeholders, machine tokens and inline marks are the same: what breaks this must never be written."""
+    return same_tokens(original, translated, STRUCTURAL, SENTINEL) & same_machine_tokens(original, translated)
 
 
 def translation_valid(original: Column, translated: Column, src: str, dst: str) -> Column:
     """The checks of a translated text in their order: blank, tokens, repetition, nothing to translate, echo, script."""
     o, t = F.coalesce(original, F.lit("")), F.coalesce(translated, F.lit(""))
     echo = F.lit(src in CHECKED) & ~has_script(t, src)
+    whole = trim_u(o)
     return (
         F.when(trim_u(t) == "", False)
-        .when(~same_tokens(o, t, STRUCTURAL, MACHINE), False)
+        .when(~(same_tokens(o, t, STRUCTURAL) & same_machine_tokens(o, t)), False)
         .when(repeated(o, t), False)
         .when(~o.rlike(r"\p{L}"), True)
-        .when(trim_u(o).rlike(r"(?i)^(?:https?://|ftp://|mailto:|www\.)\S+$") | trim_u(o).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), True)
+        .when(whole.rlike(r"(?i)^(?:https?://|ftp://|mailto:|www\.)\S+$") | whole.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), True)
         .when(normalized(o) == normalized(t), echo)
         .otherwise(has_script(t, dst) if dst in CHECKED else F.lit(True))
     )
 
 
 def to_int_tolerant(c: Column) -> Column:
-    """An integer out of digits, circled digits, Roman numerals to XX, Chinese digits, else the first digits, else 0."""
+    """An integer out of digits, circled digits to 50, Roman numerals to XX, Chinese digits in both forms, else the first
+    digits, else 0."""
     t = trim_u(c.cast("string"))
     roman = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX"]
-    fixed = {**{chr(0x2460 + i): i + 1 for i in range(20)}, **{r: i + 1 for i, r in enumerate(roman)}, **{z: i for i, z in enumerate("零一二三四五六七八九十")}}
+    circled = [*range(0x2460, 0x2474), *range(0x3251, 0x3260), *range(0x32B1, 0x32C0)]
+    fixed = {**{chr(c): i + 1 for i, c in enumerate(circled)}, **{z: i + 1 for i, z in enumerate("壹贰叁肆伍陆柒捌玖拾")}, **{r: i + 1 for i, r in enumerate(roman)}, **{z: i for i, z in enumerate("零一二三四五六七八九十")}}
     named = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])
     return F.coalesce(t.try_cast("int"), F.try_element_at(named, F.upper(t)), F.regexp_extract(t, r"\d+", 0).try_cast("int"), F.lit(0))
 
@@ -248,10 +299,16 @@ def cache_key(signature: Column, text: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """1h 2m 3s, 2m 3s or 3s."""
+    """1h 2m 3s, 2m 3s or 3s; parts that are nought are left out but the only one."""
     s = seconds.cast("long")
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(s >= 3600, F.format_string("%dh %dm %ds", h, m, r)).when(s >= 60, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%ds", r))
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.concat_ws(" ", part(h, "h"), part(m, "m"), part(r, "s")))
+
+
+def short_count(n: Column) -> Column:
+    """A number of tokens, from a thousand on in K with one decimal; null is 0."""
+    return F.when(n >= 1000, F.format_string("%.1fK", n / F.lit(1000.0))).otherwise(F.coalesce(n, F.lit(0)).cast("string"))
 
 
 def version_parts(c: Column) -> Column:
@@ -267,11 +324,37 @@ def result_name(name: Column, src: str, dst: str) -> Column:
     return F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), F.lit(f"_{src}2{dst}"), F.regexp_extract(name, r"\.[^./]*$", 0))
 
 
-def error_class(c: Column) -> Column:
-    """Kind of a service's failure by what its message says."""
+# Kinds of failure by HTTP status; then by what the message says, the first that fits.
+STATUS_KINDS = {429: "rate_limit", 413: "too_large", 400: "invalid_request", 404: "invalid_request", 422: "invalid_request", 401: "hard", 402: "hard", 403: "hard", 500: "server", 502: "server", 503: "server", 504: "server"}
+MESSAGE_KINDS = (
+    ("timeout", "timed out|timeout"),
+    ("rate_limit", "rate limit|429|too many requests"),
+    ("too_large", "413|request entity too large|payload too large"),
+    ("server", "500|502|503|internal server error|service unavailable|overloaded|bad gateway"),
+    ("hard", "unauthorized|401|invalid api key|invalid_api_key|incorrect api key|authentication fails|403|forbidden|insufficient|quota|402"),
+    ("invalid_request", "400|422|invalid_request|unprocessable|bad request"),
+    ("connection", "connection|network"),
+)
+FATAL_KINDS = (("insufficient_balance", "402|insufficient|quota"), ("invalid_key", "401|403|unauthorized|forbidden|api key|invalid_api_key|authentication"))
+
+
+def _by_message(c: Column, kinds: tuple, other: str) -> Column:
     m = F.lower(F.coalesce(c, F.lit("")))
-    has = lambda *w: m.rlike("|".join(w))
-    return F.when(has("401", "invalid api key", "unauthorized"), "auth").when(has("402", "insufficient", "quota", "balance"), "quota").when(has("429", "rate limit", "too many"), "rate").when(has("404", "model not"), "model").when(has("timeout", "timed out"), "timeout").when(has("50[0-9]", "overload", "unavailable"), "server").otherwise("other")
+    return F.coalesce(*[F.when(m.rlike(p), F.lit(k)) for k, p in kinds], F.lit(other))
+
+
+def error_class(message: Column, status: Column | None = None) -> Column:
+    """Kind of a service's failure: by its status where it has one that says so, else by its message."""
+    said = _by_message(message, MESSAGE_KINDS, "unknown")
+    if status is None:
+        return said
+    named = F.create_map(*[F.lit(x) for kv in STATUS_KINDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(named, status.cast("int")), said)
+
+
+def fatal_class(message: Column) -> Column:
+    """What a failure that no retry mends is called."""
+    return _by_message(message, FATAL_KINDS, "api_error")
 
 
 def mostly(c: Column, cls: str, share: float) -> Column:
@@ -279,6 +362,15 @@ def mostly(c: Column, cls: str, share: float) -> Column:
     return (F.length(c) > 0) & (count_of(c, cls) >= share * F.length(c))
 
 
-def without_numbering(c: Column) -> Column:
-    """A paragraph without a leading bullet, or a number or letter with a dot or bracket."""
-    return F.regexp_replace(c, r"^\s*(?:[•◦▪‣·*–—-]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+)", "")
+#: What looks like a date as a whole; a text that begins like a section number.
+DATE_FORM = r"^(?:\d{4}([./-])\d{1,2}\1\d{1,2}|\d{1,2}([./-])\d{1,2}\2\d{4}|\d{1,2}\.\d{1,2}\.\d{2}|\d{4}\.\d{1,2}|\d{1,2}\.\d{4})$"
+SECTION_FORM = r"^\d+(?:\.\d+)+(?:\s|$|[\p{L}\p{N}_])"
+
+
+def without_numbering(c: Column, numbered: Column | bool = True) -> Column:
+    """A paragraph that is numbered automatically without a leading bullet, dash or star, if something is left; dates,
+    section numbers and typed numbers stay."""
+    bullet, dash = F.regexp_replace(c, r"^[•◦‣]\s*", ""), F.regexp_replace(c, r"^[-*]\s+(?=[\p{L}\p{N}_])", "")
+    numbered = F.lit(numbered) if isinstance(numbered, bool) else numbered
+    stays = ~numbered | trim_u(c).rlike(DATE_FORM) | trim_u(c).rlike(SECTION_FORM)
+    return F.when(stays, c).when((bullet != c) & (trim_u(bullet) != ""), bullet).when((dash != c) & (F.length(trim_u(dash)) > 2), dash).otherwise(c)

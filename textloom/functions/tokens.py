@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import MACHINE
+from textloom.functions.text import PRINTF, SHELL
 
 
 def arrow(fn: Callable, kind: str) -> Callable[..., Column]:
@@ -28,30 +28,36 @@ def arrow(fn: Callable, kind: str) -> Callable[..., Column]:
 
 
 OPEN, SHUT = "", ""  # Fixed values: the marks around a masked token's number
-_SIMPLE = re.compile(MACHINE.split(r"|\{")[0])
+_SIMPLE = re.compile(f"{PRINTF}|{SHELL}".replace(r"\p{L}\p{N}_", r"\w"))
+_BRACE = re.compile(r"[{}]")
+
+
+def closing(text: str, start: int) -> int | None:
+    """Where the brace that opens at `start` is closed, just behind it."""
+    depth = 0
+    for m in _BRACE.finditer(text, start):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.end()
+    return None
 
 
 def brace_spans(text: str) -> list[tuple[int, int]]:
-    """Outermost balanced single braces whose content begins like a name or number; {{ }} markers are none."""
-    found, i = [], 0
-    while i < len(text):
-        if text.startswith("{{", i):
-            end = text.find("}}", i)
-            i = end + 2 if end >= 0 else i + 2
-        elif text[i] == "{":
-            depth, j = 0, i
-            while j < len(text):
-                depth += (text[j] == "{") - (text[j] == "}")
-                j += 1
-                if not depth:
-                    break
-            if not depth and re.match(r"\{\s*[A-Za-z0-9_]", text[i:j]):
-                found.append((i, j))
-                i = j
-            else:
-                i += 1
+    """Outermost balanced single braces. What touches another brace is part of a {{ }} marker; after a brace that is never
+    closed there are none."""
+    found, at = [], text.find("{")
+    while at >= 0:
+        if text.startswith("{{", at):
+            behind: int | None = at + 2
+        elif text[at - 1 : at] in ("{", "}"):
+            behind = at + 1
         else:
-            i += 1
+            behind = closing(text, at)
+            if behind is None:
+                break
+            if not text.startswith("}", behind):
+                found.append((at, behind))
+        at = text.find("{", behind)
     return found
 
 
@@ -65,6 +71,11 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def machine_parts(text: str) -> list[str]:
+    """The machine tokens of a text, in order."""
+    return [text[a:b] for a, b in token_spans(text)]
+
+
 def mask(text: str) -> tuple[str, dict[int, str]]:
     """The text with numbered marks for its machine tokens, and the tokens by number."""
     parts, kept, at = [], {}, 0
@@ -125,58 +136,104 @@ def merged_json(text: str) -> dict[str, str]:
 
 
 def term_list(text: str) -> list[tuple[str, str]]:
-    """Pairs out of a reply's JSON array of pairs or of src, dst objects; anything else gives none."""
-    m = re.search(r"\[.*\]", text, re.S)
+    """Pairs out of a reply's JSON array of pairs, or of objects with src or source, dst or target; what is no such pair, or
+    two times the same, is left out."""
+    inner = re.search(r"\[.*\]", text or "", re.S)
     try:
-        rows = json.loads(m[0]) if m else []
+        rows = json.loads(inner[0]) if inner else []
     except ValueError:
         return []
-    pairs = [(r.get("src"), r.get("dst")) if isinstance(r, dict) else tuple(r[:2]) if isinstance(r, list) and len(r) >= 2 else (None, None) for r in rows]
-    return [(a.strip(), b.strip()) for a, b in pairs if isinstance(a, str) and isinstance(b, str) and a.strip() and b.strip()]
+
+    def pair(row) -> tuple[str, str]:
+        if isinstance(row, dict):
+            row = [row.get("src") or row.get("source"), row.get("dst") or row.get("target")]
+        a, b = (row[:2]) if isinstance(row, list) and len(row) > 1 else (None, None)
+        return tuple("" if x is None else str(x).strip() for x in (a, b))  # type: ignore[return-value]
+
+    return [(a, b) for a, b in map(pair, rows) if a and b and a != b]
+
+
+_WIDE = re.compile("[\u3000-\u9fff\uff00-\uffef]")  # the ranges of functions.text.cells
 
 
 def cells(text: str) -> int:
-    return sum(2 if "　" <= c <= "鿿" or "＀" <= c <= "￯" else 1 for c in text)
+    return len(text) + len(_WIDE.findall(text))
 
 
-def split_index(text: str) -> int:
-    """Where to cut a cue: after the sentence end nearest to the middle, else after a clause, else at a space, else there."""
-    mid = len(text) / 2
-    for marks in (r"[.!?。！？]+\s*", r"[,;:，、；：]+\s*", r"\s+"):
-        ends = [m.end() for m in re.finditer(marks, text) if 0 < m.end() < len(text)]
+def split_index(text: str) -> int | None:
+    """Where to cut a cue: behind the sentence mark nearest to the middle, else a clause mark, else a space; the first and
+    the last character are no place for a cut."""
+    for marks in (r"[。！？!?.]", r"[、，,；;:]", " "):
+        ends = [m.end() for m in re.finditer(marks, text) if 1 < m.end() < len(text)]
         if ends:
-            return min(ends, key=lambda e: abs(e - mid))
-    return int(mid)
+            return min(ends, key=lambda e: abs(e - len(text) / 2))
+    return None
+
+
+Word = tuple[float, float, str]
 
 
-def split_cue(start: float, end: float, text: str, most_cells: int = 84, longest: float = 7.0) -> list[tuple[float, float, str]]:
-    """A cue cut until each part fits; times go by the share of characters."""
-    if (end - start <= longest and cells(text) <= most_cells) or len(text) < 2:
-        return [(start, end, text.strip())]
-    at = split_index(text)
-    if not 0 < at < len(text):
-        return [(start, end, text.strip())]
-    when = start + (end - start) * at / len(text)
-    return split_cue(start, when, text[:at], most_cells, longest) + split_cue(when, end, text[at:], most_cells, longest)
+def when_spoken(at: int, start: float, end: float, text: str, words: list[Word]) -> float:
+    """The time of a place in a cue: the end of the word that reaches it, else by the share of characters."""
+    reached = 0
+    for _, until, word in words:
+        reached += len(word)
+        if reached >= at:
+            return min(max(until, start), end)
+    return start + (end - start) * at / max(len(text), 1)
+
+
+def split_cue(start: float, end: float, text: str, most_cells: int = 84, longest: float = 7.0, fastest: float = 20.0, words: list[Word] | None = None) -> list[tuple[float, float, str]]:
+    """A cue cut until each part is narrow, short and slow enough to read (`fastest`: characters a second), as far as there
+    are places to cut; a text under eight characters stays whole."""
+    text, words = (text or "").strip(), words or []
+    if not text:
+        return []
+    lasts = max(end - start, 0.001)
+    fits = cells(text) <= most_cells and len(text) <= fastest * lasts and lasts <= longest
+    at = None if fits or len(text) < 8 else split_index(text)
+    when = start if at is None else when_spoken(at, start, end, text, words)
+    if at is None or not start < when < end:
+        return [(start, end, text)]
+    more = (most_cells, longest, fastest)
+    return split_cue(start, when, text[:at], *more, [w for w in words if w[1] <= when]) + split_cue(when, end, text[at:], *more, [w for w in words if w[1] > when])
+
+
+# Marks that end a sentence or a clause, words before which a running text may be cut.
+SENTENCE_MARKS, CLAUSE_MARKS = "。！？!?.", "，、,；;"
+CONNECTIVES = tuple("然后 然後 但是 所以 因为 因為 如果 不过 不過 而且 还有 還有 其实 其實 因此 于是 於是 可是 虽然 雖然 这样 這樣".split())
+
+
+def unit_end(text: str, start: int, final: bool, least: int, target: int, hard: int) -> int | None:
+    """Where a unit of running text ends: behind a full stop, wherever it stands. Else, once the text is wide enough, behind
+    the last clause mark of those that leave `least` cells, else the last space, else before the last connective."""
+    width, cut = 0, {}
+    for i in range(start, len(text)):
+        width += cells(text[i])
+        if text[i] in SENTENCE_MARKS:
+            return i + 1
+        if width >= least:
+            if text[i] in CLAUSE_MARKS:
+                cut["clause"] = i + 1
+            elif text[i] == " ":
+                cut["space"] = i + 1
+            elif i > start and text.startswith(CONNECTIVES, i):
+                cut["connective"] = i
+        if width >= hard:
+            return cut.get("clause") or cut.get("space") or cut.get("connective") or i + 1
+    if not final and width >= target:
+        return cut.get("clause") or cut.get("space") or cut.get("connective")
+    return None
 
 
 def units(text: str, final: bool, least: int = 24, target: int = 60, hard: int = 88) -> tuple[list[str], int]:
-    """(units, characters consumed) of running text: cut where a boundary's weight less its distance from the target width
-    is best; the rest waits, unless the text is final."""
+    """(units, characters consumed) of running text; what has no end yet waits, unless the text is final."""
     out, start = [], 0
-    while cells(text[start:]) >= (1 if final else target):
-        width, best = 0, None
-        for i in range(start, len(text)):
-            width += cells(text[i])
-            weight = 60 if text[i] in ".!?。！？" else 30 if text[i] in ",;:，、；：" else 10 if text[i].isspace() else 0
-            if weight and width >= least:
-                score = weight - abs(width - target)
-                best = max(best or (score, i + 1), (score, i + 1))
-            if width >= hard:
-                break
-        end = len(text) if final and width < hard and cells(text[start:]) <= target else best[1] if best else min(len(text), i + 1) if width >= hard or final else None
-        if end is None or end <= start:
+    while start < len(text):
+        end = unit_end(text, start, final, least, target, hard)
+        if end is None and not final:
             break
+        end = len(text) if end is None else end
         out.append(text[start:end].strip())
         start = end
     return [u for u in out if u], start
@@ -205,11 +262,12 @@ def header_parts(text: str) -> list[tuple[str, str]]:
 
 
 def sample(values: list[str], size: int = 9000) -> str:
-    """A third each from the head, the middle and the tail of the joined values."""
-    text = "\n".join(v for v in values if v and v.strip())
-    third = size // 3
-    mid = (len(text) - third) // 2
-    return text if len(text) <= size else "\n".join((text[:third], text[mid : mid + third], text[-third:]))
+    """A third each from the head, the middle and the tail of the joined values, an ellipsis between."""
+    text, third = "\n".join(filter(None, values)), size // 3
+    if len(text) <= size:
+        return text
+    middle = max(0, len(text) // 2 - third // 2)
+    return "\n…\n".join((text[:third], text[middle : middle + third], text[-third:]))
 
 
 def mono(pcm: bytes, channels: int = 1) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators.joins import keyed_join
 from textloom.operators.ordering import global_rank
 
 # Report category of each segment type; any other type is `other`.
@@ -31,12 +32,10 @@ def dedup(segments: DataFrame, key: tuple[str, ...] = ("value",), order: tuple[s
     order columns with the count_deduped of their key. Partial aggregation collapses copies before the shuffle."""
     first = segments.groupBy(*key).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"))
     distinct = global_rank(first, ["first"], "count_deduped")
-    named = distinct.select(*[F.col(k).alias(f"_{k}") for k in key], "count_deduped")
-    same = [segments[k].eqNullSafe(named[f"_{k}"]) for k in key]
-    where = same[0]
-    for s in same[1:]:
-        where = where & s
-    return distinct, segments.join(named, where).select(*order, *key, "count_deduped")
+    # 128 bits stand for the key, so that no text is a key of the join; a line that many documents share is spread
+    ends = lambda df, *more: df.select(*more, F.xxhash64(*key).alias("_a"), F.xxhash64(*key, F.lit(1)).alias("_b"))
+    mapped = keyed_join(ends(segments, *order, *key), ends(distinct, "count_deduped"), ["_a", "_b"])
+    return distinct, mapped.select(*order, *key, "count_deduped")
 
 
 def fake_translate(c: Column) -> Column:
@@ -110,38 +109,71 @@ def outcome(replies: DataFrame, src: str, dst: str, last_try: bool = False) -> D
     """Adds outcome to (original, translated): translated, failed, or on the last try needs_review, where only texts whose
     tokens are whole may be kept although they are not valid."""
     ok = X.translation_valid(F.col("original"), F.col("translated"), src, dst)
-    whole = X.same_tokens(F.col("original"), F.col("translated"), X.STRUCTURAL, X.MACHINE, X.SENTINEL) & (X.trim_u(F.coalesce("translated", F.lit(""))) != "")
+    whole = X.structure_kept(F.col("original"), F.col("translated")) & (X.trim_u(F.coalesce("translated", F.lit(""))) != "")
     rest = F.when(whole, "needs_review").otherwise("failed") if last_try else F.lit("failed")
     return replies.withColumn("outcome", F.when(ok, "translated").otherwise(rest))
 
 
-def fold(df: DataFrame, key: str, order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """An order-dependent pass over the rows of each key. A key's rows are one document, conversation or stream and go to
-    one task; keys spread."""
+class Machine:
+    """A state that a key's rows pass through in order: add() and close() give rows that are ready."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return step(part.sort_values(order, kind="stable"))
+    def add(self, *row) -> list[tuple]:
+        raise NotImplementedError
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    def close(self) -> list[tuple]:
+        return []
 
 
-def greedy(costs, budget: float, least_one: bool = True) -> list[int]:
-    """Batch number of each cost: a batch ends before the item that would exceed the budget."""
-    out, batch, used = [], 0, 0.0
-    for c in costs:
-        if used and used + c > budget:
-            batch, used = batch + 1, 0.0
-        out.append(batch)
-        used += c
-    return out
+def fold(df: DataFrame, key: str, order: list[str], make: Callable[[], Machine], schema: str) -> DataFrame:
+    """An order-dependent pass over the rows of each key, which is the first column: rows are dealt and sorted by key, and
+    a task runs one machine a key over them as they stream by, so that a key of any length takes the memory of its
+    machine. A key's rows are one document, conversation or stream and go to one task; keys spread."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in kinds], kinds, strict=True)], schema=kinds)
+
+    def run(batches):
+        machine, now = None, None
+        for part in batches:
+            ready: list[tuple] = []
+            for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                if machine is None or row[0] != now:
+                    if machine is not None:
+                        ready += machine.close()
+                    machine, now = make(), row[0]
+                ready += machine.add(*row)
+            yield batch(ready)
+        yield batch(machine.close() if machine is not None else [])
+
+    columns = [key, *[c for c in df.columns if c != key]]
+    return df.select(*columns).repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+class Greedy(Machine):
+    """Rows with the number of their batch: a batch ends before the row whose cost would exceed the budget, and an
+    over-large row has one of its own. `cost` is the row's place of the cost."""
+
+    def __init__(self, budget: float, cost: int):
+        self.budget, self.cost, self.batch, self.used = budget, cost, 0, 0.0
+
+    def add(self, *row) -> list[tuple]:
+        if self.used and self.used + row[self.cost] > self.budget:
+            self.batch, self.used = self.batch + 1, 0.0
+        self.used += row[self.cost]
+        return [(*row, self.batch)]
 
 
-def pack(segments: DataFrame, budget: int, schema: str = "doc_id long, ord int, cost int, batch int") -> DataFrame:
-    """Batches of ordered segments of a document by token budget: a row's cost is that of its JSON line; one that exceeds
-    the budget stands alone."""
+def pack(segments: DataFrame, budget: int, cost: Callable[[Column], Column] = X.token_count) -> DataFrame:
+    """(doc_id, ord, cost, batch): batches of ordered segments of a document by token budget: a row's cost is that of its
+    JSON line; one that exceeds the budget stands alone."""
     line = F.to_json(F.map_from_arrays(F.array(F.col("ord").cast("string")), F.array("value")))
-    thin = segments.select("doc_id", "ord", X.token_count(line).alias("cost"))
-    return fold(thin, "doc_id", ["ord"], lambda p: p.assign(batch=greedy(p["cost"], budget))[["doc_id", "ord", "cost", "batch"]], schema)
+    thin = segments.select("doc_id", "ord", cost(line).cast("int").alias("cost"))
+    return fold(thin, "doc_id", ["ord"], lambda: Greedy(budget, 2), "doc_id long, ord int, cost int, batch int")
 
 
 def split_chunks(segments: DataFrame, limit: int = 1200) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.tokens import arrow, compatible
 
 #: A glossary up to this many terms is broadcast; a larger one is joined by its terms' first words.
 BROADCAST_TERMS = 20_000
@@ -38,8 +39,14 @@ def match(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     latin = glossary.where(F.col("src").rlike("^[A-Za-z]") & ~F.col("src").rlike(X.WIDE))
     other = glossary.where(~(F.col("src").rlike("^[A-Za-z]") & ~F.col("src").rlike(X.WIDE)))
     keyed = latin.withColumn("_w", F.regexp_extract(F.lower("src"), r"^[\p{L}\p{N}_]+", 0))
-    hits = texts.select("doc_id", "text", F.explode(words_of(F.col("text"))).alias("_w")).join(keyed, "_w").where(occurs(F.col("src"), F.col("text")))
-    found = hits.select("doc_id", "src", "dst", "ord")
+    words = texts.select("doc_id", F.explode(words_of(F.col("text"))).alias("_w"))
+    if latin.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        keyed = F.broadcast(keyed)
+    near = words.join(keyed, "_w").select("doc_id", "src", "dst", "ord")
+    # one word in Latin letters has been found as it stands; texts are looked up for the other terms only
+    single = F.col("src").rlike(r"^[A-Za-z][\p{L}\p{N}_]*$")
+    longer = near.where(~single).join(texts.select("doc_id", "text"), "doc_id").where(occurs(F.col("src"), F.col("text")))
+    found = near.where(single).unionByName(longer.select("doc_id", "src", "dst", "ord"))
     if other.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         rest = texts.join(F.broadcast(other), texts["text"].contains(other["src"]))
     else:
@@ -54,7 +61,8 @@ def first_terms(matches: DataFrame, n: int = 8) -> DataFrame:
 
 
 def normal(c: Column) -> Column:
-    return F.lower(X.trim_u(c))
+    """The form in which terms are the same: NFKC, any case, trimmed."""
+    return arrow(compatible, "string")(c)
 
 
 def merge(extracted: DataFrame, user: DataFrame) -> DataFrame:
@@ -64,11 +72,26 @@ def merge(extracted: DataFrame, user: DataFrame) -> DataFrame:
     return best.select("b.src", "b.dst")
 
 
+LEAST, MOST, KEPT = 2, 80, 60  # Fixed values: characters of a term; terms that are kept
+
+
 def noise(c: Column) -> Column:
-    """No term: one character or over 60, an address, a number, a placeholder, a sentence."""
+    """No term: too short or long, over several lines, an address, a number or version, code, a sentence."""
     t = X.trim_u(c)
     n = F.length(t)
-    return (n < 2) | (n > 60) | t.rlike(r"(?i)https?://|www\.|\S+@\S+\.\S+") | ~t.rlike(r"\p{L}") | t.rlike(r"[{}<>%$]|\[formula_") | t.rlike(r"[.!?。！？]\s*$") | (F.size(F.split(t, r"\s+")) > 6)
+    address = t.rlike(r"(?i)https?://|www\.") | t.rlike(r"[^@\s]+@[^@\s]+\.[^@\s]+")
+    sentence = t.rlike("[。！？!?…]$") | (t.rlike(r"^[\x00-\x7f]+$") & (F.size(F.split(t, r"\s+")) > 6)) | ((n > 24) & t.rlike("[，、,;；]"))
+    return (n < LEAST) | (n > MOST) | t.rlike(r"[\n\t]") | address | t.rlike(r"(?i)^[\d\s.,:%/v#x+\-—–()]+$") | t.rlike(r"[{}$%<>]") | sentence
+
+
+def cleaned(found: DataFrame, texts: DataFrame, most: int = KEPT) -> DataFrame:
+    """(src, dst, ord) of the first `most` of found terms (ord, src, dst) that are no noise, whose normal form some text of
+    (text) holds, the first of equal forms."""
+    good = found.where(~noise(F.col("src"))).withColumn("_n", normal(F.col("src")))
+    first = good.groupBy("_n").agg(F.min_by(F.struct("src", "dst", "ord"), "ord").alias("t")).select("_n", "t.*")
+    # candidates of one reply: a few, so they go to the texts, and not the texts to one place
+    held = texts.select(normal(F.col("text")).alias("_t")).join(F.broadcast(first.select("_n")), F.col("_t").contains(F.col("_n"))).select("_n").distinct()
+    return first.join(held, "_n", "left_semi").orderBy("ord").limit(most).select("src", "dst", "ord")
 
 
 def lookup(items: DataFrame, memory: DataFrame, signature: str) -> DataFrame:

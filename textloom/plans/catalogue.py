@@ -26,6 +26,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are much work: where its files make few splits, its rows are dealt anew over all tasks."""
+    df = read(spark, sf, name)
+    tasks = spark.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < 4 * tasks else df
+
+
 def q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -36,7 +43,7 @@ LINES = f"lines AS (SELECT doc_id, lang, source, i - 1 AS ord, parts[i] AS value
 
 
 def doc_lines(spark, sf, *keep):
-    return segments.lines(read(spark, sf, "documents"), *keep)
+    return segments.lines(texts(spark, sf), *keep)
 
 
 # --- segments ---------------------------------------------------------------------------------------------------------
@@ -113,7 +120,7 @@ def missing_fill(spark, sf):
 
 
 def replies(spark, sf):
-    d = read(spark, sf, "documents")
+    d = texts(spark, sf)
     t = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(segments.fake_translate(F.col("text")))
     kind = F.element_at(F.array(*map(F.lit, ["text", "footnote", "chart", "cell", "unknown"])), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select("doc_id", "source", kind.alias("type"), F.col("text").alias("original"), t.alias("translated"), (F.col("doc_id") % 13 == 0).alias("review"))
@@ -138,11 +145,10 @@ def coverage_merge(spark, sf):
     return segments.coverage(replies(spark, sf), "source").agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in ("total", "translated", "fallback", "needs_review")])
 
 
-_MACHINE_SQL = "||' %s {name} ${HOME}'"
 
 
 def pairs(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " %s {name} ${HOME}").otherwise("")).alias("original"))
+    d = texts(spark, sf).select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " %s {name} ${HOME}").otherwise("")).alias("original"))
     t = F.when(F.col("doc_id") % 10 == 0, F.replace("original", F.lit("%s"), F.lit(""))).when(F.col("doc_id") % 7 == 0, F.substring("original", 1, 5)).when(F.col("doc_id") % 11 == 0, "").otherwise(segments.fake_translate(F.col("original")))
     return d.withColumn("translated", t)
 
@@ -196,22 +202,31 @@ def script_presence(spark, sf):
     return v.select("id", *[X.has_script(F.col("text"), k).alias(k.lower().replace("-", "_")) for k in X.SCRIPTS])
 
 
-_TOKENS = lambda c: f"list_sort(regexp_extract_all({c}, '{q(X.MACHINE)}'))"
+# written out by hand: no document has nested braces
+_TOKENS = lambda c: f"list_sort(regexp_extract_all({c}, '%%|%[0-9]*[diouxXeEfFgGaAcspn]|[$][{{][A-Za-z_]+[}}]|[$][A-Za-z_][A-Za-z0-9_]*|[{{][^{{}}]*[}}]'))"
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, CASE WHEN translated = '' THEN 'failed' WHEN {_TOKENS('original')} <> {_TOKENS('translated')} THEN 'failed' WHEN NOT regexp_matches(original, '\\p{{L}}') THEN 'translated' WHEN lower(regexp_replace({TRIM('original')}, '{WHITE}+', ' ', 'g')) = lower(regexp_replace({TRIM('translated')}, '{WHITE}+', ' ', 'g')) THEN 'needs_review' ELSE 'translated' END AS outcome FROM p")
+@query(f"WITH {_PAIRS} SELECT doc_id, CASE WHEN translated = '' THEN 'failed' WHEN {_TOKENS('original')} <> {_TOKENS('translated')} THEN 'failed' WHEN NOT regexp_matches(original, '[A-Za-zÀ-ÿ]') THEN 'translated' WHEN lower(trim(original)) = lower(trim(translated)) THEN 'needs_review' ELSE 'translated' END AS outcome FROM p")
 def validate_outcomes(spark, sf):
     return segments.outcome(pairs(spark, sf), "en", "de", last_try=True).select("doc_id", "outcome")
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, array_to_string({_TOKENS('original')}, '|') AS tokens FROM p")
+_TRAPS = [
+    (-1, "Hi %s and %1$d of 100%", "%1$d|%s"), (-2, "95% of $2 and 50% off", ""), (-3, "%% %@ %*d %ld %n", "%%|%n"), (-4, "${HOME}/$USER ${1}", "$USER|${HOME}|{1}"),
+    (-5, "{n, plural, one {# item} other {# items}} x", "{n, plural, one {# item} other {# items}}"), (-6, "{{HLINK_1}} stays {0}", "{0}"), (-7, "{!x} { } {", "{ }|{!x}"), (-8, "{a}}} {b}", "{b}"),
+]
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, array_to_string({_TOKENS('original')}, '|') AS tokens FROM p UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, '{w}')" for i, _, w in _TRAPS)})")
 def mask_tokens(spark, sf):
-    return pairs(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("original"), X.MACHINE), "|").alias("tokens"))
+    traps = spark.createDataFrame([t[:2] for t in _TRAPS], "doc_id long, original string")
+    rows = pairs(spark, sf).select("doc_id", "original").unionByName(traps)
+    return rows.select("doc_id", F.array_join(X.machine_tokens(F.col("original")), "|").alias("tokens"))
 
 
 @query(r"""SELECT doc_id, n, md5(sentence) AS sentence FROM (SELECT doc_id, unnest(range(len(s))) AS n, unnest(s) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?;。！？；\n]*[.!?;。！？；\n]["''”’」』）)]* *|[^.!?;。！？；\n]+$') AS s FROM documents))""")
 def sentence_split(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "s")).select("doc_id", F.col("n").cast("long").alias("n"), F.md5(F.col("s").cast("binary")).alias("sentence"))
+    return texts(spark, sf).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "s")).select("doc_id", F.col("n").cast("long").alias("n"), F.md5(F.col("s").cast("binary")).alias("sentence"))
 
 
 @query()
@@ -245,7 +260,7 @@ _MATCH = "m AS (SELECT doc_id, src, upper(src) AS dst, ord FROM documents, g WHE
 
 @query(f"WITH {_GLOSSARY}, {_MATCH} SELECT doc_id, src, dst FROM m")
 def glossary_match(spark, sf):
-    return terms.match(read(spark, sf, "documents").select("doc_id", "text"), glossary(spark, sf)).select("doc_id", "src", "dst")
+    return terms.match(texts(spark, sf).select("doc_id", "text"), glossary(spark, sf)).select("doc_id", "src", "dst")
 
 
 @query(f"WITH {_GLOSSARY}, {_MATCH} SELECT m.doc_id, src, dst FROM m JOIN documents d ON d.doc_id = m.doc_id WHERE contains(text, src) AND NOT contains('[T]' || text, dst)")
@@ -266,7 +281,7 @@ def glossary_merge(spark, sf):
     return terms.merge(first("documents", "doc_id").withColumn("dst", segments.fake_translate(F.col("src"))), first("benchmark", "item_id").withColumn("dst", F.upper("src")))
 
 
-_NOISE = r"length(t) < 2 OR length(t) > 60 OR regexp_matches(t, '(?i)https?://|www\.|\S+@\S+\.\S+') OR NOT regexp_matches(t, '\p{L}') OR regexp_matches(t, '[{}<>%$]|\[formula_') OR regexp_matches(t, '[.!?。！？]\s*$') OR len(regexp_split_to_array(t, '\s+')) > 6"
+_NOISE = r"length(t) < 2 OR length(t) > 80 OR regexp_matches(t, '[\n\t]') OR regexp_matches(lower(t), 'https?://|www[.]') OR regexp_matches(t, '[^@\s]+@[^@\s]+[.][^@\s]+') OR regexp_matches(lower(t), '^[0-9\s.,:%/v#x+—–()-]+$') OR regexp_matches(t, '[{}$%<>]') OR t[-1] IN ('。','！','？','!','?','…') OR (regexp_matches(t, '^[\x00-\x7f]+$') AND len(regexp_split_to_array(t, '\s+')) > 6) OR (length(t) > 24 AND regexp_matches(t, '[，、,;；]'))"
 
 
 @query(f"WITH {LINES} SELECT doc_id, CAST(ord AS INTEGER) AS ord, {_NOISE} AS noise FROM (SELECT doc_id, ord, {TRIM('value')} AS t FROM lines WHERE NOT blank)")
@@ -306,13 +321,15 @@ def cell_explode(spark, sf):
     return p.select(F.col("p_partkey").alias("row_id"), F.inline(cells)).where(X.trim_u(F.col("value")) != "")
 
 
-@query("SELECT event_id, unnest(['kind', 'tags.0', 'tags.1', 'deep.note']) AS path, unnest([event_type, event_type, 'x', event_type || '!']) AS value FROM events")
+@query("SELECT event_id, unnest(['kind', 'tags.0', 'tags.1', 'deep.note', 'id.note', 'slugs.0.text']) AS path, unnest([event_type, event_type, 'x', event_type || '!', event_type || '?', 'y']) AS value FROM events")
 def json_leaves(spark, sf):
+    """Strings under url, Slug, ref and code are excluded; those that only stand within an excluded key's object are not."""
     from textloom.sources import trees
 
     t = F.col("event_type")
-    tree = F.to_json(F.struct(t.alias("kind"), F.array(t, F.lit("x")).alias("tags"), F.struct(F.concat(t, F.lit("!")).alias("note"), t.alias("url"), F.col("value").alias("n")).alias("deep"), t.alias("id")))
-    return trees.json_leaves(read(spark, sf, "events").select("event_id", tree.alias("tree")), "event_id", "tree")
+    deep = F.struct(F.concat(t, F.lit("!")).alias("note"), t.alias("url"), t.alias("Slug"), F.col("value").alias("n"), F.array(t).alias("ref"))
+    tree = F.struct(t.alias("kind"), F.array(t, F.lit("x")).alias("tags"), deep.alias("deep"), F.struct(F.concat(t, F.lit("?")).alias("note")).alias("id"), F.array(F.struct(F.lit("y").alias("text"), t.alias("code"))).alias("slugs"), F.lit(" ").alias("blank"))
+    return trees.json_leaves(texts(spark, sf, "events").select("event_id", F.to_json(tree).alias("tree")), "event_id", "tree")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.\"' || k || '\"') AS value, k AS item FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -325,7 +342,7 @@ def lenient_json(spark, sf):
 def html_blocks(spark, sf):
     from textloom.sources import trees
 
-    return trees.html_blocks(read(spark, sf, "pages"), "page_id", "html")
+    return trees.html_blocks(texts(spark, sf, "pages"), "page_id", "html")
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
@@ -444,7 +461,7 @@ def regions_components(spark, sf):
     return timeline.box_groups(b, timeline.boxes_linked(b, 4.0))
 
 
-@query("WITH b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_linenumber * 20.0 AS y0 FROM lineitem WHERE l_orderkey <= 4000) SELECT l.image, l.id AS a, r.id AS b FROM b l JOIN b r ON l.image = r.image AND l.id < r.id WHERE greatest(l.x0, r.x0) - least(l.x0 + 30, r.x0 + 30) <= 4 AND greatest(l.y0, r.y0) - least(l.y0 + 12, r.y0 + 12) <= 4")
+@query("WITH b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_linenumber * 20.0 AS y0 FROM lineitem) SELECT l.image, l.id AS a, r.id AS b FROM b l JOIN b r ON l.image = r.image AND l.id < r.id WHERE greatest(l.x0, r.x0) - least(l.x0 + 30, r.x0 + 30) <= 4 AND greatest(l.y0, r.y0) - least(l.y0 + 12, r.y0 + 12) <= 4")
 def region_links(spark, sf):
     return timeline.boxes_linked(boxes(spark, sf), 4.0)
 
@@ -479,14 +496,14 @@ def stem_names(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.file_type(F.col("url")).alias("file_type"), X.result_name(F.col("url"), "en", "de").alias("result"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars >= 3600 THEN printf('%dh %dm %ds', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) WHEN n_chars >= 60 THEN printf('%dm %ds', n_chars // 60, n_chars % 60) ELSE printf('%ds', n_chars) END AS took FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 60 THEN n_chars || 's' ELSE trim(CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || 'h ' ELSE '' END || CASE WHEN n_chars % 3600 >= 60 THEN (n_chars % 3600 // 60) || 'm ' ELSE '' END || CASE WHEN n_chars % 60 > 0 THEN (n_chars % 60) || 's' ELSE '' END) END AS took, CASE WHEN n_chars >= 1000 THEN printf('%.1fK', n_chars / 1000) ELSE CAST(n_chars AS VARCHAR) END AS tokens FROM documents")
 def durations(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", X.duration(F.col("n_chars")).alias("took"))
+    return read(spark, sf, "documents").select("doc_id", X.duration(F.col("n_chars")).alias("took"), X.short_count(F.col("n_chars")).alias("tokens"))
 
 
 @query("SELECT p_partkey, list_sum(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS INTEGER), 0)))::BIGINT AS total FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) || '.x' AS v FROM part)")
 def versions(spark, sf):
-    v = F.concat_ws(".", F.lit("v") if False else F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), F.lit("x"))
+    v = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), F.lit("x"))
     return read(spark, sf, "part").select("p_partkey", F.aggregate(X.version_parts(v), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 

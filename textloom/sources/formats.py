@@ -79,7 +79,7 @@ def rows_of(raw: bytes) -> tuple[list[list[str]], str]:
 
 def read_csv(raw: bytes) -> list[Slot]:
     rows, _ = rows_of(raw)
-    return [("cell", f"{r},{c}", v.replace("\r", "␍").replace("\n", "␊")) for r, row in enumerate(rows) for c, v in enumerate(row) if v.strip()]
+    return [("cell", f"{r},{c}", marked(v)) for r, row in enumerate(rows) for c, v in enumerate(row) if v.strip()]
 
 
 def safe(value: str) -> str:
@@ -92,7 +92,7 @@ def write_csv(raw: bytes, new: dict[str, str]) -> bytes:
     for r, row in enumerate(rows):
         for c in range(len(row)):
             if f"{r},{c}" in new:
-                row[c] = safe(new[f"{r},{c}"].replace("␊", "\n").replace("␍", "\r"))
+                row[c] = safe(unmarked(new[f"{r},{c}"]))
     text = io.StringIO(newline="")
     csv.writer(text, delimiter=d, lineterminator="\n").writerows(rows)
     return out(text.getvalue())
@@ -100,35 +100,49 @@ def write_csv(raw: bytes, new: dict[str, str]) -> bytes:
 
 # --- JSON -------------------------------------------------------------------------------------------------------------
 
-SKIP_KEYS = frozenset({"id", "url", "regex", "key"})
+# Keys whose strings are identifiers or layout, in any case.
+SKIP_KEYS = frozenset(
+    "id _id uuid guid key keybinding url uri href src link regex pattern mime mimetype locale lang language code hash sha md5 token slug class classname style color colour icon path ref version".split()
+)
 
 
-def leaves(node, path: tuple = (), key: str = "", skip_keys=SKIP_KEYS, skip_paths=frozenset()) -> Iterator[tuple[tuple, str]]:
-    """(path, text) of every string that is no excluded key's; elements of a list count under the list's key."""
-    if isinstance(node, dict):
-        for k, v in node.items():
-            if k.lower() not in skip_keys and ".".join([*map(str, path), k]) not in skip_paths:
-                yield from leaves(v, (*path, k), k, skip_keys, skip_paths)
-    elif isinstance(node, list):
-        for i, v in enumerate(node):
-            yield from leaves(v, (*path, i), key, skip_keys, skip_paths)
-    elif isinstance(node, str) and node.strip():
-        yield path, node
+def leaves(tree, skip_keys=SKIP_KEYS, skip_paths=frozenset()) -> Iterator[tuple[tuple, str]]:
+    """(path, text) of the strings of a tree in order, but for those whose nearest key, or whose path of keys with dots
+    between, is excluded. Elements of a list count under the list's key, and their numbers are no part of such a path."""
+    todo = [((), tree)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, (dict, list)):
+            inner = node.items() if isinstance(node, dict) else enumerate(node)
+            todo += reversed([((*path, k), v) for k, v in inner])
+        elif isinstance(node, str) and node.strip():
+            keys = [k for k in path if isinstance(k, str)]
+            if not (keys and keys[-1].lower() in skip_keys) and ".".join(keys) not in skip_paths:
+                yield path, node
+
+
+def marked(text: str) -> str:
+    """Line ends as visible marks, so that a text is one line."""
+    return text.replace("\r", "␍").replace("\n", "␊")
+
+
+def unmarked(text: str) -> str:
+    return text.replace("␊", "\n").replace("␍", "\r")
 
 
 def read_json(raw: bytes) -> list[Slot]:
-    return [("json", json.dumps(p, ensure_ascii=False), t) for p, t in leaves(json.loads(decode(raw)[0]))]
+    return [("json", json.dumps(p, ensure_ascii=False), marked(t)) for p, t in leaves(json.loads(decode(raw)[0]))]
 
 
 def write_json(raw: bytes, new: dict[str, str]) -> bytes:
-    tree = json.loads(decode(raw)[0])
+    holder = {"": json.loads(decode(raw)[0])}  # the whole tree may be one string
     for place, text in new.items():
-        *front, last = json.loads(place)
-        at = tree
+        *front, last = ["", *json.loads(place)]
+        at = holder
         for k in front:
             at = at[k]
-        at[last] = text
-    return out(json.dumps(tree, ensure_ascii=False, indent=2))
+        at[last] = unmarked(text)
+    return out(json.dumps(holder[""], ensure_ascii=False, indent=2))
 
 
 # --- Markdown ---------------------------------------------------------------------------------------------------------
@@ -317,19 +331,28 @@ def cues_of(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def srt_lines(raw: bytes) -> list[str]:
+    return decode(raw)[0].replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff").split("\n")
+
+
 def read_srt(raw: bytes) -> list[Slot]:
-    text = decode(raw)[0].replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
-    lines = text.split("\n")
-    return [("subtitle", f"{a},{b}", "\n".join(lines[a:b])) for a, b, _ in cues_of(text) if b > a]
+    lines = srt_lines(raw)
+    return [("subtitle", f"{a},{b}", marked("\n".join(lines[a:b]))) for a, b, _ in cues_of("\n".join(lines)) if b > a]
+
+
+def srt_loss(raw: bytes) -> int:
+    """Cues of a file that can't be read and will be missing: its arrows less its cues."""
+    text = "\n".join(srt_lines(raw))
+    return text.count("-->") - len(cues_of(text))
 
 
 def write_srt(raw: bytes, new: dict[str, str]) -> bytes:
-    text = decode(raw)[0].replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
-    lines = text.split("\n")
-    for a, b, _ in reversed(cues_of(text)):
-        if f"{a},{b}" in new:
-            lines[a:b] = new[f"{a},{b}"].split("\n")
-    return out("\n".join(lines))
+    """The cues anew, numbered from 1, whatever numbers the file had; milliseconds behind a comma."""
+    lines, done = srt_lines(raw), []
+    for n, (a, b, stamp) in enumerate(cues_of("\n".join(lines)), 1):
+        text = unmarked(new.get(f"{a},{b}", marked("\n".join(lines[a:b]))))
+        done.append(f"{n}\n{re.sub(r'(?<=:[0-9]{2})[.](?=[0-9])', ',', stamp)}\n{text}\n\n")
+    return out("".join(done))
 
 
 def read_vtt(raw: bytes) -> list[Slot]:
@@ -406,21 +429,31 @@ def write_lrc(raw: bytes, new: dict[str, str]) -> bytes:
 
 # --- zipped XML -------------------------------------------------------------------------------------------------------
 
-# Namespaces, and by format the parts that hold text, the paragraph and the run elements.
+# Namespaces; by format the parts that hold text with their paragraph and run elements; the attributes that
+# show text, by element; the type of a part's texts.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+THREADED = "{http://schemas.microsoft.com/office/spreadsheetml/2018/threadedcomments}"
 O = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"  # noqa: E741
-H = "{http://www.w3.org/1999/xhtml}"
+SVG, META = "{urn:oasis:names:tc:opendocument:xmlns:svg-compatible:1.0}", "{urn:oasis:names:tc:opendocument:xmlns:meta:1.0}"
+DC, NCX, H = "{http://purl.org/dc/elements/1.1/}", "{http://www.daisy.org/z3986/2005/ncx/}", "{http://www.w3.org/1999/xhtml}"
 DRAWINGS = r"drawings/drawing\d+|charts/chart\d+|diagrams/data\d+"
 ZIPPED = {
     "docx": ((rf"word/(document|header\d*|footer\d*|footnotes|endnotes|comments|{DRAWINGS})\.xml", (f"{W}p", f"{A}p"), (f"{W}t", f"{A}t")),),
-    "pptx": ((rf"ppt/(slides/slide\d+|notesSlides/notesSlide\d+|slideMasters/slideMaster\d+|slideLayouts/slideLayout\d+|{DRAWINGS})\.xml", (f"{A}p",), (f"{A}t",)),),
-    "xlsx": ((r"xl/sharedStrings\.xml", (f"{S}si",), (f"{S}t",)), (r"xl/comments\d*\.xml", (f"{S}comment",), (f"{S}t",)), (rf"xl/({DRAWINGS})\.xml", (f"{A}p",), (f"{A}t",))),
-    "odt": ((r"(content|styles)\.xml", (f"{O}p", f"{O}h"), ()),),
-    "epub": ((r".*\.x?html?", tuple(H + t for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "title", "figcaption", "caption")), ()),),
+    "pptx": ((rf"ppt/(slides/slide\d+|notesSlides/notesSlide\d+|slideMasters/slideMaster\d+|slideLayouts/slideLayout\d+|{DRAWINGS})\.xml", (f"{A}p",), (f"{A}t",)), (r"ppt/comments/comment\d+\.xml", (f"{P}text",), ())),
+    "xlsx": ((r"xl/comments\d*\.xml", (f"{S}comment",), (f"{S}t",)), (r"xl/threadedComments/.*\.xml", (f"{THREADED}text",), ()), (rf"xl/({DRAWINGS})\.xml", (f"{A}p",), (f"{A}t",))),
+    "odt": ((r"(content|styles)\.xml", (f"{O}p", f"{O}h", f"{SVG}title", f"{SVG}desc"), ()), (r"meta\.xml", (f"{DC}title", f"{DC}subject", f"{DC}description", f"{META}keyword"), ())),
+    "epub": ((r".*\.opf", (f"{DC}title", f"{DC}description", f"{DC}subject"), ()), (r".*\.ncx", (f"{NCX}text",), ()), (r".*\.x?html?", tuple(H + t for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "title", "figcaption", "caption")), ())),
+}
+SHOWN = {
+    "docx": {"docPr": ("descr",)}, "pptx": {"cNvPr": ("descr",)},
+    "xlsx": {"cNvPr": ("descr",), "dataValidation": ("promptTitle", "prompt", "errorTitle", "error")},
+    "epub": {"img": ("alt", "title")},
 }
-KINDS = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment", "notesSlides": "notes", "charts": "chart", "diagrams": "smartart", "drawings": "shape"}
+KINDS = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "threadedComments": "comment", "comments": "comment", "notesSlides": "notes", "charts": "chart", "diagrams": "smartart", "drawings": "shape", "meta.xml": "metadata"}
 
 
 def natural(name: str) -> list:
@@ -464,45 +497,180 @@ def distribute(text: str, sizes: list[int]) -> list[str]:
     return [*parts, text[at:]]
 
 
+def local(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+
+
 def zip_parts(z: zipfile.ZipFile, kind: str) -> Iterator[tuple[str, ET.Element, tuple, tuple]]:
     for pattern, tags, runs in ZIPPED[kind]:
         names = sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=natural)
-        for name in spine(z, names) if kind == "epub" else names:
+        for name in spine(z, names) if kind == "epub" and "html" in pattern else names:
             yield name, ET.fromstring(z.read(name)), tags, runs
+    for name, _ in sheets(z) if kind == "xlsx" else ():
+        yield name, ET.fromstring(z.read(name)), (), ()
+
+
+def type_of(name: str, kind: str, e: ET.Element) -> str:
+    """The type of a text by its part and element."""
+    if e.tag in (SVG + "title", SVG + "desc"):
+        return "alt_text"
+    if name.endswith((".opf", ".ncx")):
+        return "metadata" if name.endswith(".opf") else "heading"
+    return next((v for k, v in KINDS.items() if f"/{k}" in f"/{name}"), "cell" if kind == "xlsx" else "paragraph")
+
+
+def shown(root: ET.Element, kind: str) -> Iterator[tuple[str, ET.Element, str]]:
+    """(place, element, attribute) of the attributes that show text."""
+    of = SHOWN.get(kind, {})
+    for i, e in enumerate(x for x in root.iter() if local(x) in of):
+        for name in of[local(e)]:
+            if (e.get(name) or "").strip():
+                yield f"@{i}.{name}", e, name
+
+
+# A workbook's cells: strings are shared, so a new text makes its cell hold a string of its own.
+
+
+def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(part, name) of a workbook's sheets in their order."""
+    if "xl/workbook.xml" not in z.namelist():
+        return []
+    rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in z.namelist() else {}
+    named = [(rels.get(s.get(f"{R}id")), s.get("name")) for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")]
+    return [(part, name) for target, name in named if target and (part := target.lstrip("/") if target.startswith("/") else f"xl/{target}") in z.namelist()]
+
+
+def inner_text(e: ET.Element | None) -> str:
+    """The text of a string element, without phonetic readings."""
+    if e is None:
+        return ""
+    return "".join(t.text or "" for c in e if local(c) in ("t", "r") for t in ([c] if local(c) == "t" else c.iter(f"{S}t")))
+
+
+def cells(root: ET.Element, strings: list[str]) -> Iterator[tuple[str, ET.Element, str]]:
+    """(reference, element, text) of the cells that hold a text: no numbers, dates, formulas, and of merged cells the first
+    only."""
+    covered = set()
+    for m in root.iter(f"{S}mergeCell"):
+        first, _, last = (m.get("ref") or "").partition(":")
+        (c0, r0), (c1, r1) = place_of(first), place_of(last or first)
+        covered |= {(c, r) for c in range(c0, c1 + 1) for r in range(r0, r1 + 1)} - {(c0, r0)}
+    for c in root.iter(f"{S}c"):
+        kind, ref, value = c.get("t"), c.get("r") or "", c.find(f"{S}v")
+        if c.find(f"{S}f") is not None or place_of(ref) in covered:
+            continue
+        if kind == "s" and value is not None and (value.text or "").isdigit() and int(value.text) < len(strings):
+            text = strings[int(value.text)]
+        else:
+            text = inner_text(c.find(f"{S}is")) if kind == "inlineStr" else (value.text or "") if kind == "str" and value is not None else ""
+        if text.strip() and not text.strip().startswith("="):
+            yield ref, c, text
+
+
+def place_of(ref: str) -> tuple[int, int]:
+    """Column and row of a reference like AB12."""
+    letters, digits = re.match(r"([A-Z]*)(\d*)", ref).groups()
+    column = 0
+    for x in letters:
+        column = 26 * column + ord(x) - 64
+    return column, int(digits or 0)
+
+
+def put_cell(c: ET.Element, text: str) -> None:
+    for x in list(c):
+        c.remove(x)
+    c.set("t", "inlineStr")
+    t = ET.SubElement(ET.SubElement(c, f"{S}is"), f"{S}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+    t.text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    return [inner_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{S}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+
+
+_HEADERS = ("oddHeader", "oddFooter", "evenHeader", "evenFooter", "firstHeader", "firstFooter")
+
+
+def header_texts(root: ET.Element) -> Iterator[tuple[str, ET.Element, int, list[str]]]:
+    """(place, element, number, parts) of the texts between the codes of a sheet's headers and footers."""
+    for e in root.iter():
+        if local(e) in _HEADERS and e.text:
+            parts = re.split(r'(&"[^"]*"|&\d+|&[A-Za-z&])', e.text)
+            for i in range(0, len(parts), 2):
+                if parts[i].strip():
+                    yield f"~{local(e)}.{i}", e, i, parts
+
+
+def declared(raw: bytes, new: bytes) -> bytes:
+    """new with the namespaces of raw's root that it does not declare: attributes such as mc:Ignorable name prefixes that
+    no element uses."""
+    first = re.compile(rb"<(?![?!])[^>]*>")
+    old, now = first.search(raw), first.search(new)
+    if not old or not now:
+        return new
+    have = set(re.findall(rb"xmlns:([\w.-]+)\s*=", now[0]))
+    lost = [m[0] for m in re.finditer(rb"""xmlns:([\w.-]+)\s*=\s*("[^"]*"|'[^']*')""", old[0]) if m[1] not in have]
+    at = now.end() - (2 if now[0].endswith(b"/>") else 1)
+    return new[:at] + b"".join(b" " + x for x in lost) + new[at:]
 
 
 def zip_reader(kind: str) -> Reader:
     def read(raw: bytes) -> list[Slot]:
         found = []
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            strings = shared_strings(z) if kind == "xlsx" else []
             for name, root, tags, runs in zip_parts(z, kind):
-                type_ = next((v for k, v in KINDS.items() if f"/{k}" in f"/{name}"), "cell" if kind == "xlsx" else "paragraph")
-                for i, (_, places) in enumerate(paragraphs(root, tags, runs)):
+                for i, (e, places) in enumerate(paragraphs(root, tags, runs)):
                     text = "".join(getattr(x, k) for x, k in places)
                     if text.strip():
-                        found.append((type_, f"{name}#{i}", text))
+                        found.append((type_of(name, kind, e), f"{name}#{i}", text))
+                found += [("alt_text" if at.endswith(("descr", "alt", "title")) else "cell", name + at, e.get(a)) for at, e, a in shown(root, kind)]
+                if root.tag == f"{S}worksheet":
+                    found += [("cell", f"{name}!{ref}", marked(text)) for ref, _, text in cells(root, strings)]
+                    found += [("header", name + at, parts[i].strip()) for at, _, i, parts in header_texts(root)]
         return found
 
     return read
 
 
 def zip_writer(kind: str) -> Writer:
+    def changed(name: str, root: ET.Element, tags: tuple, runs: tuple, strings: list[str], new: dict[str, str]) -> bool:
+        """Whether a part has new texts, which are put in."""
+        done = 0
+        for i, (_, places) in enumerate(paragraphs(root, tags, runs)):
+            if f"{name}#{i}" in new and places:
+                for (x, k), part in zip(places, distribute(new[f"{name}#{i}"], [len(getattr(x, k)) for x, k in places]), strict=True):
+                    setattr(x, k, part)
+                done += 1
+        for at, e, attribute in list(shown(root, kind)):
+            if name + at in new:
+                e.set(attribute, new[name + at])
+                done += 1
+        if root.tag == f"{S}worksheet":
+            for ref, c, _ in list(cells(root, strings)):
+                if f"{name}!{ref}" in new:
+                    put_cell(c, unmarked(new[f"{name}!{ref}"]))
+                    done += 1
+            for at, e, i, _ in list(header_texts(root)):
+                if name + at in new:
+                    parts = re.split(r'(&"[^"]*"|&\d+|&[A-Za-z&])', e.text)
+                    parts[i] = parts[i].replace(parts[i].strip(), new[name + at])
+                    e.text = "".join(parts)
+                    done += 1
+        return done > 0
+
     def write(raw: bytes, new: dict[str, str]) -> bytes:
         """Parts without new texts are copied as they are; mimetype stays first and stored."""
         by: dict[str, bytes] = {}
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            strings = shared_strings(z) if kind == "xlsx" else []
             for name, root, tags, runs in zip_parts(z, kind):
-                for _, uri in ET.iterparse(io.BytesIO(z.read(name)), events=("start-ns",)):
+                before = z.read(name)
+                for _, uri in ET.iterparse(io.BytesIO(before), events=("start-ns",)):
                     with contextlib.suppress(ValueError):
                         ET.register_namespace(*uri)
-                touched = False
-                for i, (_, places) in enumerate(paragraphs(root, tags, runs)):
-                    if f"{name}#{i}" in new and places:
-                        for (x, k), part in zip(places, distribute(new[f"{name}#{i}"], [len(getattr(x, k)) for x, k in places]), strict=True):
-                            setattr(x, k, part)
-                        touched = True
-                if touched:
-                    by[name] = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+                if changed(name, root, tags, runs, strings, new):
+                    by[name] = declared(before, ET.tostring(root, encoding="utf-8", xml_declaration=True))
             done = io.BytesIO()
             with zipfile.ZipFile(done, "w", zipfile.ZIP_DEFLATED) as w:
                 for info in sorted(z.infolist(), key=lambda n: n.filename != "mimetype"):

@@ -18,7 +18,7 @@ def json_leaves(df: DataFrame, key: str, column: str, skip_keys: frozenset = for
     def found(values: pd.Series) -> pd.Series:
         def of(v):
             try:
-                return [(".".join(map(str, p)), t) for p, t in formats.leaves(json.loads(v), (), "", skip_keys, skip_paths)]
+                return [(".".join(map(str, p)), t) for p, t in formats.leaves(json.loads(v), skip_keys, skip_paths)]
             except (TypeError, ValueError):
                 return []
 

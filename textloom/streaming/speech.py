@@ -14,38 +14,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.tokens import units
+from textloom.operators.segments import Machine, fold
+
 # Fixed values, milliseconds.
 FRAME, ONSET, PREROLL, HANG, LONGEST, SHORTEST = 16, 90, 500, 900, 30_000, 280
 
 
 @dataclass
 class VoiceSegments:
-    """Frames (ms, voiced) to segments (start, end): voice for ONSET ms opens one, PREROLL ms before it belong to it; a
-    silence closes it, shorter the longer the segment is; LONGEST cuts it, SHORTEST is the least that counts."""
+    """Frames (ms, voiced) to segments (start, end): voice for ONSET ms opens one, and the PREROLL ms up to then belong to
+    it; a silence closes it, shorter the longer the segment is, and belongs to it too; LONGEST cuts it, SHORTEST is the
+    least that counts."""
 
-    voiced_since: int | None = None
+    began: int | None = None  #: of the stream
+    voice: int = 0
+    silence: int = 0
     start: int | None = None
-    last_voice: int = 0
+    end: int = 0
 
     def hang(self, age: int) -> float:
         return HANG if age < 4000 else HANG * 0.7 if age < 8000 else max(500, HANG * 0.55)
 
     def add(self, ms: int, voiced: bool) -> list[tuple[int, int]]:
-        done = []
+        self.began = ms if self.began is None else self.began
+        self.end = ms + FRAME
         if self.start is None:
-            self.voiced_since = (ms if self.voiced_since is None else self.voiced_since) if voiced else None
-            if voiced and ms + FRAME - self.voiced_since >= ONSET:
-                self.start, self.last_voice = max(0, self.voiced_since - PREROLL), ms + FRAME
-            return done
-        if voiced:
-            self.last_voice = ms + FRAME
-        if ms + FRAME - self.last_voice >= self.hang(ms - self.start) or ms + FRAME - self.start >= LONGEST:
-            done = self.close()
-        return done
+            self.voice = self.voice + FRAME if voiced else 0
+            if self.voice >= ONSET:
+                self.start, self.silence = max(self.began, self.end - PREROLL), 0
+            return []
+        self.silence = 0 if voiced else self.silence + FRAME
+        age = self.end - self.start
+        return self.close() if self.silence >= self.hang(age) or age >= LONGEST else []
 
     def close(self) -> list[tuple[int, int]]:
-        done = [(self.start, self.last_voice)] if self.start is not None and self.last_voice - self.start >= SHORTEST else []
-        self.start = self.voiced_since = None
+        done = [(self.start, self.end)] if self.start is not None and self.end - self.start >= SHORTEST else []
+        self.start, self.voice = None, 0
         return done
 
 
@@ -58,31 +63,38 @@ def common_prefix(a: str, b: str) -> str:
     return a[:n]
 
 
+SEAM = "。！？!?.，、,；; "  # Fixed value: marks that a new hypothesis may put anywhere between old and new text
+PROBE = 10
+
+
 @dataclass
 class Agreement:
-    """Hypotheses (text, final) to committed text: what two hypotheses in a row agree on, cut at the last space or East
-    Asian character; a final one commits the rest."""
+    """Hypotheses (text, final) to committed units of text: of what two hypotheses in a row agree on, the units that have
+    an end; a final one commits the rest. What has been committed is never given again, also where a hypothesis changes
+    the words before."""
 
     committed: str = ""
     last: str = ""
 
     def tail(self, text: str) -> str:
+        """What of a hypothesis is behind the committed text: by its beginning, else by where the last committed letters
+        stand, else by length."""
         if text.startswith(self.committed):
             return text[len(self.committed) :]
-        probe = self.committed[-12:].strip()
-        at = text.find(probe) if probe else -1
-        return text[at + len(probe) :] if at >= 0 else text[len(self.committed) :]
+        probe = self.committed[-PROBE:].rstrip(SEAM)
+        before, found, behind = text.partition(probe) if probe else ("", "", "")
+        return (behind if found else text[len(self.committed) :]).lstrip(SEAM)
 
-    def add(self, text: str, final: bool) -> str:
-        tail = self.tail(text)
+    def add(self, text: str, final: bool) -> list[str]:
+        tail = self.tail(text or "")
         if final:
-            out, self.committed, self.last = tail, "", ""
-            return out
+            self.committed = self.last = ""
+            return units(tail, True)[0]
         agreed = common_prefix(tail, self.tail(self.last)) if self.last else ""
-        self.last = text
-        cut = max((i + 1 for i, c in enumerate(agreed) if c.isspace() or "　" <= c <= "鿿"), default=0)
-        self.committed += agreed[:cut]
-        return agreed[:cut]
+        self.last = text or ""
+        ready, used = units(agreed, False)
+        self.committed += agreed[:used]
+        return ready
 
 
 @dataclass
@@ -158,28 +170,36 @@ def voice_step(state: VoiceSegments, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def commit_step(state: Agreement, rows: pd.DataFrame) -> pd.DataFrame:
-    found = [(k, int(n), out) for k, n, t, f in zip(rows["key"], rows["n"], rows["text"], rows["final"], strict=True) if (out := state.add(t, bool(f)))]
+    found = [(k, int(n), unit) for k, n, t, f in zip(rows["key"], rows["n"], rows["text"], rows["final"], strict=True) for unit in state.add(t, bool(f))]
     return pd.DataFrame(found, columns=["key", "n", "text"])
 
 
 VOICE, COMMIT = "key long, start long, end long", "key long, n long, text string"
 
 
-def voice_segments(frames: DataFrame) -> DataFrame:
-    """(key, start, end) of stored frames (key, ms, voiced); a stream takes stateful(..., VoiceSegments, voice_step)."""
+class Stored(Machine):
+    """A state machine of this module over a stored stream: rows (key, place, *values) to (key, *what is ready)."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        state = VoiceSegments()
-        out = voice_step(state, p.sort_values("ms", kind="stable"))
-        rest = pd.DataFrame([(p["key"].iloc[0], s, e) for s, e in state.close()], columns=out.columns)
-        return pd.concat([out, rest])
+    def __init__(self, state, placed: bool):
+        self.state, self.placed, self.key = state, placed, None
 
-    return frames.groupBy("key").applyInPandas(run, VOICE)
+    def add(self, key, at, *values) -> list[tuple]:
+        self.key = key
+        ready = self.state.add(*values) if self.placed else self.state.add(at, *values)
+        return [(key, at, x) if self.placed else (key, *x) for x in ready]
+
+    def close(self) -> list[tuple]:
+        return [] if self.placed else [(self.key, *x) for x in self.state.close()]
+
+
+def voice_segments(frames: DataFrame) -> DataFrame:
+    """(key, start, end) of stored frames (key, ms, voiced); a stream takes stateful(..., VoiceSegments, voice_step)."""
+    return fold(frames.select("key", "ms", "voiced"), "key", ["ms"], lambda: Stored(VoiceSegments(), False), VOICE)
 
 
 def commits(hypotheses: DataFrame) -> DataFrame:
-    """(key, n, text) committed of stored hypotheses (key, n, text, final)."""
-    return hypotheses.groupBy("key").applyInPandas(lambda p: commit_step(Agreement(), p.sort_values("n", kind="stable")), COMMIT)
+    """(key, n, text) of the units committed of stored hypotheses (key, n, text, final)."""
+    return fold(hypotheses.select("key", "n", "text", "final"), "key", ["n"], lambda: Stored(Agreement(), True), COMMIT)
 
 
 def request_counts(events: DataFrame, key: str, ts: str, length: str = "60 seconds", slide: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
