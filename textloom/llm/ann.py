@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, table
+from .common import keep, table, text_batches
 
 SHARD, LINKS, NEAR, EF, BLOCK, GROUP = 16384, 16, 64, 256, 512, 32
 STEP = 4  #: candidates that a query expands at once
@@ -248,6 +248,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found to each of queries (query_id, vec) among vectors (vec_id,
     vec), by Euclidean distance in double precision, the query's own id left out, ties to the lesser vec_id. Vectors of
     another length than the query's are no candidates. Components are float or double."""
+    text_batches(vectors.sparkSession)
     wide = vectors.schema["vec"].dataType.elementType == T.DoubleType()
     of = keep(classes(vectors, k + 1).withColumn("dim", F.size("vec")), "vectors")
     count = F.ceil(F.count("*") / SHARD).cast("int")

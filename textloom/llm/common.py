@@ -14,10 +14,11 @@ from textloom.operators.joins import fresh, keyed_join, salted_join
 from textloom.storage import drop, scratch, temporaries
 from textloom.storage import written as keep
 
-__all__ = ["WORD", "WORD_PY", "digest", "drop", "fresh", "keep", "keyed_join", "ordered_sums", "salted_join", "scratch", "table", "temporaries"]
+__all__ = ["WORD", "WORD_PY", "digest", "drop", "fresh", "keep", "keyed_join", "ordered_sums", "salted_join", "scratch", "table", "temporaries", "text_batches"]
 
 #: A word of the contracts: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 WORD_PY = r"[^\x20\x09-\x0d]+"
 
 
@@ -26,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """From now on an Arrow batch has BATCH_ROWS rows at most: what a task holds at once of texts, pages or vectors is
+    10,000 rows by default, several times in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def digest(text: Column) -> Column:
     """Content address of a text; null and empty differ."""
     return F.when(text.isNull(), F.lit("null")).otherwise(F.sha2(text, 256))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, keyed_join, table
+from .common import keep, keyed_join, table, text_batches
 from .toxicity import held_out
 
 TRAIN_DOCS = 10_000  #: the text model's labelled rows: at most so many, those of least hash
@@ -80,6 +80,7 @@ def count_trigrams(train: DataFrame) -> DataFrame:
 
 def train_text(docs: DataFrame) -> TextModel:
     """A model of the languages of (doc_id, text, lang), held-out rows left out. Without any, one unknown language."""
+    text_batches(docs.sparkSession)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     ids = mine.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     rows = count_trigrams(mine.join(ids, "doc_id")).collect()  # 64^3 rows for each language at most

@@ -167,7 +167,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
         further = keep(concentrated(rows, now), "mcd")
         fell = now.select("g", logdet().alias("was")).join(further.select("g", logdet().alias("is")), "g").agg(F.max(F.col("was") - F.col("is"))).first()[0]
         now = keep(now.unionByName(further).groupBy("g").agg(best).select("g", "e.*"), "mcd")
-        if fell is None or fell < 1e-6:
+        if fell is None or fell < 1e-3:
             break
     return now.drop("start")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, fresh, keep, keyed_join, ordered_sums, salted_join, table, temporaries
+from .common import digest, fresh, keep, keyed_join, ordered_sums, salted_join, table, temporaries, text_batches
 from .graph import components
 
 PIVOTS = 16
@@ -283,6 +283,7 @@ def prints(docs: DataFrame, shingle: int, words: int = 1, anchors: int = 0) -> D
     """
     fields = [("doc_id", pa.int64()), ("content", pa.string()), ("node", pa.int64()), ("bits", pa.binary()), ("dist", pa.binary()), ("d0", pa.int32()), ("anchors", pa.list_(pa.int64())), ("shingles", pa.binary())]
     refs = pivots(words)
+    text_batches(docs.sparkSession)
 
     def run(batches):
         from xxhash import xxh64_intdigest

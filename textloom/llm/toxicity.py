@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import fresh, keep, table, text_batches
 
 TRAIN_DOCS = 12_000  #: the classifier's labelled rows: at most so many, those of least hash
 STEM, LONGEST = 4, 9  #: letters of a beginning of words: the least, and the most; longer words are whole terms
@@ -127,7 +127,7 @@ class Lexicon:
 class Hits(dict):
     """Word to (term number, edits) or None, remembered for `most` words."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 100_000):
+    def __init__(self, lexicon: Lexicon, most: int = 50_000):
         self.lexicon, self.most = lexicon, most
 
     def __missing__(self, word: str):
@@ -286,6 +286,7 @@ def read_hits(train: DataFrame, terms: list[Term]) -> DataFrame:
 def fit(labelled: DataFrame) -> Model:
     """A model from (doc_id, text, toxic). Misspellings of a term are allowed as far as they don't stand in clean rows.
     Without rows of both labels it has no terms and scores every text alike."""
+    text_batches(labelled.sparkSession)
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     tasks = 2 * labelled.sparkSession.sparkContext.defaultParallelism
     train = keep(labelled.join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "train").repartition(tasks)
@@ -330,9 +331,8 @@ def score(model: Model, text: Column) -> Column:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose text scores `threshold` or more."""
-    mark = "_toxicity"
-    while mark in docs.columns:
-        mark += "_"
+    text_batches(docs.sparkSession)
+    mark = fresh("_toxicity", docs)
     return docs.withColumn(mark, score(model, docs["text"])).where(F.col(mark) < threshold).drop(mark)
 
 

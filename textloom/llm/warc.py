@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, keep, keyed_join, ordered_sums, scratch, table
+from .common import drop, keep, keyed_join, ordered_sums, scratch, table, text_batches
 
 SHARD_BYTES, SHARDS = 32 << 20, 1 << 16
 ROLL_BYTES = 64 << 20
@@ -116,6 +116,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     only such rows have are all responses.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     thin = keep(pages.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "payloads")
