@@ -21,12 +21,16 @@ def odd_rows():
     return ODD
 
 
+#: Names that the operators and stages use themselves.
+CLASHES = ("row", "size", "before", "_g", "_task", "_tie", "length", "slot", "component_id", "score", "node", "_spans", "_blob", "_doc", "_content", "_n", "_row", "_parts", "_slot", "_whole", "_taken", "_toxicity", "_alone", "_salt", "blob", "taken", "id", "content", "bytes", "shard", "toxic", "n_words", "kept", "logs", "post")
+
+
 def write(spark, path, rows, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     if extra:  # names that the operators use themselves
         from pyspark.sql import functions as F
 
-        df = df.withColumns({c: F.lit("x") for c in ("row", "size", "before", "_g", "_task", "length", "slot", "component_id", "score", "node")})
+        df = df.withColumns({c: F.lit("x") for c in CLASHES})
     df.write.parquet(f"{path}/documents.parquet")
     return str(path)
 

@@ -76,6 +76,41 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert all(got.get(p, p) == u.find(p) for p in prints)
 
 
+@pytest.mark.parametrize("agree", [2, 3, 4])
+def test_any_number_of_sections_finds_all_links(spark, agree):
+    random.seed(agree)
+    base = [random.getrandbits(64) for _ in range(150)]
+    prints = sorted({p ^ sum(1 << b for b in random.sample(range(64), random.randrange(0, 6))) for p in base for _ in range(4)})
+    table = simhash.distances(np.array(prints, np.uint64)[:, None], simhash.pivots(1)).astype("<i2")
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p), p.to_bytes(8, "little"), d.tobytes(), int(d[0])) for p, d in zip(prints, table, strict=True)], "node long, bits binary, dist binary, d0 int")
+    keyed = df.select(F.explode(simhash.section_keys(F.col("node"), 3, agree)).alias("key"), "node", "bits", "dist", "d0")
+    got = {r.node: r.root for r in graph.components(simhash.links(keyed, 1, 3)).collect()}
+    u = Union()
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 3:
+                u.join(signed(a), signed(b))
+    assert all(got.get(signed(p), signed(p)) == u.find(signed(p)) for p in prints)
+
+
+def test_more_fingerprints_agree_in_more_sections():
+    assert [simhash.sections_for(n, 3) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**13)] == [2, 2, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_hubs_and_copies_whatever_the_join(spark, sf, monkeypatch, sent):
+    from textloom.operators import joins
+
+    monkeypatch.setattr(joins, "SENT", sent)
+    monkeypatch.setattr(graph, "SENT", sent)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(30)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), **dict.fromkeys(range(1000, 1031), 1000)}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert Counter(map(tuple, simhash.op8_simhash_pivots(spark, sf).collect())) == brute_classes(docs)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 300), (300, 200), (5, 5)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -105,6 +140,26 @@ def test_near_copies_by_five_words(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_near_copies_are_caught_as_far_as_they_are_near(spark):
+    """Copies with a word in 20 to 200 changed: those of a similarity of 0.8 or more are caught, all of them."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for g in range(60):
+        base = [word() for _ in range(random.choice((80, 300)))]
+        docs.append((100 * g, " ".join(base)))
+        for c, share in enumerate((20, 50, 90, 200)):
+            copy = list(base)
+            for at in random.sample(range(len(copy)), max(1, len(copy) // share)):
+                copy[at] = word()
+            docs.append((100 * g + c + 1, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = exact_classes(docs)
+    near = [d for d, _ in docs if want[d] != d]
+    assert len(near) > 100 and sum(got[d] == want[d] for d in near) >= 0.99 * len(near)
+    assert all(got[d] == d for d, _ in docs if want[d] == d)
+
+
 def exact_classes(docs, similarity=0.8):
     sets, u = [], Union()
     for _, t in docs:
@@ -191,6 +246,20 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert sorted(len(r.rules) for r in ledger.scanned().collect()) == [3, 3, 3, 4]
 
 
+def test_a_raised_version_replaces_the_old_findings(spark, tmp_path):
+    """What the old version of a rule has found is no finding of the new one; the old one's can still be read."""
+    from dataclasses import replace
+
+    df = spark.createDataFrame([(1, "code AB12 and AB123456"), (2, "none")], "doc_id long, text string")
+    old = secrets.Rule("code", "AB[0-9]+", least=4)
+    ledger = secrets.scan_texts(df, (old,), str(tmp_path / "l"))
+    new = replace(old, least=8, version=2)
+    secrets.scan_texts(df, (new,), ledger.path)
+    spans = lambda r: [[(s.start, s.end) for s in x.spans] for x in secrets.spans_of(ledger, (r,)).collect()]
+    assert spans(old) == [[(5, 9), (14, 22)]] and spans(new) == [[(14, 22)]]
+    assert {r.text for r in secrets.redact(df, ledger, (new,)).collect()} == {"code AB12 and [SECRET]", "none"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password=abcdef end"), (2, "clean"), (3, None), (4, "token = \"deadbeefdeadbeefdeadbeefdeadbeef\" x")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(df, secrets.scan_texts(df)).collect()}
@@ -242,6 +311,20 @@ def test_archives_are_the_same_in_every_run_and_roll(spark, sf, tmp_path):
     assert seen[0] == seen[1]
 
 
+def test_one_far_id_does_not_fill_a_shard(spark, sf, tmp_path):
+    """Shards are cut by bytes: a page_id far from all others, a null one and one that many rows share change little."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(2**60, "u", "far"), (-(2**60), "u", "far below"), (None, "u", "none"), *[(7, f"u{i}", f"page {i} " * 200) for i in range(60)]], pages.schema)
+    rows = pages.unionByName(odd)
+    m = warc.write_warc(rows, f"file://{tmp_path}/w", shard_bytes=30_000).collect()
+    by = Counter()
+    for r in m:
+        by[r.shard] += r.records
+    total = rows.selectExpr("sum(octet_length(coalesce(html, '')) + 512)").first()[0]
+    assert len(by) >= 0.8 * total / 30_000 and sum(by.values()) == rows.count() and max(by.values()) <= 60
+    check_warc([tuple(r) for r in warc.read_warc(spark, f"file://{tmp_path}/w").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()], [tuple(r) for r in rows.collect()])
+
+
 def test_a_damaged_archive_is_refused(spark, sf, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet").limit(3), path)

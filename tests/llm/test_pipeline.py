@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from textloom.llm import packing, secrets
 
-from .conftest import write
+from .conftest import CLASHES, write
 from .test_near_secrets_warc import brute_spans
 from .test_sharding_mixing_packing import check_pieces, expected_targets
 
@@ -94,6 +94,35 @@ def test_mix_takes_its_targets(stages):
     assert max(times.values()) <= 2
 
 
+def test_mix_stands_in_the_order_of_its_slots(spark, sf, tmp_path):
+    """In every first part of what the stage writes, file after file, each source has its share of the words, but for a few
+    blocks and the length of a document."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, " ".join(f"w{i}" for _ in range(40 + i * 37 % 160)), "en", f"s{i % 5}") for i in range(3000)]
+    path = write(spark, tmp_path, rows, extra=False)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    pipe.mix_sources(spark, docs, path).write.parquet(f"{tmp_path}/out")
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want = expected_targets(dict(sizes))
+    total, seen, done = sum(want.values()), 0, Counter()
+    for f in sorted((tmp_path / "out").glob("*.parquet")):
+        t = pq.read_table(f)
+        for text, source in zip(t["text"].to_pylist(), t["source"].to_pylist(), strict=True):
+            done[source] += len(text.split())
+            seen += len(text.split())
+            assert all(abs(done[s] - seen * w / total) <= 8 * 1024 for s, w in want.items())
+    assert seen == pytest.approx(total, abs=len(want))
+
+
+def test_mix_is_the_same_in_another_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = (Counter(map(tuple, pipe.mix_sources(spark, docs.repartition(n, "doc_id"), sf).collect())) for n in (2, 7))
+    assert a == b
+
+
 def test_sequences_hold_every_piece(stages):
     _, before, after = stages[4]
     check_pieces(after.collect(), [(r.doc_id, r.text) for r in before.collect()], packing.FastIds(packing.tokenizer_path()))
@@ -104,6 +133,11 @@ def test_odd_documents_run_through(spark, tmp_path, odd_rows):
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
     got = pipe.run(spark, path).collect()
     assert {1, 2, 6, 7, None} <= {r.doc_id for r in got}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in pipe.STAGES[:-1]:  # every column stays, whatever its name
+        after = stage(spark, docs, path)
+        assert after.columns == docs.columns
+        assert all(r[c] == "x" for r in after.collect() for c in CLASHES if c in after.columns)
     none = spark.read.parquet(f"{path}/documents.parquet").where(F.lit(False))
     none.write.parquet(f"{path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{path}/none/labels.parquet")

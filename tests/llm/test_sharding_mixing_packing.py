@@ -58,7 +58,26 @@ def expected_targets(sizes):
     return target
 
 
+def check_slots(rows):
+    """A document's slots take its words; a slot takes a block at most; and at any point of the schedule each source has had
+    its share of the words, but for a few blocks."""
+    target, took = {}, defaultdict(Counter)
+    for r in rows:
+        assert sum(s.words for s in r.slots or []) == r.taken and r.first_slot == (min(s.slot for s in r.slots) if r.slots else None)
+        target[r.source] = r.target
+        for s in r.slots or []:
+            took[s.slot][r.source] += s.words
+    assert all(len(c) == 1 and sum(c.values()) <= mixing.BLOCK for c in took.values())
+    total, done, seen = sum(target.values()), Counter(), 0
+    for slot in sorted(took):
+        done += took[slot]
+        seen += sum(took[slot].values())
+        assert all(abs(done[s] - seen * t / total) <= 6 * mixing.BLOCK for s, t in target.items())
+    assert set(took) >= set(range(int(total // mixing.BLOCK) - len(target)))
+
+
 def check_mix(rows, docs):
+    check_slots(rows)
     sizes = Counter()
     for _, t, s in docs:
         sizes[s] += len(W.findall(t or ""))
@@ -84,6 +103,34 @@ def test_mix(spark, sf, odd, empty, odd_rows):
     assert mixing.op4_low_discrepancy_mix(spark, empty).collect() == []
 
 
+def test_targets_of_many_sources(spark):
+    """Thousands of sources of all sizes, empty ones too: against the step by step rule."""
+    random.seed(12)
+    sizes = {f"s{i:05d}": int(random.paretovariate(0.6)) if i % 11 else 0 for i in range(3000)} | {None: 5000}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(rows.withColumn("source_key", mixing.F.xxhash64("source"))).collect()}
+    want = expected_targets(sizes)
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-9) for s in want)
+
+
+def test_shards_prune_files(spark, sf, tmp_path):
+    """Files that curve order has cut have small boxes: a query for one language and a narrow range of sizes meets the
+    statistics of a few of them."""
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", mixing.F.length("text").cast("long").alias("size"))
+    cut = sharding.cut_runs(sharding.hilbert_order(docs, ["size"], ["lang", "source"]), ["hilbert", "doc_id"], 8)
+    sharding.write_shards(cut, str(tmp_path / "s"), rows_per_file=25)
+    files = list((tmp_path / "s").rglob("*.parquet"))
+    boxes = []
+    for f in files:
+        t = pq.read_table(f, columns=["lang", "size"])
+        boxes.append((set(t["lang"].to_pylist()), min(t["size"].to_pylist()), max(t["size"].to_pylist())))
+    mid = sorted(s for _, a, b in boxes for s in (a, b))[len(boxes)]
+    met = sum(min(ls) <= "fr" <= max(ls) and a <= 1.1 * mid and b >= 0.9 * mid for ls, a, b in boxes)
+    assert len(files) >= 30 and met <= 0.6 * len(files)
+
+
 def test_van_der_corput_reverses_bits(spark):
     got = {r.id: r.p for r in spark.range(64).withColumn("p", mixing.van_der_corput(mixing.F.col("id"), 6)).collect()}
     assert got == {i: int(f"{i:06b}"[::-1], 2) for i in range(64)}

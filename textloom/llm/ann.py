@@ -230,7 +230,7 @@ def levels_of(members: np.ndarray, links: np.ndarray) -> list[tuple[np.ndarray,
 def found_by(shard: dict, ask: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query_id, vec_id, score) of the k best of all that a shard's search has found, ties to the lesser id."""
     v, ids, offsets = shard["v"], shard["ids"], shard["offsets"]
-    shift = np.abs(v).max(initial=0)
+    shift = float(np.abs(v).max(initial=0))
     by = shift if shift > 1e100 else 1.0
     beam, dist = search(q.astype(np.float64) / by, v.astype(np.float64) / by, shard["levels"])
     out = []
