@@ -3,10 +3,11 @@
 import duckdb
 import pandas as pd
 import pytest
-from textloom.plans import catalogue
+from textloom.plans import catalogue, services
 
 import __spark_entry__
 
+assert services.QUERIES is catalogue.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

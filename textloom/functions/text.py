@@ -357,11 +357,6 @@ def fatal_class(message: Column) -> Column:
     return _by_message(message, FATAL_KINDS, "api_error")
 
 
-def mostly(c: Column, cls: str, share: float) -> Column:
-    """Whether at least this share of a text's characters are of a class: dot leaders, page numbers."""
-    return (F.length(c) > 0) & (count_of(c, cls) >= share * F.length(c))
-
-
 #: What looks like a date as a whole; a text that begins like a section number.
 DATE_FORM = r"^(?:\d{4}([./-])\d{1,2}\1\d{1,2}|\d{1,2}([./-])\d{1,2}\2\d{4}|\d{1,2}\.\d{1,2}\.\d{2}|\d{4}\.\d{1,2}|\d{1,2}\.\d{4})$"
 SECTION_FORM = r"^\d+(?:\.\d+)+(?:\s|$|[\p{L}\p{N}_])"
@@ -374,3 +369,91 @@ def without_numbering(c: Column, numbered: Column | bool = True) -> Column:
     numbered = F.lit(numbered) if isinstance(numbered, bool) else numbered
     stays = ~numbered | trim_u(c).rlike(DATE_FORM) | trim_u(c).rlike(SECTION_FORM)
     return F.when(stays, c).when((bullet != c) & (trim_u(bullet) != ""), bullet).when((dash != c) & (F.length(trim_u(dash)) > 2), dash).otherwise(c)
+
+
+def is_date(c: Column) -> Column:
+    return F.coalesce(trim_u(c).rlike(DATE_FORM), F.lit(False))
+
+
+def is_section_number(c: Column) -> Column:
+    """Whether a text begins like 1.1 or 3.2.1."""
+    return F.coalesce(c.rlike(SECTION_FORM), F.lit(False))
+
+
+def is_page_number(c: Column) -> Column:
+    """Whether a text is a page number: digits or a Roman numeral, alone, in brackets, or among dashes and dots."""
+    t = trim_u(c)
+    number = t.rlike(r"^\d+$") & F.coalesce(t.try_cast("int").between(1, 9999), F.lit(False))
+    return F.coalesce(number | t.rlike("(?i)^[ivxlcdm]+$") | t.rlike(r"^(?!\d+$)[-\s.]*\d+[-\s.]*$") | t.rlike(r"^[\(\[{]\s*\d+\s*[\)\]}]$"), F.lit(False))
+
+
+def is_dot_leader(c: Column) -> Column:
+    """Whether over 0.7 of a text's characters, blanks left out, are dots."""
+    solid = F.translate(trim_u(c), " \t", "")
+    dots = F.length(solid) - F.length(F.translate(solid, ".", ""))
+    return F.coalesce((F.length(solid) > 0) & (dots > 0.7 * F.length(solid)), F.lit(False))
+
+
+#: A line of contents: dots, tabs or many spaces before a page number, or a number right behind a dot.
+CONTENTS = (r"\.{3,}\s*\d+$", r".\t{2,}\d+$", r".\t+\s+\d+$", r".\s{5,}\d+$", r".\.\s*\.+\s*\d+$", r"^\d+\.?\d*\s+.+\.{2,}\s*\d+$", r"(?i)^[A-Z][A-ZÁÉÍÓÚÜÑ\s]+\t+\d+$", r".\s*\.\d+$", r".\t+\.{2,}\s*\d+$")
+
+
+def is_contents_line(c: Column) -> Column:
+    """Whether a text is a line of contents; something has to be left without the number and the dots."""
+    t = trim_u(c)
+    title = trim_u(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s*\.\d+\s*$", ""), r"\s*\d+\s*$", ""), r"\.{3,}\s*$", ""))
+    return F.coalesce((F.length(title) >= 2) & t.rlike("|".join(f"(?:{p})" for p in CONTENTS)), F.lit(False))
+
+
+def word_prose(c: Column) -> Column:
+    """The filter of paragraphs: with letters, or three characters with a digit, without the placeholders in them; no bare
+    numbers, no marks only."""
+    t = trim_u(F.regexp_replace(F.coalesce(c, F.lit("")), r"\{\{[^}]+\}\}|\[formula_\d+\]", ""))
+    marks = r"^[.,;:!?()\[\]{}\"'\-_=+*&^%$#@~`|\\/<>]*$"
+    return F.when(t.rlike(marks) | t.rlike(r"^\p{N}+$"), False).when(t.rlike(DATE_FORM) | t.rlike(r"\p{L}"), True).when((F.length(t) >= 3) & t.rlike(r"\p{N}"), True).otherwise(should_translate(c))
+
+
+def is_image_data(c: Column) -> Column:
+    """Whether a text is or shows an image in base64: by its address, or over 100 letters of that alphabet, four by four."""
+    bare = F.regexp_replace(c, f"{WHITE}+", "")
+    alone = (F.length(c) > 100) & (F.length(bare) > 100) & (F.length(bare) % 4 == 0) & bare.rlike("^[A-Za-z0-9+/=]+$")
+    return F.coalesce(c.rlike(r'(?i)data:image/[^;]+;base64,|!\[.*?\]\(data:image/|<img[^>]*src="data:image/') | alone, F.lit(False))
+
+
+def markdown_prose(c: Column) -> Column:
+    return ~is_image_data(c) & should_translate(c)
+
+
+def is_file_name(c: Column) -> Column:
+    """Whether a name may become a file's: not blank, no reserved characters."""
+    return F.coalesce((trim_u(c) != "") & ~c.rlike(r'[\\/:*?"<>|]'), F.lit(False))
+
+
+def is_session(c: Column) -> Column:
+    """Whether a session's name is safe in a path: 12 to 32 lower-case hexadecimal digits."""
+    return F.coalesce(c.rlike("^[0-9a-f]{12,32}$"), F.lit(False))
+
+
+def is_inside(c: Column) -> Column:
+    """Whether a relative path leads nowhere above its root."""
+    return F.coalesce((trim_u(c) != "") & ~F.array_contains(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), ".."), F.lit(False))
+
+
+# Kinds of formats by extension, and codes of languages by their own names.
+FORMATS = {
+    "fmt-word": "docx", "fmt-ppt": "pptx", "fmt-excel": "xlsx csv tsv", "fmt-pdf": "pdf", "fmt-subtitle": "srt vtt ass ssa lrc", "fmt-text": "txt md epub html htm odt json",
+    "fmt-image": "png jpg jpeg webp bmp", "fmt-video": "mp4 mkv mov avi webm mp3 wav m4a flac",
+}
+LANGUAGES = {"日本語": "ja", "中文": "zh", "繁體中文": "zh-Hant", "English": "en", "Español": "es", "Français": "fr", "Deutsch": "de", "Italiano": "it", "Português": "pt", "Русский": "ru", "한국어": "ko", "ภาษาไทย": "th", "Tiếng Việt": "vi"}
+
+
+def format_category(extension: Column) -> Column:
+    """The kind of a format by its extension, with or without a dot; null for any other."""
+    named = F.create_map(*[F.lit(x) for kind, exts in FORMATS.items() for e in exts.split() for x in (e, kind)])
+    return F.try_element_at(named, F.lower(F.ltrim(F.coalesce(extension, F.lit("")), F.lit("."))))
+
+
+def language_code(name: Column) -> Column:
+    """The code of a language by its own name; any other name is a code, in lower case."""
+    named = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    return F.coalesce(F.try_element_at(named, name), F.lower(name))

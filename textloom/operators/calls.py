@@ -26,8 +26,14 @@ def stand_in(request: Column) -> Column:
 def masked(c: Column) -> Column:
     """struct(text, tokens): machine tokens as numbered marks; texts without any stay in the JVM."""
     some = c.rlike(r"[%$\{]")
-    done = arrow(lambda t: (lambda m: {"text": m[0], "tokens": list(m[1].values())})(mask(t)), "struct<text:string,tokens:array<string>>")(F.when(some, c))
-    return F.when(some, done).otherwise(F.struct(c.alias("text"), F.array().cast("array<string>").alias("tokens")))
+    done = arrow(_marked, "array<string>")(F.when(some, c))
+    return F.when(some, F.struct(done[0].alias("text"), F.slice(done, F.lit(2), F.size(done)).alias("tokens"))).otherwise(F.struct(c.alias("text"), F.array().cast("array<string>").alias("tokens")))
+
+
+def _marked(text: str) -> list[str]:
+    """The masked text, then its tokens."""
+    bare, kept = mask(text)
+    return [bare, *kept.values()]
 
 
 def unmasked(c: Column, tokens: Column) -> Column:
@@ -40,7 +46,7 @@ def unmasked(c: Column, tokens: Column) -> Column:
 def requests(chunks: DataFrame, budget: int | None) -> DataFrame:
     """(doc_id, batch, request, items) of chunks (doc_id, count_split, value): batches by token budget (none: a chunk each),
     the request as JSON of ids and masked texts, items as structs (count_split, value, tokens)."""
-    rows = chunks.select("doc_id", F.col("count_split").cast("int").alias("ord"), "value")
+    rows = chunks.where("count_split is not null").select("doc_id", F.col("count_split").cast("int").alias("ord"), "value")
     if budget is None:
         placed = rows.withColumn("batch", F.col("ord"))
     else:

@@ -234,3 +234,50 @@ def translate_rounds(chunks: DataFrame, call: Callable[[DataFrame, int], DataFra
         if left.isEmpty():
             break
     return done.withColumn("translated", F.when(F.col("outcome") == "failed", F.col("original")).otherwise(F.col("translated")))
+
+
+# --- sets of rows -----------------------------------------------------------------------------------------------------
+
+
+def unfinished(chunks: DataFrame) -> DataFrame:
+    """What a run that goes on still has to do: rows with an id and a text that are not marked as translated."""
+    return chunks.where(F.col("count_split").isNotNull() & (X.trim_u(F.coalesce("value", F.lit(""))) != "") & ~F.coalesce("translated_status", F.lit(False)))
+
+
+def marked(chunks: DataFrame, results: DataFrame, key: str = "count_split") -> DataFrame:
+    """chunks with translated_status where results have their id."""
+    done = results.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_done", F.lit(True))
+    return chunks.drop("translated_status").join(done, key, "left").withColumn("translated_status", F.coalesce("_done", F.lit(False))).drop("_done")
+
+
+def first_reports(known: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """known, and of more what has a key that known has not, the first of each by its other columns."""
+    fresh = more.where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti")
+    one = fresh.groupBy(key).agg(F.min(F.struct(*[c for c in more.columns if c != key])).alias("_r")).select(key, "_r.*")
+    return known.unionByName(one)
+
+
+def missing_ids(chunks: DataFrame, results: DataFrame, key: str = "count_split") -> DataFrame:
+    """Ids that have no result."""
+    return chunks.select(key).distinct().join(results.select(key), key, "left_anti")
+
+
+def all_failed_before(batches: DataFrame, failed: DataFrame) -> DataFrame:
+    """(batch, retried) of (batch, count_split): whether all ids of a batch are among the failed, so it is no first try."""
+    seen = batches.join(failed.select("count_split").distinct().withColumn("_f", F.lit(True)), "count_split", "left")
+    return seen.groupBy("batch").agg(F.bool_and(F.coalesce("_f", F.lit(False))).alias("retried"))
+
+
+def routed(rows: DataFrame, types: tuple[str, ...]) -> dict[str, DataFrame]:
+    """rows by their type, for the writer of each part; types have no rows in common."""
+    return {t: rows.where(F.col("type") == t) for t in types}
+
+
+def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """rows but for those that gone names: lines that have been merged into others."""
+    return rows.join(gone.select(*on), on, "left_anti")
+
+
+def default_first(name: Column, first: str = "Default") -> list[Column]:
+    """An order of names: one of them, then the others in any case."""
+    return [name != first, F.lower(name), name]

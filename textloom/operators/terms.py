@@ -72,6 +72,11 @@ def merge(extracted: DataFrame, user: DataFrame) -> DataFrame:
     return best.select("b.src", "b.dst")
 
 
+def longest_first(matches: DataFrame) -> DataFrame:
+    """Adds rank: a text's terms, the longest first, equals in glossary order."""
+    return matches.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("src").desc(), "ord")))
+
+
 LEAST, MOST, KEPT = 2, 80, 60  # Fixed values: characters of a term; terms that are kept
 
 

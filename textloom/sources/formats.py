@@ -106,6 +106,11 @@ SKIP_KEYS = frozenset(
 )
 
 
+def skip_keys(more: list[str]) -> frozenset:
+    """The excluded keys and those that are configured beside them."""
+    return SKIP_KEYS | {k.lower() for k in more}
+
+
 def leaves(tree, skip_keys=SKIP_KEYS, skip_paths=frozenset()) -> Iterator[tuple[tuple, str]]:
     """(path, text) of the strings of a tree in order, but for those whose nearest key, or whose path of keys with dots
     between, is excluded. Elements of a list count under the list's key, and their numbers are no part of such a path."""

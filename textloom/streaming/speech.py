@@ -224,3 +224,108 @@ def changes(progress: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
     return progress.withColumn("_before", before).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
+
+
+# Fixed values, milliseconds: a silence that ends a region, the least and the longest region, what is added at both ends.
+REGION_HANG, REGION_LEAST, REGION_MOST, REGION_PAD = 300, 160, 30_000, 100
+REGIONS = "key long, start double, end double"
+
+
+class Regions(Machine):
+    """Frames (key, ms, voiced) of a recording to its regions of speech: a silence ends one, and so does its length; those
+    that are long enough are widened at both ends, as far as the recording goes."""
+
+    def __init__(self):
+        self.start, self.silent, self.until, self.ready, self.key = None, 0, 0, [], None
+
+    def add(self, key, ms, voiced) -> list[tuple]:
+        self.key, self.until = key, ms + FRAME
+        if self.start is None:
+            self.start, self.silent = (ms, 0) if voiced else (None, 0)
+            return []
+        self.silent = 0 if voiced else self.silent + FRAME
+        if self.silent >= REGION_HANG or self.until - self.start >= REGION_MOST:
+            self.flush(self.until - self.silent)
+        return []
+
+    def flush(self, end: int) -> None:
+        if end - self.start >= REGION_LEAST:
+            self.ready.append((self.start, end))
+        self.start, self.silent = None, 0
+
+    def close(self) -> list[tuple]:
+        if self.start is not None:
+            self.flush(self.until)
+        return [(self.key, max(0.0, float(a - REGION_PAD)), min(float(self.until), float(b + REGION_PAD))) for a, b in self.ready]
+
+
+def speech_regions(frames: DataFrame) -> DataFrame:
+    """(key, start, end) of the regions of frames (key, ms, voiced): see Regions."""
+    return fold(frames.select("key", "ms", "voiced"), "key", ["ms"], Regions, REGIONS)
+
+
+class Blocks(Machine):
+    """Packets (key, n, pcm) of 16-bit samples to frames of `samples`; what is no whole frame waits for the next packet."""
+
+    def __init__(self, samples: int = 256):
+        self.size, self.rest, self.frame = 2 * samples, b"", 0
+
+    def add(self, key, n, pcm) -> list[tuple]:
+        self.rest += pcm or b""
+        whole = len(self.rest) // self.size
+        out = [(key, self.frame + i, self.rest[i * self.size : (i + 1) * self.size]) for i in range(whole)]
+        self.rest, self.frame = self.rest[whole * self.size :], self.frame + whole
+        return out
+
+
+def reblocked(packets: DataFrame, samples: int = 256) -> DataFrame:
+    """(key, frame, pcm) of packets (key, n, pcm): see Blocks."""
+    return fold(packets.select("key", "n", "pcm"), "key", ["n"], lambda: Blocks(samples), "key long, frame long, pcm binary")
+
+
+class Requests(Machine):
+    """Times (key, ms, age, final) of an utterance to requests (key, ms, kind): a partial one every `every` ms once there
+    is enough speech, and the final one."""
+
+    def __init__(self, every: int = 360):
+        self.every, self.since = every, 0
+
+    def add(self, key, ms, age, final) -> list[tuple]:
+        self.since += FRAME
+        if final:
+            self.since = 0
+            return [(key, ms, "final")] if age >= SHORTEST else []
+        if self.since >= self.every and age >= SHORTEST:
+            self.since = 0
+            return [(key, ms, "partial")]
+        return []
+
+
+def live_context(lines: DataFrame, last: int = 3, size: int = 200) -> DataFrame:
+    """Adds context to lines (key, n, text): the last lines before that have words, the end of them."""
+    from pyspark.sql import Window
+
+    from textloom.functions import captions
+
+    told = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    spoken = F.when(captions.worth_showing(F.col("text")), F.struct("n", "text"))
+    # lines before are numbered, so that only the last few are held
+    numbered = lines.withColumn("_no", F.coalesce(F.count(spoken).over(told), F.lit(0)))
+    real = numbered.where(captions.worth_showing(F.col("text"))).select("key", F.col("_no").alias("_i"), F.col("text").alias("_t"))
+    wanted = numbered.withColumn("_i", F.explode_outer(F.when(F.col("_no") > 0, F.sequence(F.greatest(F.col("_no") - last, F.lit(0)), F.col("_no") - 1))))
+    got = wanted.join(real, ["key", "_i"], "left").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_i", "_t")))).alias("_l"))
+    return got.select("key", "n", F.right(F.array_join(F.transform("_l", lambda x: x["_t"]), " "), F.lit(size)).alias("context"))
+
+
+def served(requests: DataFrame) -> DataFrame:
+    """Adds served to requests (kind, busy): a busy recogniser drops partial ones, the next brings their sound again; final
+    ones wait."""
+    return requests.withColumn("served", ~F.col("busy") | (F.col("kind") == "final"))
+
+
+def cumulative(deltas: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Adds text to deltas (.., delta): all that a reply has said so far. A reply is bounded by its model's cap."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return deltas.withColumn("text", F.array_join(F.collect_list("delta").over(w), ""))
