@@ -3,11 +3,11 @@
 import duckdb
 import pandas as pd
 import pytest
-from textloom.plans import catalogue, services
+from textloom.plans import catalogue, documents, scalars, services
 
 import __spark_entry__
 
-assert services.QUERIES is catalogue.QUERIES
+assert services.QUERIES is catalogue.QUERIES and documents.FILES and scalars.v
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -7,7 +7,7 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -294,3 +294,18 @@ def removable(wanted: dict[str, set[str]], name: str) -> set[str]:
 def retry_budget(budget: int, round_: int, least: int = 256) -> int:
     """A batch's token budget in a retry round: halved each time."""
     return max(least, int(budget * 0.5 ** (round_ + 1)))
+
+
+def vocabulary_count(path: str) -> Callable[[Column], Column]:
+    """A column function that counts tokens by the vocabulary file at `path`, which every executor has to have; null and
+    empty texts have none."""
+
+    @F.pandas_udf("long")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        of = Tokenizer.from_file(path)
+        for part in parts:
+            yield pd.Series([len(of.encode(t or "", add_special_tokens=False).ids) for t in part], dtype="int64")
+
+    return run

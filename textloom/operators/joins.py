@@ -19,7 +19,7 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", least: int = 10_000) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", least: int = 1_000) -> DataFrame:
     """big joined (inner, left, left_semi or left_anti) with small, rows of a hot key of big spread over parts and small's
     row repeated for each part. big is counted first, so it should be a written table."""
     total = big.count()

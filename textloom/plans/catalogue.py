@@ -235,7 +235,12 @@ def chunk_split(spark, sf):
     return segments.split_chunks(d, 256)
 
 
-@query()
+_GREEDY = """l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM items),
+r AS (SELECT doc_id, k, ord, cost, 0 AS batch, cost AS used FROM l WHERE k = 1
+ UNION ALL SELECT l.doc_id, l.k, l.ord, l.cost, CASE WHEN r.used > 0 AND r.used + l.cost > {budget} THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used > 0 AND r.used + l.cost > {budget} THEN l.cost ELSE r.used + l.cost END FROM r JOIN l ON l.doc_id = r.doc_id AND l.k = r.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {LINES}, items AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, len(regexp_extract_all(CAST(json_object(CAST(ord AS VARCHAR), value) AS VARCHAR), '\\p{{L}}+|\\p{{N}}|[^\\s\\p{{L}}\\p{{N}}]+')) AS cost FROM lines WHERE NOT blank), {_GREEDY.format(budget=512)} SELECT doc_id, ord, cost, batch FROM r")
 def pack_batches(spark, sf):
     return segments.pack(doc_lines(spark, sf).where("not blank"), 512)
 
@@ -338,7 +343,11 @@ def lenient_json(spark, sf):
     return e.select("event_id", F.explode(X.reply_items(F.col("reply"))).alias("item", "value"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)', '', 'g') AS h FROM pages),
+p AS (SELECT page_id, string_split_regex(h, '<br>|</?(?:p|h1|li|div|article|title|footer)(?:\s[^>]*)?>') AS v FROM c),
+u AS (SELECT page_id, unnest(range(len(v))) AS i, unnest(v) AS t FROM p),
+w AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS value FROM u)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS n, 'block' AS type, 'b' || (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1) AS place, value FROM w WHERE value <> ''""")
 def html_blocks(spark, sf):
     from textloom.sources import trees
 
@@ -431,13 +440,17 @@ def fixed_windows(spark, sf):
     return timeline.tumbling(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") * F.lit(40.0)).alias("total")), 25000.0)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn * 0.5 AS s, least((turn * 4.0 + 1 + length(text) / 20) / 8, turn * 0.5 + 0.4) AS e, text, length(text) + length(text) - length(regexp_replace(text, '[\\x{3000}-\\x{9fff}\\x{ff00}-\\x{ffef}]', '', 'g')) AS w FROM conversations),
+m AS (SELECT doc_id, k, s, e, text, w, 1 AS grp FROM c WHERE k = 1 UNION ALL
+ SELECT c.doc_id, c.k, CASE WHEN j THEN m.s ELSE c.s END, c.e, CASE WHEN j THEN trim(m.text || CASE WHEN regexp_matches(right(m.text, 1), '[\\x{3000}-\\x{9fff}\\x{ff00}-\\x{ffef}]') THEN '' ELSE ' ' END || c.text, ' ' || chr(10) || chr(9) || chr(13)) ELSE c.text END, CASE WHEN j THEN m.w + c.w ELSE c.w END, CASE WHEN j THEN m.grp ELSE m.grp + 1 END
+ FROM (SELECT m.*, least(m.e - m.s, c.e - c.s) < 1.2 AND c.s - m.e < 0.4 AND c.e - m.s <= 7 AND m.w + c.w <= 84 AS j FROM m JOIN c ON c.doc_id = m.doc_id AND c.k = m.k + 1) m JOIN c ON c.doc_id = m.doc_id AND c.k = m.k + 1)
+SELECT doc_id, s AS start, e AS "end", text FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, grp ORDER BY k DESC) = 1""")
 def cue_merge(spark, sf):
     c = cues(spark, sf).select("doc_id", "start", "end", F.col("original").alias("text"))
     return timeline.merge_cues(c.withColumn("start", F.col("start") / 8).withColumn("end", F.least(F.col("end") / 8, F.col("start") + 0.4)), 42)
 
 
-@query()
+@query(f"WITH RECURSIVE items AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS ord, length(text) / 12.0 AS cost FROM conversations), {_GREEDY.format(budget='60.0')} SELECT doc_id, ord, cost AS duration, batch FROM r")
 def audio_batches(spark, sf):
     c = read(spark, sf, "conversations")
     return timeline.duration_batches(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), (F.length("text") / F.lit(12.0)).alias("duration")), 60.0)
@@ -450,23 +463,28 @@ def srt_times(spark, sf):
 
 
 def boxes(spark, sf):
-    line = read(spark, sf, "lineitem")
+    """A box for each line of an order; lines of one number are one box."""
+    line = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     x, y = (F.col("l_partkey") % 400).cast("double"), (F.col("l_linenumber") * 20.0)
     return line.select((F.col("l_orderkey") % 97).alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), x.alias("x0"), y.alias("y0"), (x + 30).alias("x1"), (y + 12).alias("y1"))
 
 
-@query()
+_BOXES = "b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, l_linenumber AS line, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_linenumber * 20.0 AS y0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber))"
+
+
+@query(f"WITH {_BOXES}, g AS (SELECT *, CASE WHEN x0 - lag(x0) OVER w <= 34 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY image, line ORDER BY x0)), s AS (SELECT *, sum(new) OVER (PARTITION BY image, line ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT image, id, min(id) OVER (PARTITION BY image, line, island) AS grp FROM s")
 def regions_components(spark, sf):
+    """Boxes of a line that are near enough in a row hang together; lines are too far apart to link."""
     b = boxes(spark, sf)
-    return timeline.box_groups(b, timeline.boxes_linked(b, 4.0))
+    return timeline.box_groups(b, timeline.boxes_linked(b, 4.0)).select("image", "id", "grp")
 
 
-@query("WITH b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_linenumber * 20.0 AS y0 FROM lineitem) SELECT l.image, l.id AS a, r.id AS b FROM b l JOIN b r ON l.image = r.image AND l.id < r.id WHERE greatest(l.x0, r.x0) - least(l.x0 + 30, r.x0 + 30) <= 4 AND greatest(l.y0, r.y0) - least(l.y0 + 12, r.y0 + 12) <= 4")
+@query("WITH b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_linenumber * 20.0 AS y0 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber)) SELECT l.image, l.id AS a, r.id AS b FROM b l JOIN b r ON l.image = r.image AND l.id < r.id WHERE greatest(l.x0, r.x0) - least(l.x0 + 30, r.x0 + 30) <= 4 AND greatest(l.y0, r.y0) - least(l.y0 + 12, r.y0 + 12) <= 4")
 def region_links(spark, sf):
     return timeline.boxes_linked(boxes(spark, sf), 4.0)
 
 
-@query()
+@query(f"WITH {_BOXES} SELECT image, id, CAST(row_number() OVER (PARTITION BY image ORDER BY y0, x0, id) - 1 AS INTEGER) AS rank FROM b")
 def region_order(spark, sf):
     return timeline.reading_order(boxes(spark, sf))
 
@@ -553,9 +571,16 @@ def session_windows(spark, sf):
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+e AS (SELECT key, k, (k - 1) * 16 AS ms, k // 20 % 3 <> 2 AS v, k = max(k) OVER (PARTITION BY key) AS last FROM f),
+a AS (SELECT key, k, last, CASE WHEN v THEN 16 ELSE 0 END AS voice, 0 AS silence, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS es, CAST(NULL AS BIGINT) AS ee FROM e WHERE k = 1 UNION ALL
+ SELECT key, k, last, CASE WHEN s IS NULL THEN voice WHEN shut THEN 0 ELSE voice END, CASE WHEN s IS NULL OR shut THEN 0 ELSE silence END, CASE WHEN s IS NULL THEN CASE WHEN voice >= 90 THEN greatest(0, ms + 16 - 500) END WHEN shut THEN NULL ELSE s END,
+  CASE WHEN (shut OR (last AND s IS NOT NULL)) AND age >= 280 THEN s END, CASE WHEN (shut OR (last AND s IS NOT NULL)) AND age >= 280 THEN ms + 16 END
+ FROM (SELECT *, s IS NOT NULL AND (silence >= CASE WHEN age < 4000 THEN 900 WHEN age < 8000 THEN 630 ELSE 500 END OR age >= 30000) AS shut
+  FROM (SELECT e.key, e.k, e.last, e.ms, a.s, CASE WHEN a.s IS NULL THEN CASE WHEN e.v THEN a.voice + 16 ELSE 0 END ELSE a.voice END AS voice, CASE WHEN e.v THEN 0 ELSE a.silence + 16 END AS silence, e.ms + 16 - a.s AS age FROM a JOIN e ON e.key = a.key AND e.k = a.k + 1)))
+SELECT key, es AS start, ee AS "end" FROM a WHERE es IS NOT NULL UNION ALL SELECT key, s, (k - 1) * 16 + 16 FROM a WHERE last AND s IS NOT NULL AND es IS NULL AND (k - 1) * 16 + 16 - s >= 280""")
 def vad_segments(spark, sf):
-    """Frames made of the events of a user: one every 16 ms, voiced by event type."""
+    """Frames made of the events of a user: one every 16 ms, voiced by turns."""
     from textloom.streaming import speech
 
     w = Window.partitionBy("user_id").orderBy("event_id")

@@ -192,6 +192,16 @@ class Stored(Machine):
         return [] if self.placed else [(self.key, *x) for x in self.state.close()]
 
 
+class Told(Machine):
+    """A state of this module over stored rows (key, n, value): (key, n, what it says)."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def add(self, key, n, value) -> list[tuple]:
+        return [(key, n, self.state.add(value))]
+
+
 def voice_segments(frames: DataFrame) -> DataFrame:
     """(key, start, end) of stored frames (key, ms, voiced); a stream takes stateful(..., VoiceSegments, voice_step)."""
     return fold(frames.select("key", "ms", "voiced"), "key", ["ms"], lambda: Stored(VoiceSegments(), False), VOICE)
@@ -329,3 +339,8 @@ def cumulative(deltas: DataFrame, key: list[str], order: str) -> DataFrame:
 
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return deltas.withColumn("text", F.array_join(F.collect_list("delta").over(w), ""))
+
+
+def resting(failures: DataFrame) -> DataFrame:
+    """(model, until) of failures (model, now, seconds): the latest time that any of them has named, a second at least."""
+    return failures.groupBy("model").agg(F.max(F.col("now") + F.greatest(F.lit(1.0), F.col("seconds").cast("double"))).alias("until"))
