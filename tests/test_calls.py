@@ -92,3 +92,52 @@ def test_marks_and_reports(spark):
     c = spark.createDataFrame([(i, str(i)) for i in range(4)], "count_split long, value string")
     assert {r.count_split for r in segments.unfinished(segments.marked(c, c.where("count_split < 2"))).collect()} == {2, 3}
     assert sorted((r.count_split, r.value) for r in segments.first_reports(c.limit(1), spark.createDataFrame([(0, "z"), (9, "b"), (9, "a"), (None, "n")], c.schema), "count_split").collect()) == [(0, "0"), (9, "a")]
+
+
+def test_a_run_can_be_watched_and_stopped(spark):
+    import threading
+    import time
+
+    from textloom.operators import control
+
+    ended: list = []
+
+    def work():
+        with control.job_group(spark, "slow", "a run"):
+            try:
+                slow = F.udf(lambda i: time.sleep(0.2) or i, "long")
+                spark.range(0, 4000, 1, 16).select(slow("id")).write.format("noop").mode("overwrite").save()
+                ended.append("done")
+            except Exception:
+                ended.append("stopped")
+
+    t = threading.Thread(target=work)
+    t.start()
+    time.sleep(4)
+    assert 0 <= control.progress(spark, "slow") < 1
+    control.stop(spark, "slow")
+    t.join(30)
+    assert ended == ["stopped"] and control.progress(spark, "slow") == 1.0
+
+
+def test_glossary_files_have_guards(spark, tmp_path):
+    from textloom.sources import glossaries
+
+    folder = f"file://{tmp_path}"
+    glossaries.write(spark, folder, "Default", ["en", "日本語", "de"], [["a", "あ", "A"], ["b", "", "B"], ["q\"x", "く", "Q,\n"]])
+    terms_ = lambda s, d: sorted((r.src, r.dst) for r in glossaries.scan(spark, folder, s, d).collect())
+    assert terms_("en", "ja") == [("a", "あ"), ('q"x', "く")] and terms_("auto", "English") == [("A", "a"), ("B", "b"), ("Q,", 'q"x')] or terms_("auto", "English")[0] == ("あ", "a")
+    assert terms_("en", "fr") == []
+    with pytest.raises(FileExistsError):
+        glossaries.write(spark, folder, "Default", ["en"], [], new=True)
+    with pytest.raises(ValueError, match="empty"):
+        glossaries.write(spark, folder, "Default", ["en", "de"], [])
+    for bad in ("a/b", " ", 'x"'):
+        with pytest.raises(ValueError, match="name"):
+            glossaries.write(spark, folder, bad, ["en"], [])
+    with pytest.raises(ValueError, match="stays"):
+        glossaries.delete(spark, folder, "Default")
+    glossaries.write(spark, folder, "Mine", ["en"], [], new=True)
+    glossaries.delete(spark, folder, "Mine")
+    with pytest.raises(FileNotFoundError):
+        glossaries.delete(spark, folder, "Mine")

@@ -307,8 +307,16 @@ def duration(seconds: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """A number of tokens, from a thousand on in K with one decimal; null is 0."""
-    return F.when(n >= 1000, F.format_string("%.1fK", n / F.lit(1000.0))).otherwise(F.coalesce(n, F.lit(0)).cast("string"))
+    """A number of tokens, from a thousand on in K with one decimal; null is 0. Halves go the way that the double nearest to
+    the thousands does, as printf has it, exact ones to the even side."""
+    # the double as a whole number of 2^-52, or 2^-42 from two thousand on, beside the decimal
+    wide = lambda c: c.cast("long").cast("decimal(20,0)")
+    scale = F.when(n < 2_000_000, float(1 << 52)).otherwise(float(1 << 42))
+    lean = wide(n / F.lit(1000.0) * scale) * 1000 - wide(n) * wide(scale)
+    tenths, rest = F.floor(n / 100), n % 100
+    up = (rest > 50) | ((rest == 50) & ((lean > 0) | ((lean == 0) & (tenths % 2 == 1))))
+    shown = tenths + up.cast("int")
+    return F.when(n >= 1000, F.concat(F.floor(shown / 10).cast("string"), F.lit("."), (shown % 10).cast("string"), F.lit("K"))).otherwise(F.coalesce(n, F.lit(0)).cast("string"))
 
 
 def version_parts(c: Column) -> Column:
@@ -457,3 +465,15 @@ def language_code(name: Column) -> Column:
     """The code of a language by its own name; any other name is a code, in lower case."""
     named = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(F.try_element_at(named, name), F.lower(name))
+
+# The setting that says whether files of a kind show both languages.
+BILINGUAL = {
+    "excel_bilingual_mode": "xlsx", "word_bilingual_mode": "docx", "pdf_bilingual_mode": "pdf", "subtitle_bilingual_mode": "srt vtt " + FORMATS["fmt-video"],
+    "txt_bilingual_mode": "txt", "md_bilingual_mode": "md", "epub_bilingual_mode": "epub", "html_bilingual_mode": "html htm",
+}
+
+
+def bilingual_key(name: Column) -> Column:
+    """That setting by a file's name, null for other kinds."""
+    named = F.create_map(*[F.lit(x) for key, exts in BILINGUAL.items() for e in exts.split() for x in (e, key)])
+    return F.try_element_at(named, file_type(name))

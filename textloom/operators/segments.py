@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -183,26 +183,33 @@ def split_chunks(segments: DataFrame, limit: int = 1200) -> DataFrame:
     def cut(text: str) -> list[str]:
         import re
 
-        count = lambda t: len(re.findall(r"[^\W\d_]+|\d|[^\s\w]+|_", t))
+        token = re.compile(r"[^\W\d_]+|\d|[^\s\w]+|_")
+        count = lambda t: len(token.findall(t))
         if count(text) <= limit:
             return [text]
         for a, b in (("..", "."), ("。。", "。"), ("，，", "，"), ("!!", "!"), ("??", "?")):
             text = text.replace(a, b)
-        pieces = re.findall(r"""[^.!?;。！？；\n]*[.!?;。！？；\n]["'”’」』）)]* *|[^.!?;。！？；\n]+$""", text)
-        fine: list[str] = []
-        for p in pieces:
-            if count(p) <= limit:
-                fine.append(p)
-                continue
-            for q in re.findall(r"[^,，、:：]*[,，、:：] *|[^,，、:：]+$", p):
-                step = max(1, int(0.9 * limit * len(q) / max(count(q), 1)))
-                fine += [q[i : i + step] for i in range(0, len(q), step)] if count(q) > limit else [q]
-        out, now = [], ""
-        for p in fine:
-            if now and count(now + p) > limit:
+
+        def fine(part: str, patterns: tuple[str, ...]) -> Iterator[tuple[str, int]]:
+            """(piece, tokens) of a part, cut by the first pattern, pieces that are still over the limit by the next ones,
+            and at last by length."""
+            n = count(part)
+            if n <= limit:
+                yield part, n
+            elif patterns:
+                for piece in re.findall(patterns[0], part):
+                    yield from fine(piece, patterns[1:])
+            else:
+                step = max(1, int(0.9 * limit))
+                ends = [0, *[m.end() for m in token.finditer(part)][step - 1 : -1 : step], len(part)]
+                yield from ((part[a:b], step) for a, b in zip(ends, ends[1:], strict=False) if a < b)
+
+        out, now, held = [], "", 0
+        for piece, n in fine(text, (r"""[^.!?;。！？；\n]*[.!?;。！？；\n]["'”’」』）)]* *|[^.!?;。！？；\n]+$""", r"[^,，、:：]*[,，、:：] *|[^,，、:：]+$")):
+            if now and held + n > limit:
                 out.append(now)
-                now = ""
-            now += p
+                now, held = "", 0
+            now, held = now + piece, held + n
         return [*out, now] if now else out
 
     @F.pandas_udf("array<string>")
