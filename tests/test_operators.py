@@ -88,6 +88,41 @@ def test_global_rank_is_gapless(spark):
     assert ordering.global_rank(df.limit(0), ["v"]).collect() == []
 
 
+def test_running_sums_of_a_hot_group(spark):
+    rows = [("hot" if i % 3 else f"g{i % 40}", (i * 7919) % 3001, i % 13) for i in range(3000)] + [(None, i, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, o int, v long")
+    got = {(r.g, r.o): r.t for r in ordering.running_sum(df.repartition(6), ["g"], [F.col("o").desc()], F.col("v"), "t").collect()}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for _, o, v in sorted((r for r in rows if r[0] == g), key=lambda r: -r[1]):
+            total += v
+            assert got[g, o] == total
+    assert ordering.running_sum(df.limit(0), ["g"], [F.col("o")], F.col("v"), "t").collect() == []
+
+
+def test_sessions_over_the_cuts_of_time(spark):
+    import random
+
+    random.seed(4)
+    rows, at = [], {k: 1_700_000_000.0 for k in (1, 2)}
+    for _ in range(400):
+        k = random.choice((1, 1, 1, 2))
+        at[k] += random.choice((5, 50, 59.5, 60, 61, 500))
+        rows.append((k, at[k]))
+    want = []
+    for k in (1, 2):
+        times, n = sorted(t for j, t in rows if j == k), 0
+        runs = [[times[0]]]
+        for a, b in zip(times, times[1:], strict=False):
+            if b - a >= 60:
+                runs.append([])
+            runs[-1].append(b)
+        want += [(k, n, len(r)) for n, r in enumerate(runs)]
+    df = spark.createDataFrame(rows, "k long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    got = timeline.sessions(df, "k", "ts", 60, bucket=300).collect()
+    assert sorted((r.k, r.session, r.n) for r in got) == sorted(want)
+
+
 def test_chunks_and_restore(spark):
     latin = " ".join(f"Sentence number {i} has some words." for i in range(60))
     cjk = "".join(f"第{i}句话有一些字。" for i in range(120))

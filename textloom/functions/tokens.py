@@ -7,7 +7,9 @@ import json
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -175,11 +177,9 @@ Word = tuple[float, float, str]
 
 def when_spoken(at: int, start: float, end: float, text: str, words: list[Word]) -> float:
     """The time of a place in a cue: the end of the word that reaches it, else by the share of characters."""
-    reached = 0
-    for _, until, word in words:
-        reached += len(word)
-        if reached >= at:
-            return min(max(until, start), end)
+    word = bisect_left(list(accumulate(len(w) for _, _, w in words)), at)
+    if word < len(words):
+        return min(max(words[word][1], start), end)
     return start + (end - start) * at / max(len(text), 1)
 
 
@@ -204,26 +204,30 @@ SENTENCE_MARKS, CLAUSE_MARKS = "。！？!?.", "，、,；;"
 CONNECTIVES = tuple("然后 然後 但是 所以 因为 因為 如果 不过 不過 而且 还有 還有 其实 其實 因此 于是 於是 可是 虽然 雖然 这样 這樣".split())
 
 
+_SENTENCE = re.compile(f"[{re.escape(SENTENCE_MARKS)}]")
+#: Places to cut a running text where no sentence ends, the best first.
+_CUTS = (re.compile(f"(?<=[{re.escape(CLAUSE_MARKS)}])"), re.compile("(?<= )"), re.compile(f"(?={'|'.join(CONNECTIVES)})"))
+
+
 def unit_end(text: str, start: int, final: bool, least: int, target: int, hard: int) -> int | None:
     """Where a unit of running text ends: behind a full stop, wherever it stands. Else, once the text is wide enough, behind
     the last clause mark of those that leave `least` cells, else the last space, else before the last connective."""
-    width, cut = 0, {}
-    for i in range(start, len(text)):
-        width += cells(text[i])
-        if text[i] in SENTENCE_MARKS:
-            return i + 1
-        if width >= least:
-            if text[i] in CLAUSE_MARKS:
-                cut["clause"] = i + 1
-            elif text[i] == " ":
-                cut["space"] = i + 1
-            elif i > start and text.startswith(CONNECTIVES, i):
-                cut["connective"] = i
-        if width >= hard:
-            return cut.get("clause") or cut.get("space") or cut.get("connective") or i + 1
-    if not final and width >= target:
-        return cut.get("clause") or cut.get("space") or cut.get("connective")
-    return None
+    widths = list(accumulate(map(cells, text[start:])))
+    full = bisect_left(widths, hard)  # the character that fills the unit
+    stop = _SENTENCE.search(text, start, start + full + 1)
+    if stop:
+        return stop.end()
+    over = full < len(widths)
+    if not over and (final or not widths or widths[-1] < target):
+        return None
+    first, last = start + bisect_left(widths, least), start + full + (1 if over else 0)
+    for n, pattern in enumerate(_CUTS):
+        # a cut behind a character belongs to it, one before a word to the word's first
+        low, high = (first + 1, last) if n < 2 else (max(first, start + 1), last - 1)
+        places = [m.start() for m in pattern.finditer(text, max(low - 1, start)) if low <= m.start() <= high]
+        if places:
+            return places[-1]
+    return last if over else None
 
 
 def units(text: str, final: bool, least: int = 24, target: int = 60, hard: int = 88) -> tuple[list[str], int]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ordering import running_sum
+
 SORTS = ("start_time", "end_time", "total_tokens", "file_type", "status", "file_name")
 LIVE = ("running", "paused", "queued")
 
@@ -43,16 +45,18 @@ def newest(runs: DataFrame, most: int, max_age_days: int, now: Column) -> DataFr
 
 
 def over_size(files: DataFrame, cap: int, by: str) -> DataFrame:
-    """Adds delete: whether a file and all newer ones of its folder exceed the cap, so the oldest go first."""
-    w = Window.partitionBy(by).orderBy(F.desc("mtime"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("delete", F.sum("size").over(w) > cap)
+    """Adds delete: whether a file and all newer ones of its folder exceed the cap, so the oldest go first. A folder that
+    holds most files spreads over tasks."""
+    total = running_sum(files, [by], [F.col("mtime").desc(), F.col("path").desc()], F.col("size"), "_total")
+    return total.withColumn("delete", F.col("_total") > cap).drop("_total")
 
 
 def unique_names(files: DataFrame) -> DataFrame:
-    """Adds unique: the k-th file of a name gets ` (k)` before its extension."""
-    k = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
+    """Adds unique: the k-th file of a name gets ` (k)` before its extension. A name that most files have spreads."""
+    numbered = running_sum(files, ["name"], [F.col("ord")], F.lit(1), "_k")
     stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"\.[^.]*$", 0)
-    return files.withColumn("unique", F.when(k == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), k.cast("string"), F.lit(")"), ext)))
+    k = F.col("_k")
+    return numbered.withColumn("unique", F.when(k == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), k.cast("string"), F.lit(")"), ext))).drop("_k")
 
 
 def pair_transcript(source: DataFrame, target: DataFrame, by: str, ts: str) -> DataFrame:

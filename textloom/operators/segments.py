@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators.joins import keyed_join
-from textloom.operators.ordering import global_rank
+from textloom.operators.ordering import global_rank, written
 
 # Report category of each segment type; any other type is `other`.
 CATEGORIES = {
@@ -49,7 +49,9 @@ def restore(segment_map: DataFrame, chunks: DataFrame, order: tuple[str, ...] =
     good = chunks.where(F.coalesce(F.col("translated"), F.lit("")) != "")
     whole = good.groupBy("count_deduped").agg(F.max("chunks").alias("want"), F.array_sort(F.collect_list(F.struct("chunk", "translated"))).alias("parts"))
     whole = whole.where(F.size("parts") == F.col("want")).select("count_deduped", X.join_chunks(F.transform("parts", lambda p: p["translated"])).alias("joined"))
-    return segment_map.join(whole, "count_deduped", "left").select(*order, "value", F.coalesce("joined", "value").alias("translated"))
+    # a line that many documents share is a hot key
+    back = keyed_join(segment_map, written(whole, "joined"), ["count_deduped"], "left")
+    return back.select(*order, "value", F.coalesce("joined", "value").alias("translated"))
 
 
 def fill_missing(chunks: DataFrame, results: DataFrame, key: str = "count_split") -> DataFrame:
@@ -230,8 +232,6 @@ def previous_context(batches: DataFrame, by: str, order: str, size: int = 200) -
 def translate_rounds(chunks: DataFrame, call: Callable[[DataFrame, int], DataFrame], src: str, dst: str, retries: int = 3) -> DataFrame:
     """Chunks (count_split, original) through call(rows, round), which adds translated: failed rows go again, the last
     round keeps what is structurally whole. Each round is written, so that a lost executor repeats no calls."""
-    from textloom.operators.ordering import written
-
     done, left = None, chunks
     for n in range(retries + 1):
         got = written(outcome(call(left, n), src, dst, last_try=n == retries), "round")

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.operators import control, segments
-from textloom.plans.catalogue import query, read, texts
+from textloom.operators import control, segments, timeline
+from textloom.plans.catalogue import boxes, cues, query, read, texts
 from textloom.storage import scratch
 from textloom.streaming import speech
 
@@ -129,3 +129,24 @@ def recognition_requests(spark, sf):
     final = n == F.count("*").over(Window.partitionBy("user_id"))
     e = read(spark, sf, "events").select(F.col("user_id").alias("key"), ((n - 1) * 16).cast("long").alias("ms"), (n * 16).cast("long").alias("age"), final.alias("final"))
     return segments.fold(e, "key", ["ms"], speech.Requests, "key long, ms long, kind string")
+
+
+@query("SELECT event_id FROM events WHERE user_id % 2 = 1 OR event_id < user_id * 20")
+def late_results(spark, sf):
+    """Events as results; sessions of even users were stopped at a time of their own."""
+    e = read(spark, sf, "events")
+    ended = e.where("user_id % 2 = 0").select(F.col("user_id").alias("session"), (F.col("user_id") * 20).alias("stopped")).distinct()
+    return speech.on_time(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("at")), ended).select(F.col("at").alias("event_id"))
+
+
+@query("WITH b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, CAST(min(l_partkey) % 400 AS DOUBLE) AS x0, l_linenumber AS y FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT image, id, CAST(row_number() OVER (PARTITION BY image ORDER BY y, x0 DESC, id) - 1 AS INTEGER) AS rank FROM b")
+def bubble_order(spark, sf):
+    """Rows from the top down, each from right to left."""
+    return timeline.reading_order(boxes(spark, sf), right_to_left=True)
+
+
+@query("""WITH c AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CAST(round(turn * 4.0 * 1000) AS BIGINT) AS a, CAST(round((turn * 4.0 + 1 + length(text) / 20) * 1000) AS BIGINT) AS b, text FROM conversations)
+SELECT doc_id, md5(string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || text || chr(10) || chr(10), '' ORDER BY n)) AS file FROM c GROUP BY doc_id""")
+def srt_files(spark, sf):
+    made = timeline.srt_files(cues(spark, sf).select("doc_id", "start", "end", F.col("original").alias("text")))
+    return made.select("doc_id", F.md5(F.col("file").cast("binary")).alias("file"))

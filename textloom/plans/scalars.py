@@ -102,6 +102,15 @@ def removable_modules(df):
     return df.withColumn("kept", K.arrow(lambda t: ",".join(sorted(K.removable(wanted(t), "a"))), "string")(v()))
 
 
+_PROSE_LONG = "In the beginning was a sentence which goes on for longer than its source, but says other things with new words."
+
+
+@trap("id int, value string, source string, loop boolean", ["loop"], [(1, "na " * 60, "Hi", True), (2, "a line\nof text\n" * 12, "Hi", True), (3, _PROSE_LONG, "Hi", False), (4, "na " * 60, "x" * 80, False), (5, "na " * 12, "Hi", False), (6, "", "Hi", False), (7, None, "Hi", False), (8, "abcdefghijklmnopqrstuvwxyz012345" * 6, "Hi", True)])
+def repetition_loops(df):
+    """Texts far longer than their source that zlib shrinks to under a quarter, units of any length and over lines."""
+    return df.withColumn("loop", X.repeated(F.col("source"), v()))
+
+
 @trap("id int, value string, out string", ["out"], [(1, "ＡＢＣ ", "abc"), (2, "Straße", "strasse"), (3, "ﬁne", "fine"), (4, "Ⅳ", "iv"), (5, "ｶﾞ", "ガ"), (6, "Ａ①", "a1")])
 def term_forms(df):
     return df.withColumn("out", K.arrow(K.compatible, "string")(v()))

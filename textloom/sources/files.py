@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import captions
 from textloom.functions import text as X
 from textloom.sources import formats
 
@@ -34,11 +35,22 @@ def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return texts.withColumn("prose", X.should_translate(F.col("value"))).unionByName(bad, allowMissingColumns=True)
 
 
-def write_back(spark: SparkSession, path: str, translated: DataFrame) -> DataFrame:
+#: By extension the family of markup in which two languages stand side by side; others put one below the other.
+FAMILIES = {"srt": "srt", "vtt": "vtt", "md": "md"}
+
+
+def write_back(spark: SparkSession, path: str, translated: DataFrame, bilingual: bool = False) -> DataFrame:
     """(path, result) of the files under a path with the texts of (path, place, translated) put in: one file's new texts
-    are gathered, files spread."""
+    are gathered, files spread. bilingual: beside the old texts (`value`) instead of in their place."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    new = translated.where("translated is not null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("place", "translated"))).alias("new"))
+    new = translated.where("translated is not null")
+    if bilingual:
+        extension = X.file_type(F.col("path"))
+        two = captions.both(F.col("value"), F.col("translated"), "cell")
+        for ext, family in FAMILIES.items():
+            two = F.when(extension == ext, captions.both(F.col("value"), F.col("translated"), family)).otherwise(two)
+        new = new.withColumn("translated", two)
+    new = new.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("place", "translated"))).alias("new"))
 
     writers = dict(formats.WRITERS)
 

@@ -478,16 +478,22 @@ def spine(z: zipfile.ZipFile, names: list[str]) -> list[str]:
     return [n for n in first if n in names] + [n for n in names if n not in first]
 
 
+def own_places(e: ET.Element, tags: tuple) -> Iterator[tuple[ET.Element, str]]:
+    """Where an element's own text stands: its text and that of what it holds, but for paragraphs within it, which are
+    paragraphs of their own (a text box, a list in a list)."""
+    yield e, "text"
+    for x in e:
+        if x.tag not in tags:
+            yield from own_places(x, tags)
+        yield x, "tail"
+
+
 def paragraphs(root: ET.Element, tags: tuple, runs: tuple) -> Iterator[tuple[ET.Element, list[tuple[ET.Element, str]]]]:
-    """Innermost paragraph elements with the places of their text: (element, text or tail)."""
+    """Paragraph elements with the places of their own text: (element, text or tail); in runs, if the format has any."""
     for p in root.iter():
-        if p.tag not in tags or any(x is not p and x.tag in tags for x in p.iter()):
-            continue
-        if runs:
-            yield p, [(x, "text") for x in p.iter() if x.tag in runs and x.text]
-        else:
-            at = [(p, "text")] + [(x, k) for x in p.iter() if x is not p for k in ("text", "tail")]
-            yield p, [(x, k) for x, k in at if getattr(x, k)]
+        if p.tag in tags:
+            at = own_places(p, tags)
+            yield p, [(x, k) for x, k in at if getattr(x, k) and (not runs or (x.tag in runs and k == "text"))]
 
 
 def distribute(text: str, sizes: list[int]) -> list[str]:

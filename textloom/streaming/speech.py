@@ -344,3 +344,8 @@ def cumulative(deltas: DataFrame, key: list[str], order: str) -> DataFrame:
 def resting(failures: DataFrame) -> DataFrame:
     """(model, until) of failures (model, now, seconds): the latest time that any of them has named, a second at least."""
     return failures.groupBy("model").agg(F.max(F.col("now") + F.greatest(F.lit(1.0), F.col("seconds").cast("double"))).alias("until"))
+
+
+def on_time(results: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Results (session, at, ..) that came before their session was stopped (session, stopped); one that goes on takes all."""
+    return results.join(sessions, "session", "left").where(F.col("stopped").isNull() | (F.col("at") < F.col("stopped"))).drop("stopped")
