@@ -151,8 +151,9 @@ class Recent(segments.Machine):
 
 
 def rolling_context(results: DataFrame, budget: int = 128) -> DataFrame:
-    """(doc_id, batch, context) of (doc_id, batch, count_split, translated): see Recent."""
-    item = F.struct("count_split", F.coalesce("translated", F.lit("")).alias("t"), X.token_count(F.col("translated")).alias("c"))
+    """(doc_id, batch, context) of (doc_id, batch, count_split, translated): see Recent. A batch's texts stand in the order of
+    their ids as texts, as the keys of a reply do."""
+    item = F.struct(F.col("count_split").cast("string").alias("k"), F.coalesce("translated", F.lit("")).alias("t"), X.token_count(F.col("translated")).alias("c"))
     rows = results.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(item)).alias("i"))
     rows = rows.select("doc_id", "batch", F.col("i.t").alias("texts"), F.col("i.c").alias("costs"))
     return segments.fold(rows, "doc_id", ["batch"], lambda: Recent(budget), "doc_id long, batch int, context array<string>")

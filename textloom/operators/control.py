@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.tokens import arrow
 
 
 @contextmanager
@@ -101,15 +102,15 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
             else:
                 yield f"{at}{k}", x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
-    @F.udf("array<struct<key:string,value:string>>")
-    def found(text: str):
+    def found(text: str) -> list[dict[str, str]]:
         try:
             tree = json.loads(text)
         except ValueError:
             return []
-        return list(leaves(tree, "")) if isinstance(tree, dict) else []
+        return [{"key": k, "value": x} for k, x in leaves(tree, "")] if isinstance(tree, dict) else []
 
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.[^./]*$", 1).alias("name"), F.inline(found("value")))
+    read = arrow(found, "array<struct<key:string,value:string>>")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.[^./]*$", 1).alias("name"), F.inline(read(F.col("value"))))
     return files
 
 
