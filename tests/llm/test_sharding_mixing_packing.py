@@ -63,10 +63,11 @@ def check_slots(rows):
     its share of the words, but for a few blocks."""
     target, took = {}, defaultdict(Counter)
     for r in rows:
-        assert sum(s.words for s in r.slots or []) == r.taken and r.first_slot == (min(s.slot for s in r.slots) if r.slots else None)
+        mine = [tuple(map(int, x.split(":"))) for x in (r.slots or "").split(",") if x]
+        assert sum(n for _, n in mine) == r.taken and r.first_slot == (mine[0][0] if mine else None) and mine == sorted(mine)
         target[r.source] = r.target
-        for s in r.slots or []:
-            took[s.slot][r.source] += s.words
+        for s, n in mine:
+            took[s][r.source] += n
     assert all(len(c) == 1 and sum(c.values()) <= mixing.BLOCK for c in took.values())
     total, done, seen = sum(target.values()), Counter(), 0
     for slot in sorted(took):

@@ -125,7 +125,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150% of all words takes of each document, under the weights 5, 2, 1 by source: how many words, and
-    which slots of the schedule take how many of them (null: none).
+    which slots of the schedule take how many of them (slot:words, comma-joined, null: none).
 
     A null or wordless text has size 0 and is never taken; a null source is a source, the last; repeated rows are
     taken as documents of their own; an empty table gives no rows. Reruns agree: hashes of the row decide the order.
@@ -133,4 +133,4 @@ def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, plan, _ = mix(sized(table(spark, sf_dir, "documents")))
     words = F.col("high") - F.col("low")
     taken = plan.groupBy("row").agg(F.sum(words).alias("taken"), F.array_sort(F.collect_list(F.struct("slot", words.alias("words")))).alias("slots"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", F.col("slots")[0]["slot"].alias("first_slot"), "slots")
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", F.col("slots")[0]["slot"].alias("first_slot"), F.array_join(F.transform("slots", lambda s: F.concat_ws(":", s["slot"], s["words"])), ",").alias("slots"))
