@@ -32,6 +32,37 @@ def v():
     return F.col("value")
 
 
+_PROSE = [
+    (1, '', False), (2, '  \u3000 ', False), (3, '12', False), (4, '1.5-2.5', False), (5, '+82-32-726-2000', False), (6, '12:30 PM', True), (7, '2024-01-02', False),
+    (8, 'well-known', False), (9, 'mix', False), (10, 'civic', False), (11, 'mild', False), (12, 'Hello.It is fine', False), (13, '/x', False), (14, '100ms', False),
+    (15, '3.5 kg', False), (16, '5 apples', True), (17, 'v1.2.3-beta', False), (18, 'build 12', False), (19, 'ABC-123', False),
+    (20, '550e8400-e29b-41d4-a716-446655440000', False), (21, '192.168.0.1', False), (22, '00:1B:44:11:3A:B7', False), (23, 'https://a.b/c', False),
+    (24, 'www.a.b', False), (25, 'a@b.co', False), (26, 'C:\\x', False), (27, 'file.txt', False), (28, '{name}', False), (29, '${x}', False), (30, '%PATH%', False),
+    (31, '{{x}}', False), (32, '<%x%>', False), (33, '第一', True), (34, 'ｆ', True), (35, 'API', False), (36, 'TOTAL', True), (37, 'MAX_SIZE', False), (38, 'A1', False),
+    (39, 'Hello world', True), (40, 'naïve café', True), (41, '한국어 문장', True), (42, 'it', True), (43, '0x1F', False), (44, '#FFF', False), (45, '2F-3F', False),
+    (46, 'x', False), (47, '40°26\'46"N 79°58\'56"W', False), (48, 'Tel. 12 34 56 78', True), (49, '!?', False),
+]
+
+
+@trap("id int, value string, prose boolean", ["prose"], _PROSE)
+def prose_traps(df):
+    """Texts of all kinds and whether they are prose, by the survey's wording."""
+    return df.withColumn("prose", X.should_translate(v()))
+
+
+@trap(
+    "id int, value string, zh boolean, ja boolean, ko boolean, ru boolean, th boolean, vi boolean", ["zh", "ja", "ko", "ru", "th", "vi"],
+    [(1, "日本語テキスト", True, True, False, False, False, False), (2, "漢字", True, True, False, False, False, False), (3, "한국어", False, False, True, False, False, False), (4, "русский", False, False, False, True, False, True), (5, "ไทย", False, False, False, False, True, True), (6, "Việt", False, False, False, False, False, True), (7, "plain", False, False, False, False, False, False), (8, "ひらがな", False, True, False, False, False, False), (9, "été", False, False, False, False, False, True)],
+)
+def script_traps(df):
+    return df.withColumns({k: X.has_script(v(), k) for k in ("zh", "ja", "ko", "ru", "th", "vi")})
+
+
+@trap("id int, value string, marks string", ["marks"], [(1, "a %s {x} ${y} {{z}}", "${y}|%s|{x}|{{z}}"), (2, "%1$d and %5", "%1$d"), (3, "100% sure", ""), (4, "{a} {a}", "{a}|{a}"), (5, "", "")])
+def loose_marks(df):
+    return df.withColumn("marks", F.array_join(X.tokens(v(), X.LOOSE), "|"))
+
+
 @trap("id int, value string, plain string", ["plain"], [(1, "{{HLINK_1}}a b{{/HLINK_1}} {{INLINE_2}}c", "a b c"), (2, "no marks", "no marks"), (3, "{{HLINK_1}}x{{/HLINK_1}}{{HLINK_2}}y{{/HLINK_2}}", "xy"), (4, "{{INLINE_12}}", ""), (5, "{{OTHER}}", "{{OTHER}}")])
 def plain_marks(df):
     return df.withColumn("plain", X.plain_text(v()))
