@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,10 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     bits = 33  # monotonically_increasing_id() is the partition, then 33 bits of position
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     kept = written(ranged, "ranked").withColumn("_part", F.shiftright("_id", bits))
-    counts = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    firsts, at = [], 0
-    for part, n in counts:
-        firsts.append((part, at))
-        at += n
-    offsets = df.sparkSession.createDataFrame(firsts, "_part long, _first long")  # a row per task
-    ranked = kept.join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(name, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << bits) - 1)) + 1).drop("_id", "_part", "_first")
+    counts = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    firsts = list(accumulate((counts.get(i, 0) for i in range(max(counts, default=0) + 1)), initial=0))
+    first = F.split(F.lit(",".join(map(str, firsts))), ",")[F.col("_part").cast("int")].cast("long")  # one literal array
+    return kept.withColumn(name, first + F.col("_id").bitwiseAND(F.lit((1 << bits) - 1)) + 1).drop("_id", "_part")
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
