@@ -179,6 +179,8 @@ def test_cues_and_boxes(spark):
     b = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 12.0, 1.0, 22.0, 11.0), (1, 3, 0.0, 100.0, 10.0, 110.0)], "image long, id long, x0 double, y0 double, x1 double, y1 double")
     assert {r.id: r.grp for r in timeline.box_groups(b, timeline.boxes_linked(b, 5.0)).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r.id: r["rank"] for r in timeline.reading_order(b, right_to_left=True).collect()} == {2: 0, 1: 1, 3: 2}
+    quad = spark.range(1).select(timeline.bounds(F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((3, 9), (1, 2), (8, 4), (5, 5))])).alias("b")).first().b
+    assert tuple(quad) == (1, 2, 8, 9)
 
 
 def test_boxes_of_all_sizes_meet_once(spark):
@@ -207,6 +209,38 @@ def test_boxes_of_all_sizes_meet_once(spark):
     assert {(r.image, r.id): r.grp for r in timeline.box_groups(df, links).collect()} == up
 
 
+def test_bubbles_against_brute_force(spark):
+    import random
+
+    random.seed(2)
+    boxes = []
+    for i in range(260):
+        w, h = random.choice(((40, 10), (10, 40), (15, 12), (200, 11), (10, 150)))
+        x, y = random.uniform(0, 260), random.uniform(0, 260)
+        boxes.append((i % 2, i, x, y, x + w * random.uniform(0.8, 1.2), y + h * random.uniform(0.8, 1.2)))
+
+    def linked(a, b):
+        dim = lambda t: (t[4] - t[2], t[5] - t[3])
+        up = lambda t: dim(t)[1] > 1.3 * max(dim(t)[0], 1)
+        ca, cb = min(dim(a)), min(dim(b))
+        cs = max(min(ca, cb), 1)
+        dx, dy = max(a[2], b[2]) - min(a[4], b[4]), max(a[3], b[3]) - min(a[5], b[5])
+        return up(a) == up(b) and max(ca, cb) / cs <= 1.6 and (max(dx, 0) ** 2 + max(dy, 0) ** 2) ** 0.5 <= cs and -(dx if up(a) else dy) > -0.6 * cs
+
+    df = spark.createDataFrame(boxes, "image long, id long, x0 double, y0 double, x1 double, y1 double")
+    want = {(a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and linked(a, b)}
+    got = [tuple(r) for r in timeline.bubble_links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
+def test_rows_by_their_middles(spark):
+    b = [(1, 0, 50.0, 0.0, 60.0, 10.0), (1, 1, 0.0, 3.0, 10.0, 13.0), (1, 2, 20.0, 8.0, 30.0, 18.0), (1, 3, 0.0, 30.0, 5.0, 40.0)]
+    df = spark.createDataFrame(b, "image long, id long, x0 double, y0 double, x1 double, y1 double")
+    # box 2 is 6.5 below the grown row's middle, more than 0.6 of its height
+    assert [r.id for r in timeline.reading_order(df).orderBy("rank").collect()] == [1, 0, 2, 3]
+    assert [r.id for r in timeline.reading_order(df, True).orderBy("rank").collect()] == [0, 1, 2, 3]
+
+
 def test_voice_segments_and_limits():
     v, out = speech.VoiceSegments(), []
     for i in range(400):

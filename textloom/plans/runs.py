@@ -150,3 +150,21 @@ SELECT doc_id, md5(string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d', a //
 def srt_files(spark, sf):
     made = timeline.srt_files(cues(spark, sf).select("doc_id", "start", "end", F.col("original").alias("text")))
     return made.select("doc_id", F.md5(F.col("file").cast("binary")).alias("file"))
+
+
+_LINES_OF = """b AS (SELECT l_orderkey % 97 AS image, l_orderkey * 8 + l_linenumber AS id, l_linenumber % 2 = 0 AS up, l_linenumber AS line, CAST(min(l_partkey) % 400 AS DOUBLE) AS x0, l_linenumber * 60.0 AS y0, max(l_discount) AS score FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+@query(f"""WITH {_LINES_OF}, g AS (SELECT *, CASE WHEN x0 - lag(x0) OVER w < CASE WHEN up THEN 19.2 ELSE 42.0000001 END THEN 0 ELSE 1 END AS new FROM b WHERE id % 7 <> 0 WINDOW w AS (PARTITION BY image, line ORDER BY x0, id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY image, line ORDER BY x0, id ROWS UNBOUNDED PRECEDING) AS island FROM g),
+m AS (SELECT image, up, id, x0, y0, score, min(id) OVER (PARTITION BY image, line, island) AS region FROM s UNION ALL SELECT image, up, id, x0, y0, score, id FROM b WHERE id % 7 = 0),
+r AS (SELECT image, region, string_agg(id % 100, '' ORDER BY CASE WHEN up THEN -x0 ELSE x0 END, id) AS value, min(x0) AS x0, min(y0) AS y0, max(x0 + CASE WHEN up THEN 12 ELSE 30 END) AS x1, max(y0 + CASE WHEN up THEN 30 ELSE 12 END) AS y1, min(score) AS score, count(*) AS n FROM m GROUP BY image, region)
+SELECT *, CAST(row_number() OVER (PARTITION BY image ORDER BY y0, x1 DESC, region) AS INTEGER) AS rank FROM r""")
+def bubble_regions(spark, sf):
+    """Lines of writing, those of even number upright, made of orders' lines; every seventh is no prose and stays alone."""
+    line = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_discount").alias("score"))
+    up = F.col("l_linenumber") % 2 == 0
+    x, y, id_ = (F.col("p") % 400).cast("double"), F.col("l_linenumber") * 60.0, F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    quad = F.array(F.array(x, y), F.array(x + F.when(up, 12.0).otherwise(30.0), y), F.array(x, y + F.when(up, 30.0).otherwise(12.0)), F.array(x + F.when(up, 12.0).otherwise(30.0), y + F.when(up, 30.0).otherwise(12.0)))
+    lines = line.select((F.col("l_orderkey") % 97).alias("image"), id_.alias("id"), timeline.bounds(quad).alias("q"), (id_ % 100).cast("string").alias("value"), "score", (id_ % 7 != 0).alias("prose"))
+    return timeline.bubbles(lines.select("image", "id", "q.*", "value", "score", "prose"))
