@@ -164,6 +164,15 @@ def test_glossary_rules(spark):
     assert [(r.src, r.dst) for r in terms.unpivot(wide, "en", "de").collect()] == [("a", "2")]
 
 
+@pytest.mark.parametrize("sent", [100, 1])
+def test_live_terms_stand_anywhere(spark, monkeypatch, sent):
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", sent)
+    texts = spark.createDataFrame([(1, "say ALICE and concat"), (2, "猫が好き Über"), (3, ""), (4, None), (5, "x")], "doc_id long, text string")
+    g = spark.createDataFrame([(0, "alice", "A"), (1, "cat", "K"), (2, "猫", "cat"), (3, "über", "u"), (4, "Über", "U"), (5, "x", "X"), (6, "", "no")], "ord int, src string, dst string")
+    assert sorted((r.doc_id, r["rank"], r.src) for r in terms.live_terms(texts, g).collect()) == [(1, 1, "alice"), (1, 2, "cat"), (2, 1, "猫"), (2, 2, "Über"), (5, 1, "x")]
+    assert {r["rank"] for r in terms.live_terms(texts, g, 1).collect()} == {1}
+
+
 def test_retention_and_names(spark):
     f = spark.createDataFrame([("d", f"p{i}", i, 10) for i in range(5)], "dir string, path string, mtime long, size long")
     assert sorted(r.path for r in history.over_size(f, 25, "dir").where("delete").collect()) == ["p0", "p1", "p2"]

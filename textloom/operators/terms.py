@@ -60,6 +60,25 @@ def first_terms(matches: DataFrame, n: int = 8) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("rank") <= n)
 
 
+def live_terms(texts: DataFrame, glossary: DataFrame, n: int = 8) -> DataFrame:
+    """(doc_id, src, dst, rank): the first n terms of (ord, src, dst) in glossary order that stand anywhere in a text of
+    (doc_id, text): ASCII terms in any case, others as they are. Up to BROADCAST_TERMS terms go to every task; more of them
+    meet texts by the two characters that they begin with."""
+    form = lambda c: F.lower(c)
+    named = glossary.where(F.length("src") > 0).withColumn("_any", F.col("src").rlike(r"^[\x00-\x7f]+$"))
+    held = F.when(F.col("_any"), form(F.col("text")).contains(form(F.col("src")))).otherwise(F.col("text").contains(F.col("src")))
+    if named.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        found = texts.join(F.broadcast(named), held)
+    else:
+        low = F.lower("text")
+        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
+        # a term of one character meets the texts by that character
+        keys = F.array_distinct(F.concat(starts, F.transform(starts, lambda x: F.substring(x, 1, 1))))
+        near = texts.select("doc_id", F.explode(keys).alias("_k")).join(named.withColumn("_k", F.substring(form(F.col("src")), 1, 2)), "_k").drop("_k")
+        found = near.join(texts.select("doc_id", "text"), "doc_id").where(held)
+    return first_terms(found.select("doc_id", "src", "dst", "ord"), n)
+
+
 def normal(c: Column) -> Column:
     """The form in which terms are the same: NFKC, any case, trimmed."""
     return arrow(compatible, "string")(c)

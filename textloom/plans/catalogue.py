@@ -275,9 +275,10 @@ def glossary_qa(spark, sf):
     return m.where(F.col("text").contains(F.col("src")) & ~segments.fake_translate(F.col("text")).contains(F.col("dst"))).select("doc_id", "src", "dst")
 
 
-@query(f"WITH {_GLOSSARY}, {_MATCH} SELECT doc_id, src, rank FROM (SELECT doc_id, src, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rank FROM m) WHERE rank <= 8")
+@query(f"WITH {_GLOSSARY}, h AS (SELECT doc_id, src, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rank FROM documents, g WHERE contains(lower(text), lower(src))) SELECT doc_id, src, rank FROM h WHERE rank <= 8")
 def glossary_topk(spark, sf):
-    return terms.first_terms(terms.match(read(spark, sf, "documents").select("doc_id", "text"), glossary(spark, sf))).select("doc_id", "src", F.col("rank").cast("long").alias("rank"))
+    """Hints for live captions: terms anywhere in a text, in any case."""
+    return terms.live_terms(texts(spark, sf).select("doc_id", "text"), glossary(spark, sf)).select("doc_id", "src", F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH u AS (SELECT item_id AS ord, regexp_extract(text, '^\\S+') AS src, 0 AS p FROM benchmark), x AS (SELECT doc_id, regexp_extract(text, '^\\S+'), 1 FROM documents), b AS (SELECT * FROM u UNION ALL SELECT * FROM x) SELECT src, CASE p WHEN 0 THEN upper(src) ELSE '[T]' || src END AS dst FROM (SELECT *, row_number() OVER (PARTITION BY lower(src) ORDER BY p, ord) AS k FROM b) WHERE k = 1")
