@@ -35,22 +35,27 @@ def scaled(v: np.ndarray) -> np.ndarray:
     return v - v.mean(axis=0)
 
 
+def rows_at_once(width: int, dim: int) -> int:
+    """Rows to work on at once, so that `width` vectors for each take about 32 MB whatever their length."""
+    return int(np.clip((32 << 20) // (8 * max(width * dim, 1)), 8, BLOCK))
+
+
 def nearest_members(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, squared distances) of the `most` nearest others of each row of v, nearest first. A product of matrices
     finds a few more, differences order them."""
     n = len(v)
     c = min(most, n - 1)
     near, own = np.empty((n, c), np.int64), np.empty((n, c))
-    norms = (v * v).sum(1)
-    for a in range(0, n, BLOCK):
-        block = v[a : a + BLOCK]
+    norms, step = (v * v).sum(1), rows_at_once(c + 8, v.shape[1])
+    for a in range(0, n, step):
+        block = v[a : a + step]
         d = norms[None] - 2 * block @ v.T
         d[np.arange(len(block)), np.arange(a, a + len(block))] = np.inf
         wide = min(c + 8, n - 1)
         some = np.argpartition(d, wide - 1, axis=1)[:, :wide]
         exact = ((v[some] - block[:, None]) ** 2).sum(2)
         order = np.argsort(exact, axis=1, kind="stable")[:, :c]
-        near[a : a + BLOCK], own[a : a + BLOCK] = np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+        near[a : a + step], own[a : a + step] = np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
     return near, own
 
 
@@ -58,16 +63,16 @@ def chosen(v: np.ndarray, near: np.ndarray, own: np.ndarray, most: int) -> np.nd
     """For each row of v the places (columns of `near`) of up to `most` neighbours: one is taken if it is closer to the row
     than to any taken before; what room is left goes to the closest of the others. -1 fills up."""
     n, c = near.shape
-    out = np.full((n, min(most, c)), -1)
-    for a in range(0, n, BLOCK):
-        rel = v[near[a : a + BLOCK]] - v[a : a + BLOCK, None]
-        sq = own[a : a + BLOCK]
+    out, step = np.full((n, min(most, c)), -1), rows_at_once(c, v.shape[1])
+    for a in range(0, n, step):
+        rel = v[near[a : a + step]] - v[a : a + step, None]
+        sq = own[a : a + step]
         apart = sq[:, :, None] + sq[:, None] - 2 * rel @ rel.transpose(0, 2, 1)
         taken, count = np.zeros(sq.shape, bool), np.zeros(len(sq), int)
         for j in range(c):
             taken[:, j] = (count < most) & ~(taken[:, :j] & (apart[:, j, :j] < sq[:, j : j + 1])).any(axis=1)
             count += taken[:, j]
-        out[a : a + BLOCK] = np.argsort(np.where(taken, 0, c) + np.arange(c), axis=1)[:, :most]
+        out[a : a + step] = np.argsort(np.where(taken, 0, c) + np.arange(c), axis=1)[:, :most]
     return out
 
 
@@ -232,7 +237,9 @@ def found_by(shard: dict, ask: np.ndarray, q: np.ndarray, k: int) -> list[tuple[
     v, ids, offsets = shard["v"], shard["ids"], shard["offsets"]
     shift = float(np.abs(v).max(initial=0))
     by = shift if shift > 1e100 else 1.0
-    beam, dist = search(q.astype(np.float64) / by, v.astype(np.float64) / by, shard["levels"])
+    x, step = v.astype(np.float64) / by, rows_at_once(2 * STEP * LINKS, v.shape[1])
+    parts = [search(q[a : a + step].astype(np.float64) / by, x, shard["levels"]) for a in range(0, len(q), step)]
+    beam, dist = (np.concatenate(p) for p in zip(*parts, strict=True))
     out = []
     for i, (b, d) in enumerate(zip(beam, dist, strict=True)):
         # the k + 1 best vectors have k ids besides the query's own; those as near as the last of them tie with it
