@@ -173,7 +173,7 @@ def exact_classes(docs, similarity=0.8):
     return {d: u.find(d) for d, _ in docs}
 
 
-@pytest.mark.parametrize("hot", [2000, 20])
+@pytest.mark.parametrize("hot", [600, 20])
 def test_distinct_texts_with_a_shared_passage_do_not_link(spark, sf, monkeypatch, hot):
     """Pairs of Jaccard 0.6 to 0.75 stay apart, also where buckets are cut into chunks; those of 0.8 and more link."""
     monkeypatch.setattr(simhash, "HOT", hot)

@@ -21,7 +21,7 @@ from .common import digest, fresh, keep, keyed_join, ordered_sums, salted_join,
 from .graph import components
 
 PIVOTS = 16
-HOT = 2000
+HOT = 600
 SENT = 2_000_000  # nodes, at most, that are sent to every task
 RADIUS, SHINGLE = 3, 3
 STAGE_SHINGLE, STAGE_WORDS, STAGE_SIMILARITY, ANCHORS = 5, 4, 0.8, 6
