@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.tokens import arrow
+from textloom.operators.records import report_lines
 
 
 @contextmanager
@@ -118,3 +123,33 @@ def resolved(options: DataFrame, base: str, over: str) -> DataFrame:
     """(key, value) of settings (name, key, value): what `over` says goes before `base`."""
     rank = F.when(F.col("name") == over, 0).otherwise(1)
     return options.where(F.col("name").isin(base, over)).groupBy("key").agg(F.min_by("value", rank).alias("value"))
+
+
+def packages(files: DataFrame) -> DataFrame:
+    """(run, package) of the files of runs (run, ord, name, content, status, detail): a zip of what has content, in order,
+    a name that is taken numbered from 2 until it is free, and results.txt with a line for each file. A run's files are one
+    user's upload."""
+    lines = report_lines(files)
+    entry = F.struct("ord", F.coalesce("name", F.lit("")).alias("name"), "content", "line")
+    runs = lines.groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    @F.pandas_udf("binary")
+    def pack(entries: pd.Series) -> pd.Series:
+        return entries.map(lambda e: package([(x["name"], x["content"], x["line"]) for x in e]))
+
+    return runs.select("run", pack("entries").alias("package"))
+
+
+def package(entries: list[tuple[str, bytes | None, str]]) -> bytes:
+    """A zip of (name, content, line of the report); the same entries give the same bytes."""
+    out, used = io.BytesIO(), set()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content, _ in entries:
+            if content is not None:
+                stem, dot, ending = name.rpartition(".")
+                numbered = (f"{stem} ({i}){dot}{ending}" if dot else f"{name} ({i})" for i in itertools.count(2))
+                free = next(n for n in itertools.chain([name], numbered) if n not in used)
+                used.add(free)
+                z.writestr(zipfile.ZipInfo(free, (1980, 1, 1, 0, 0, 0)), bytes(content), zipfile.ZIP_DEFLATED)
+        z.writestr(zipfile.ZipInfo("results.txt", (1980, 1, 1, 0, 0, 0)), "".join(f"{line}\n" for _, _, line in entries))
+    return out.getvalue()

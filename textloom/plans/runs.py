@@ -168,3 +168,25 @@ def bubble_regions(spark, sf):
     quad = F.array(F.array(x, y), F.array(x + F.when(up, 12.0).otherwise(30.0), y), F.array(x, y + F.when(up, 30.0).otherwise(12.0)), F.array(x + F.when(up, 12.0).otherwise(30.0), y + F.when(up, 30.0).otherwise(12.0)))
     lines = line.select((F.col("l_orderkey") % 97).alias("image"), id_.alias("id"), timeline.bounds(quad).alias("q"), (id_ % 100).cast("string").alias("value"), "score", (id_ % 7 != 0).alias("prose"))
     return timeline.bubbles(lines.select("image", "id", "q.*", "value", "score", "prose"))
+
+
+@query("""WITH f AS (SELECT source, doc_id, (doc_id // 20 % 7) || '.txt' AS name, doc_id // 20 % 5 <> 0 AS ok, text FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source, ok, name ORDER BY doc_id) AS k FROM f)
+SELECT source AS run, string_agg(CASE WHEN ok THEN CASE WHEN k = 1 THEN name ELSE replace(name, '.txt', ' (' || k || ').txt') END END, '|' ORDER BY doc_id) || '|results.txt' AS names, md5(string_agg(name || CASE WHEN ok THEN ': success' ELSE ': failed - no text' END || chr(10), '' ORDER BY doc_id)) AS report, CAST(sum(CASE WHEN ok THEN octet_length(encode(text)) END) AS BIGINT) AS bytes FROM k GROUP BY source""")
+def packages(spark, sf):
+    """Documents as the files of their source's run, every fifth without a result: zipped, and what the zips hold."""
+    import hashlib
+    import io
+    import zipfile
+
+    def held(raw: bytes) -> list[str]:
+        with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+            names = z.namelist()
+            return ["|".join(names), hashlib.md5(z.read("results.txt")).hexdigest(), str(sum(len(z.read(n)) for n in names if n != "results.txt"))]
+
+    from textloom.functions.tokens import arrow
+
+    turn = F.floor(F.col("doc_id") / 20)
+    ok = turn % 5 != 0
+    d = texts(spark, sf).select(F.col("source").alias("run"), F.col("doc_id").alias("ord"), F.concat((turn % 7).cast("string"), F.lit(".txt")).alias("name"), F.when(ok, F.col("text").cast("binary")).alias("content"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(~ok, "no text").alias("detail"))
+    got = control.packages(d).select("run", arrow(held, "array<string>")(F.col("package")).alias("h"))
+    return got.select("run", F.col("h")[0].alias("names"), F.col("h")[1].alias("report"), F.col("h")[2].cast("long").alias("bytes"))
