@@ -98,13 +98,13 @@ def translate(chunks: DataFrame, src: str, dst: str, model: Model = stand_in, bu
         last = n == retries
         asked = requests(left, None if last and n else budget if n == 0 else retry_budget(budget, n - 1))
         if memory is not None and n == 0:
-            flat = written(asked.select("doc_id", "batch", "request", "items", F.explode(F.col("items")["value"]).alias("value"), F.xxhash64("doc_id", "batch").alias("batch_id")), "asked")
+            flat = written(asked.select("doc_id", "batch", "request", "items", F.explode(F.col("items")["value"]).alias("value"), F.xxhash64("doc_id", "batch").alias("batch_id")), "asked", wide=True)
             known = terms.lookup(flat, memory, signature)
             served = known.where("served").select("doc_id", F.explode(F.col("items")).alias("i"), "value", "dst").where("i.value = value")
             served = served.select("doc_id", F.col("i.count_split").alias("count_split"), F.col("value").alias("original"), F.col("dst").alias("translated"), F.lit("translated").alias("outcome"))
             parts.append(served.distinct())
             asked = known.where("not served").select("doc_id", "batch", "request", "items").distinct()
-        got = written(judged(replied(asked.withColumn("reply", model(F.col("request")))), src, dst, last), "round")
+        got = written(judged(replied(asked.withColumn("reply", model(F.col("request")))), src, dst, last), "round", wide=True)
         got = got.select("doc_id", "count_split", "original", "translated", "outcome")
         parts.append(got if last else got.where("outcome <> 'failed'"))
         left = got.where("outcome = 'failed'").select("doc_id", "count_split", F.col("original").alias("value"))

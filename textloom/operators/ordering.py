@@ -17,7 +17,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     first place follows from the counts of the tasks before it, which are as few as there are tasks."""
     bits = 33  # monotonically_increasing_id() is the partition, then 33 bits of position
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    kept = written(ranged, "ranked").withColumn("_part", F.shiftright("_id", bits))
+    kept = written(ranged, "ranked", wide=True).withColumn("_part", F.shiftright("_id", bits))
     counts = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     firsts = list(accumulate((counts.get(i, 0) for i in range(max(counts, default=0) + 1)), initial=0))
     first = F.split(F.lit(",".join(map(str, firsts))), ",")[F.col("_part").cast("int")].cast("long")  # one literal array
@@ -30,7 +30,7 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Col
     share of a group starts from the sums of the tasks before it, which are as few as there are tasks and groups."""
     part, mine, base = "_part", "_mine", "_base"
     ranged = df.withColumn(mine, value.cast("long")).repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    kept = written(ranged.withColumn(part, F.spark_partition_id()), "running")
+    kept = written(ranged.withColumn(part, F.spark_partition_id()), "running", wide=True)
     own = F.sum(mine).over(Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     sums = kept.groupBy(part, *group).agg(F.sum(mine).alias(mine))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

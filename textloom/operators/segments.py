@@ -50,7 +50,7 @@ def restore(segment_map: DataFrame, chunks: DataFrame, order: tuple[str, ...] =
     whole = good.groupBy("count_deduped").agg(F.max("chunks").alias("want"), F.array_sort(F.collect_list(F.struct("chunk", "translated"))).alias("parts"))
     whole = whole.where(F.size("parts") == F.col("want")).select("count_deduped", X.join_chunks(F.transform("parts", lambda p: p["translated"])).alias("joined"))
     # a line that many documents share is a hot key
-    back = keyed_join(segment_map, written(whole, "joined"), ["count_deduped"], "left")
+    back = keyed_join(segment_map, written(whole, "joined", wide=True), ["count_deduped"], "left")
     return back.select(*order, "value", F.coalesce("joined", "value").alias("translated"))
 
 
@@ -234,7 +234,7 @@ def translate_rounds(chunks: DataFrame, call: Callable[[DataFrame, int], DataFra
     round keeps what is structurally whole. Each round is written, so that a lost executor repeats no calls."""
     done, left = None, chunks
     for n in range(retries + 1):
-        got = written(outcome(call(left, n), src, dst, last_try=n == retries), "round")
+        got = written(outcome(call(left, n), src, dst, last_try=n == retries), "round", wide=True)
         ok = got if n == retries else got.where("outcome <> 'failed'")
         done = ok if done is None else done.unionByName(ok)
         left = got.where("outcome = 'failed'").select(*chunks.columns)

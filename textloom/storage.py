@@ -41,10 +41,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+FILES = 4  #: files that a thin table has at most for each core
+
+
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, what it numbers stays numbered, and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation. A thin table (ids, numbers, counts) is written by FILES tasks for each core at most,
+    which go through their partitions one after the other, so that its files are not as many and as small as its source's;
+    wide=True keeps a task for each partition: for texts and vectors, and for what takes much work to make."""
     path = scratch(df.sparkSession, name)
+    if not wide:
+        df = df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,14 +63,14 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def temporaries(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def temporaries(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """What is written within is removed at the end, but for what the function that this gives has written."""
     _scopes.append([])
 
-    def outlives(df: DataFrame, name: str) -> DataFrame:
+    def outlives(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
         mine = _scopes.pop()
         try:
-            return written(df, name)
+            return written(df, name, wide)
         finally:
             _scopes.append(mine)
 
