@@ -257,7 +257,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     another length than the query's are no candidates. Components are float or double."""
     text_batches(vectors.sparkSession)
     wide = vectors.schema["vec"].dataType.elementType == T.DoubleType()
-    of = keep(classes(vectors, k + 1).withColumn("dim", F.size("vec")), "vectors")
+    of = keep(classes(vectors, k + 1).withColumn("dim", F.size("vec")), "vectors", wide=True)
     count = F.ceil(F.count("*") / SHARD).cast("int")
     before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)  # a row per length
     plan = of.groupBy("dim").agg(count.alias("shards")).withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int"))
@@ -266,7 +266,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dealt = of.join(plan, "dim").withColumn("id", (F.col("first") + F.pmod(F.xxhash64("vec"), F.col("shards"))).cast("int"))
-    made = keep(index(dealt, total, wide), "index")
+    made = keep(index(dealt, total, wide), "index", wide=True)
 
     queries = keep(queries.withColumn("dim", F.size("vec")), "queries")
     blocks = -(-queries.count() // BLOCK) or 1

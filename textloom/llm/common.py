@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +56,12 @@ def ordered_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     def run(batches):
         import numpy as np
 
-        last, total, seen = None, 0, TaskContext.get().partitionId() << 40
+        last, total, seen = None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if seen is None:  # a task may go through several ranges
+                seen = batch.column("_task")[0].as_py() << 40
             g = batch.column("_g").to_numpy(zero_copy_only=False)
             v = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
             cum = np.cumsum(v) - v

@@ -211,5 +211,5 @@ def op7_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_text(docs)
     rows = document_rows(docs).unionByName(page_rows(table(spark, sf_dir, "pages")))
-    scored = keep(with_text_logs(rows, model), "languages")
+    scored = keep(with_text_logs(rows, model), "languages", wide=True)
     return fuse(scored, model.langs).select("kind", "doc_id", "page_id", "lang", "probability", "text_lang", "declared", "host")

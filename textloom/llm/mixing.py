@@ -95,7 +95,7 @@ def mix(docs: DataFrame, block: int = BLOCK, names: tuple[str, ...] = ()) -> tup
     """
     by = [F.col(c) for c in docs.columns if c not in names]
     # written first: the sort by range looks at its rows twice, and their sizes come from whole texts
-    docs = keep(docs.withColumn("source_key", F.xxhash64("source", F.lit(SEED))).withColumn("_shuffle", F.xxhash64(*by, F.lit(SEED))), "sized")
+    docs = keep(docs.withColumn("source_key", F.xxhash64("source", F.lit(SEED))).withColumn("_shuffle", F.xxhash64(*by, F.lit(SEED))), "sized", wide=True)
     placed = ordered_sums(docs, ["source_key"], ["_shuffle"], "size", "mix")
     per = keep(targets(docs.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"))).withColumn("quota", F.round("target").cast("long")), "targets")
     rows = keyed_join(placed, per.drop("source"), ["source_key"])

@@ -200,7 +200,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of (doc_id, text) with their places in sequences. The histogram and the ranks read written pieces."""
-    pieces = keep(cut_documents(docs, tokenizer or tokenizer_path(), capacity), "pieces")
+    pieces = keep(cut_documents(docs, tokenizer or tokenizer_path(), capacity), "pieces", wide=True)
     return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

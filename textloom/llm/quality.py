@@ -206,7 +206,7 @@ def shrunk(child: DataFrame, parent: DataFrame, up: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """base_statistics() plus d2 (null for base failures, which no estimate uses), cutoff and kept."""
-    stats = keep(with_vectors(base_statistics(docs)), "statistics")
+    stats = keep(with_vectors(base_statistics(docs)), "statistics", wide=True)
     good = stats.where(~F.col("base_failed"))
     tree = keep(good.select("g0", "g1", "g2").distinct(), "groups")
     rows = good.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *DIMS)

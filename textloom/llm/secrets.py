@@ -54,7 +54,7 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, rule, kind_no, kind, start, end) of (blob, text, todo): leftmost non-overlapping matches of each rule in todo, in
     code points. Where matches stand follows from the lengths of the texts between them, which the same pattern splits."""
     any_ = reduce(lambda a, b: a | b, [F.array_contains("todo", r.name) & may_match(r, F.col("text")) for r in rules])
-    hit = keep(blobs.where(any_), "hits")
+    hit = keep(blobs.where(any_), "hits", wide=True)
 
     def of(number: int, rule: Rule) -> DataFrame:
         p = F.lit(rule.pattern)
@@ -160,7 +160,7 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans_of(scan_texts(docs), RULES)
     base = [r.kind for r in BASE]
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    paths = keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(docs["text"]).alias("blob")), "paths")
+    paths = keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(docs["text"]).alias("blob")), "paths", wide=True)
     per = at_paths(paths, found, "spans")
     per = per.select("doc_id", *[count(k) for k in base], F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), F.when(F.col("spans").isNotNull(), joined(F.col("spans"))).alias("spans"))
     per = per.withColumns({f"n_{k}": F.when(F.col("spans").isNotNull(), F.col(f"n_{k}")) for k in base})

@@ -341,10 +341,10 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """(doc_id, content, fingerprint, component_id) of (doc_id, text): links at `radius` of 64 bits or fewer, exactly."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("content"), "text")
     made = prints(text, shingle).drop("anchors", "shingles")
-    printed = keep(made, "prints")
+    printed = keep(made, "prints", wide=True)
     distinct = keep(printed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")]), "fingerprints")
     keys = section_keys(F.col("node"), radius, sections_for(distinct.count(), radius))
-    keyed = keep(distinct.select(F.explode(keys).alias("key"), "node", "bits", "dist", "d0"), "keyed")
+    keyed = keep(distinct.select(F.explode(keys).alias("key"), "node", "bits", "dist", "d0"), "keyed", wide=True)
     return near_classes(printed, links(keyed, 1, radius)).withColumn("fingerprint", F.lower(F.lpad(F.hex("node"), 16, "0")))
 
 
@@ -353,15 +353,15 @@ def near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: f
     similarity of `similarity` or more. Candidates share an anchor and have another text there whose fingerprint of 64 x words
     bits lies within a radius that all but loses none; only their whole sets decide. content is the digest of the text."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("content"), "text")
-    printed = keep(prints(text, shingle, words, anchors), "prints")
+    printed = keep(prints(text, shingle, words, anchors), "prints", wide=True)
     distinct = printed.select("node", "bits", "dist", "d0", F.explode("anchors").alias("anchor")).groupBy("node", "anchor").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")])
-    keyed = keep(distinct.select(F.col("anchor").alias("key"), "node", "bits", "dist", "d0"), "keyed")
+    keyed = keep(distinct.select(F.col("anchor").alias("key"), "node", "bits", "dist", "d0"), "keyed", wide=True)
     ends = links(keyed, words, candidate_radius(words, similarity)).select(F.explode(F.array("a", "b")).alias("node"))
     candidates = keep(ends.distinct(), "candidates")
     if candidates.count() <= SENT:  # spares a shuffle of every text's set
         candidates = F.broadcast(candidates)
     sets = printed.select("node", "shingles").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = keep(sets.withColumn("size", F.length("shingles") / 8), "sets")
+    sets = keep(sets.withColumn("size", F.length("shingles") / 8), "sets", wide=True)
     found = verified_links(keyed.select("key", "node"), sets, similarity)
     return near_classes(printed.drop("anchors", "shingles"), found)
 

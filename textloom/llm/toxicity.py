@@ -289,7 +289,7 @@ def fit(labelled: DataFrame) -> Model:
     text_batches(labelled.sparkSession)
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     tasks = 2 * labelled.sparkSession.sparkContext.defaultParallelism
-    train = keep(labelled.join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "train").repartition(tasks)
+    train = keep(labelled.join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "train", wide=True).repartition(tasks)
     terms = learn_terms(train)
     seen = read_hits(train, terms).select("toxic", F.explode("found").alias("hit")).groupBy("hit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()
     edits = {i: t.edits for i, t in enumerate(terms)}

@@ -119,7 +119,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     text_batches(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
-    thin = keep(pages.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "payloads")
+    thin = keep(pages.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "payloads", wide=True)
     firsts = thin.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     firsts = keep(firsts.select("digest", F.col("first").alias("refers_to")), "firsts")
     refs = keyed_join(thin, firsts, ["digest"]).select("page_id", "digest", "refers_to").distinct()
@@ -156,7 +156,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
             yield batch_of([d for d in done if d], MANIFEST)
         yield batch_of([d for d in [roller.close()] if d], MANIFEST)
 
-    written = keep(rows.mapInArrow(write, MANIFEST), "manifest")
+    written = keep(rows.mapInArrow(write, MANIFEST), "manifest", wide=True)
 
     def commit(batches):
         fs, at = store(path)
