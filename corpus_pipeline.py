@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row, whole, parts, slot = (fresh(c, docs) for c in ("_row", "_whole", "_parts", "_slot"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    named = keep(docs.withColumn(row, F.monotonically_increasing_id()), "to-mix")
+    named = keep(docs.withColumn(row, F.monotonically_increasing_id()), "to-mix", wide=True)
     content = F.xxhash64("doc_id", "text").alias("content")  # another layout of the rows gives the same mix
     rows, plan, slots = mixing.mix(named.select(F.col(row).alias("id"), content, F.col("source"), size.alias("size")), names=("id",))
     per = plan.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("parts"), F.sum(F.col("high") - F.col("low")).alias("taken"), F.min("slot").alias("slot"))
@@ -88,5 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each stage's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}", wide=True)
     return STAGES[-1][1](spark, docs, sf_dir)
