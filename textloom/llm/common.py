@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -13,7 +16,7 @@ from textloom.operators.joins import fresh, keyed_join, salted_join
 from textloom.storage import drop, scratch, temporaries
 from textloom.storage import written as keep
 
-__all__ = ["WORD", "WORD_PY", "digest", "drop", "fresh", "keep", "keyed_join", "ordered_sums", "salted_join", "scratch", "table", "temporaries", "text_batches"]
+__all__ = ["WORD", "WORD_PY", "digest", "drop", "fresh", "keep", "keyed_join", "ordered_sums", "release", "salted_join", "scratch", "table", "temporaries", "text_batches"]
 
 #: A word of the contracts: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +37,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def release() -> None:
+    """Gives back what a task's Python has freed: workers are kept for the next tasks, and would hold it meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def digest(text: Column) -> Column:
     """Content address of a text; null and empty differ."""
     return F.when(text.isNull(), F.lit("null")).otherwise(F.sha2(text, 256))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, ordered_sums, table, text_batches
+from .common import keep, ordered_sums, release, table, text_batches
 
 CAPACITY = 2048
 END = 0
@@ -112,6 +112,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
                     for c, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        release()
 
     text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)

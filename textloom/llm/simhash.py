@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, fresh, keep, keyed_join, ordered_sums, salted_join, table, temporaries, text_batches
+from .common import digest, fresh, keep, keyed_join, ordered_sums, release, salted_join, table, temporaries, text_batches
 from .graph import components
 
 PIVOTS = 16
@@ -233,6 +233,8 @@ def bucket_matches(rows: DataFrame, similarity: float) -> DataFrame:
                 del key[:whole], node[:whole], sets[:whole]
         if key:
             yield flush(len(key))
+            del key, node, sets
+        release()
 
     dealt = rows.select("key", "node", "shingles").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
@@ -303,6 +305,7 @@ def prints(docs: DataFrame, shingle: int, words: int = 1, anchors: int = 0) -> D
             node = np.array([xxh64_intdigest(b, SEED) for b in sets], np.uint64) if anchors else all_[:, 0] if words == 1 else np.array([xxh64_intdigest(b, SEED) for b in raw], np.uint64)
             columns = [batch.column("doc_id"), batch.column("content"), pa.array(node.view(np.int64)), pa.array(raw, pa.binary()), pa.array([d.tobytes() for d in dist], pa.binary()), pa.array(dist[:, 0], pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f[1]) for c, f in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, content string, node long, bits binary, dist binary, d0 int, anchors array<long>, shingles binary")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, keep, table, text_batches
+from .common import fresh, keep, release, table, text_batches
 
 TRAIN_DOCS = 12_000  #: the classifier's labelled rows: at most so many, those of least hash
 STEM, LONGEST = 4, 9  #: letters of a beginning of words: the least, and the most; longer words are whole terms
@@ -242,6 +242,7 @@ def candidates(train: DataFrame) -> DataFrame:
                 if len(of) > 150_000:  # Spark adds up the parts
                     yield from flush(counts)
         yield from flush(counts)
+        release()
 
     made = train.mapInArrow(run, "term string, stem boolean, toxic long, clean long, in_toxic long, in_clean long")
     return made.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in names[2:]])
@@ -325,6 +326,8 @@ def score(model: Model, text: Column) -> Column:
         of = model.scorer()
         for part in parts:
             yield pd.Series([of(t) for t in part], dtype="float64")
+        del of
+        release()
 
     return run(text)
 
