@@ -242,6 +242,58 @@ def test_bubbles_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
 
+def groups_of(boxes: list[tuple], links) -> dict:
+    up = {(b[0], b[1]): b[1] for b in boxes}
+    links, moved = list(links), True
+    while moved:
+        moved = False
+        for m, a, b in links:
+            if up[m, a] != up[m, b]:
+                up[m, a] = up[m, b] = min(up[m, a], up[m, b])
+                moved = True
+    return up
+
+
+def page(seed: int, n: int, kinds: tuple, tops: int) -> list[tuple]:
+    """Boxes that share tops and feet, and some of any height."""
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w, h = r.choice(kinds)
+        x, y = r.uniform(0, 900), r.randrange(tops) * 9.0 + r.choice((0, 0, 0, 2.5, 7.25))
+        out.append((i % 3, i, x, y, x + w * r.uniform(0.7, 1.3), y + h * (1 if i % 5 else r.uniform(0.8, 1.2))))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_by_runs_are_those_of_all_links(spark, seed):
+    schema = "image long, id long, x0 double, y0 double, x1 double, y1 double"
+    boxes = page(seed, 260, ((5, 3), (9, 14), (30, 8), (90, 14)), 30)
+    odd = [(0, 900, None, 0.0, 5.0, 14.0), (0, 901, 50.0, 0.0, 40.0, 14.0), (0, 902, float("nan"), 0.0, 5.0, 14.0)]
+    df = spark.createDataFrame([*boxes, *odd], schema)
+    want = groups_of([*boxes, *odd], [tuple(x) for x in timeline.boxes_linked(df).collect()])
+    assert {(x.image, x.id): x.grp for x in timeline.linked_groups(df).collect()} == want
+    assert 10 < len(set(want.values())) < 200
+    lines = page(seed, 360, ((40, 10), (24, 12), (9, 30), (12, 40), (60, 10), (1, 1), (0.5, 3)), 24)
+    rows = [(*b, str(b[1]), 0.5, None if b[1] % 50 == 0 else b[1] % 11 != 0) for b in lines]
+    df = spark.createDataFrame(rows, f"{schema}, value string, score double, prose boolean")
+    want = groups_of(lines, [tuple(x) for x in timeline.bubble_links(df.where("prose")).collect()])
+    assert {(x.image, x.id): x.grp for x in timeline.bubble_groups(df).collect()} == want
+    assert 10 < len(set(want.values())) < 300
+
+
+def test_boxes_over_one_another_make_no_pairs(spark, monkeypatch):
+    """Groups of 3,000 boxes in a line come without their 4.5 million links."""
+    made = []
+    real = timeline.box_groups
+    monkeypatch.setattr(timeline, "box_groups", lambda boxes, links: made.append(links.count()) or real(boxes, links))
+    b = spark.range(3000).selectExpr("0L AS image", "id", "CAST(id % 30 AS DOUBLE) AS x0", "0.0D AS y0", "CAST(id % 30 + 40 AS DOUBLE) AS x1", "12.0D AS y1", "'' AS value", "0.5D AS score", "true AS prose")
+    assert {r.grp for r in timeline.linked_groups(b).collect()} == {0}
+    assert [(r.region, r.n) for r in timeline.bubbles(b).collect()] == [(0, 3000)]
+    assert len(made) == 2 and sum(made) <= 6000
+
 def test_rows_by_their_middles(spark):
     b = [(1, 0, 50.0, 0.0, 60.0, 10.0), (1, 1, 0.0, 3.0, 10.0, 13.0), (1, 2, 20.0, 8.0, 30.0, 18.0), (1, 3, 0.0, 30.0, 5.0, 40.0)]
     df = spark.createDataFrame(b, "image long, id long, x0 double, y0 double, x1 double, y1 double")
