@@ -109,6 +109,24 @@ def test_region_links_of_every_box(spark, tmp_path):
     assert any(a > 4000 * 8 + 7 for _, a, _ in want)
 
 
+def against_sql(name: str, spark, path, **tables) -> list:
+    """The rows of a query over small tables; SQL gives the same."""
+    con = duckdb.connect()
+    for t, (made, schema) in tables.items():
+        spark.createDataFrame(made, schema).coalesce(1).write.parquet(f"{path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, str(path)).toPandas()
+    assert rows(got) == rows(con.execute(catalogue.ORACLES[name]).df())
+    return rows(got)
+
+
+def test_glossary_of_letters_with_two_capitals(spark, tmp_path):
+    words = ["Erßie one", "ERẞIE", "ΣΑΣ x", "σας", "İx", "ix", "ﬁn", "ŉa", "a\x0bb c", "straße", "STRASSE", ""]
+    user = ([(i, w) for i, w in enumerate(words[::2])], "item_id long, text string")
+    got = against_sql("glossary_merge", spark, tmp_path, benchmark=user, documents=([(i, w) for i, w in enumerate(words)], "doc_id long, text string"))
+    assert ("ERẞIE", "Erßie") in got
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

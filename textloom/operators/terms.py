@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +86,11 @@ def normal(c: Column) -> Column:
     return arrow(compatible, "string")(c)
 
 
-def merge(extracted: DataFrame, user: DataFrame) -> DataFrame:
-    """(src, dst): the user's terms, then extracted ones whose normal form the user doesn't have; first of equals wins."""
+def merge(extracted: DataFrame, user: DataFrame, form: Callable[[Column], Column] = normal) -> DataFrame:
+    """(src, dst): the user's terms, then extracted ones whose form, the normal one by default, the user doesn't have; first
+    of equals wins."""
     both = user.withColumn("_p", F.lit(0)).unionByName(extracted.withColumn("_p", F.lit(1)))
-    best = both.groupBy(normal(F.col("src")).alias("_k")).agg(F.min_by(F.struct("src", "dst"), F.struct("_p", "ord")).alias("b"))
+    best = both.groupBy(form(F.col("src")).alias("_k")).agg(F.min_by(F.struct("src", "dst"), F.struct("_p", "ord")).alias("b"))
     return best.select("b.src", "b.dst")
 
 
