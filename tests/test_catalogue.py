@@ -127,6 +127,12 @@ def test_glossary_of_letters_with_two_capitals(spark, tmp_path):
     assert ("ERẞIE", "Erßie") in got
 
 
+def test_html_references_without_an_end(spark, tmp_path):
+    pages = ["<p>a &am</p><p>b &a", "<p>x &amp; y &amp</p>", "<title>T &copy; &a</title><h1>q &amp;am</h1>", "<p>&quot;a&quot; &</p>"]
+    got = against_sql("html_blocks", spark, tmp_path, pages=([(i, p) for i, p in enumerate(pages)], "page_id long, html string"))
+    assert any("a &am" in r for r in got)
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
