@@ -133,6 +133,12 @@ def test_html_references_without_an_end(spark, tmp_path):
     assert any("a &am" in r for r in got)
 
 
+def test_speech_of_several_lines(spark, tmp_path):
+    turns = [(1, 0, "One two.\nThree four five six seven. Eight nine."), (1, 1, "a  b\n\nc"), (2, 0, "no\tno two three four five six seven\teight")]
+    got = against_sql("speech_cleanup", spark, tmp_path, conversations=(turns, "conv_id long, turn int, text string"))
+    assert any("One two.\nThree" in c for r in got for c in r)
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
