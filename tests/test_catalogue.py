@@ -139,6 +139,12 @@ def test_speech_of_several_lines(spark, tmp_path):
     assert any("One two.\nThree" in c for r in got for c in r)
 
 
+def test_rest_to_the_nearest_second(spark, tmp_path):
+    events = [(1, "a", "2024-01-31 00:00:01", 10.7), (2, "a", "2024-01-31 00:00:02", 0.2), (3, "b", "2024-01-31 00:00:01", 2.5), (4, "c", "2024-01-31 00:00:01", 3.5), (5, "d", "2024-01-31 00:00:01", None)]
+    made = spark.createDataFrame(events, "event_id long, event_type string, ts string, value double").selectExpr("event_id", "event_type", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "value")
+    assert len(against_sql("cool_downs", spark, tmp_path, events=(made.collect(), made.schema))) == 4
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -221,10 +221,10 @@ def noise_floors(spark, sf):
 
 @query("SELECT event_type AS model, CAST(max(epoch_us(ts) // 1000000 + greatest(1, value)) AS BIGINT) AS until FROM events GROUP BY event_type")
 def cool_downs(spark, sf):
-    """A model rests until the latest of all times that its failures have named."""
+    """A model rests until the latest of all times that its failures have named, to the nearest second."""
     e = read(spark, sf, "events")
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    return speech.resting(e.select(F.col("event_type").alias("model"), at.alias("now"), F.col("value").alias("seconds"))).select("model", F.col("until").cast("long").alias("until"))
+    return speech.resting(e.select(F.col("event_type").alias("model"), at.alias("now"), F.col("value").alias("seconds"))).select("model", F.rint("until").cast("long").alias("until"))
 
 
 @query()
