@@ -397,3 +397,22 @@ def test_languages_of_odd_rows(spark, tmp_path):
 @pytest.mark.parametrize("text", ["", "Hello wörld " * 20000, "\ud800 lone", "日本語 текст ελ"])
 def test_trigrams_of_any_text(text):
     assert (language.trigrams(text) < language.LETTERS**3).all()
+
+
+def test_tasks_of_scores_go_without_pandas():
+    """Each worker of an executor would hold 44 MB for it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    says = "import sys; from textloom.llm import toxicity; assert 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", says], check=True, cwd=Path(__file__).resolve().parents[2])
+
+
+def test_terms_counted_in_parts(spark):
+    """More beginnings of words than a task counts at once: the parts are added up."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i:06d}" for i in range(30_000)]
+    rows = [(" ".join(words[k : k + 5_000]), k % 2) for k in (0, 5_000, 10_000, 15_000, 20_000, 25_000, 0, 5_000)]
+    got = {(r.term, r.stem): r for r in toxicity.candidates(spark.createDataFrame(rows, "text string, toxic int").coalesce(1)).collect()}
+    assert all(got[w, False].toxic + got[w, False].clean == (2 if i < 10_000 else 1) for i, w in enumerate(words))
+    assert len(got) > toxicity.COUNTED

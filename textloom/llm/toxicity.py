@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import fresh, keep, release, table, text_batches
 
 TRAIN_DOCS = 12_000  #: the classifier's labelled rows: at most so many, those of least hash
+COUNTED = 60_000  #: terms that a task counts at once, of each label and but for those of one text
 STEM, LONGEST = 4, 9  #: letters of a beginning of words: the least, and the most; longer words are whole terms
 WINDOW = 8
 THRESHOLD = 0.3
@@ -239,7 +239,7 @@ def candidates(train: DataFrame) -> DataFrame:
                     else:
                         c[0] += 1
                         c[1] += n
-                if len(of) > 150_000:  # Spark adds up the parts
+                if len(of) > COUNTED:  # Spark adds up the parts
                     yield from flush(counts)
         yield from flush(counts)
         release()
@@ -280,6 +280,8 @@ def read_hits(train: DataFrame, terms: list[Term]) -> DataFrame:
                 xs.append(x.tolist())
                 fs.append(sorted({t * 4 + min(e, 3) for t, e in found}))
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(xs, pa.list_(pa.float64())), pa.array(fs, pa.list_(pa.int32()))], names=["toxic", "x", "found"])
+        del hits
+        release()
 
     return train.mapInArrow(run, "toxic int, x array<double>, found array<int>")
 
@@ -321,11 +323,11 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model:
 def score(model: Model, text: Column) -> Column:
     """The score of a text, 0 to 1; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for part in parts:
-            yield pd.Series([of(t) for t in part], dtype="float64")
+            yield pa.array([of(t.as_py()) for t in part], pa.float64())
         del of
         release()
 
