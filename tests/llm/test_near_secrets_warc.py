@@ -332,3 +332,26 @@ def test_a_damaged_archive_is_refused(spark, sf, tmp_path):
     at.write_bytes(gzip.compress(gzip.decompress(at.read_bytes()).replace(b"<body>", b"<BODY>")))
     with pytest.raises(Exception, match="digest does not agree"):
         warc.read_warc(spark, path).collect()
+
+
+@pytest.mark.parametrize("spread", [0, 40])
+def test_nodes_with_a_link_come_once_of_a_large_group(spark, spread):
+    """A hot bucket, some small ones: the nodes that links() gives, each once for each key where its chunk has a link."""
+    r = np.random.default_rng(3)
+    n, hot = 2600, 2000
+    bits = np.zeros((n, 4), np.uint64)
+    for i in range(n):
+        for j in r.choice(256, spread if i % 3 else 4, replace=False):
+            bits[i, j // 64] ^= np.uint64(1) << np.uint64(j % 64)
+    dist = simhash.distances(bits, simhash.pivots(4)).astype("<i2")
+    key = [0 if i < hot else i // 3 for i in range(n)]
+    rows = [(key[i], i, bits[i].astype("<u8").tobytes(), dist[i].tobytes(), int(dist[i, 0])) for i in range(n)]
+    keyed = spark.createDataFrame(rows, "key long, node long, bits binary, dist binary, d0 int")
+    for radius in (8, 30, 86):
+        far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+        near = (far <= radius) & (np.array(key)[:, None] == np.array(key)[None])
+        want = set(np.flatnonzero(near.sum(axis=1) > 1).tolist())
+        got = [x.node for x in simhash.links(keyed, 4, radius, ends=True).collect()]
+        assert set(got) == want == {x for p in simhash.links(keyed, 4, radius).collect() for x in p}
+        if radius == 86 or not spread:
+            assert len(got) == len(set(got)) > hot

@@ -109,59 +109,77 @@ def star(bits: np.ndarray, table_: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def bucket_links(rows: DataFrame, words: int, radius: int) -> DataFrame:
+def accompanied(bits: np.ndarray, table_: np.ndarray, radius: int) -> np.ndarray:
+    """Which fingerprints have another one within `radius`."""
+    at = star(bits, table_, radius)
+    return np.bincount(at, minlength=len(at))[at] > 1
+
+
+def bucket_links(rows: DataFrame, words: int, radius: int, ends: bool = False) -> DataFrame:
     """Links (a, b) among the members of each bucket of (key, node, bits, dist), dealt and sorted by key: a star for each
-    component that a bucket has. Buckets are read as a stream; the largest has 2 x HOT members."""
+    component that a bucket has. Buckets are read as a stream; the largest has 2 x HOT members.
+
+    ends: instead, of buckets of (.., side) each node that has a link, once. A bucket of two sides, which are buckets too,
+    leaves out those that have one on their own side."""
 
     def run(batches):
-        key = np.zeros(0, np.int64)
+        key, side = np.zeros(0, np.int64), np.zeros(0, np.int64)
         node, bits, dist = np.zeros(0, np.int64), np.zeros((0, words), np.uint64), np.zeros((0, PIVOTS), np.int16)
 
         def flush(end: int) -> pa.RecordBatch:
             cuts = np.flatnonzero(np.concatenate(([True], key[1:end] != key[: end - 1], [True])))
             a, b = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e - s > 1:
+                if e - s > 1 and ends:
+                    new, own = accompanied(bits[s:e], dist[s:e], radius), side[s:e]
+                    for k in np.unique(own) if own.min() < own.max() else ():
+                        mine = np.flatnonzero(own == k)
+                        new[mine[accompanied(bits[s:e][mine], dist[s:e][mine], radius)]] = False
+                    a.append(node[s:e][new])
+                elif e - s > 1:
                     at = star(bits[s:e], dist[s:e], radius)
                     to = np.flatnonzero(at != np.arange(e - s))
                     a.append(node[s:e][to])
                     b.append(node[s:e][at[to]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (a, b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in ((a,) if ends else (a, b))], names=["node"] if ends else ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = batch.to_pydict()
             key = np.concatenate([key, raw["key"]]).astype(np.int64)
+            side = np.concatenate([side, raw["side"]]).astype(np.int64) if ends else side
             node = np.concatenate([node, raw["node"]]).astype(np.int64)
             bits = np.concatenate([bits, np.frombuffer(b"".join(raw["bits"]), "<u8").reshape(-1, words)])
             dist = np.concatenate([dist, np.frombuffer(b"".join(raw["dist"]), "<i2").reshape(-1, PIVOTS)])
             whole = int(np.searchsorted(key, key[-1]))
             if whole:
                 yield flush(whole)
-                key, node, bits, dist = key[whole:], node[whole:], bits[whole:], dist[whole:]
+                key, side, node, bits, dist = key[whole:], side[whole:], node[whole:], bits[whole:], dist[whole:]
         if len(key):
             yield flush(len(key))
 
-    dealt = rows.select("key", "node", "bits", "dist").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = rows.select("key", "node", "bits", "dist", *(["side"] if ends else [])).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "node long" if ends else "a long, b long")
 
 
-def links(keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """Links that connect all (key, node, bits, dist) that share a key and differ in at most `radius` bits."""
+def links(keyed: DataFrame, words: int, radius: int, ends: bool = False) -> DataFrame:
+    """Links that connect all (key, node, bits, dist) that share a key and differ in at most `radius` bits. ends: instead,
+    the nodes that such a link has, (node), some of them more than once. In a group that is cut into chunks those with a link
+    in their own chunk come once for each key, not for each pair of chunks."""
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
     many = keep(many, "hot-buckets")
-    found = bucket_links(keyed.join(many, "key", "left_anti"), words, radius)
+    found = bucket_links(keyed.join(many, "key", "left_anti").withColumn("side", F.lit(0).cast("long")), words, radius, ends)
     if many.isEmpty():
         return found
     hot = keyed.join(many, "key", "left_semi").withColumn("_one", F.lit(1).cast("long"))
     hot = keep(ordered_sums(hot, ["key"], ["d0", "node"], "_one", "hot").withColumn("chunk", F.floor(F.col("before") / HOT)).select("key", "chunk", "d0", "node", "bits", "dist"), "hot-chunks")
-    ends = hot.groupBy("key", "chunk").agg(F.min("d0").alias("low"), F.max("d0").alias("high"))
-    other = ends.select("key", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"))
-    near = ends.join(other, "key").where(f"chunk2 >= chunk and low2 - high <= {radius}").select("key", "chunk", "chunk2")
+    spans = hot.groupBy("key", "chunk").agg(F.min("d0").alias("low"), F.max("d0").alias("high"))
+    other = spans.select("key", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"))
+    near = spans.join(other, "key").where(f"chunk2 >= chunk and low2 - high <= {radius}").select("key", "chunk", "chunk2")
     sides = near.select("key", "chunk", F.xxhash64("key", "chunk", "chunk2").alias("pair")).unionByName(near.where("chunk < chunk2").select("key", F.col("chunk2").alias("chunk"), F.xxhash64("key", "chunk", "chunk2").alias("pair")))
-    pairs = hot.join(sides, ["key", "chunk"]).select(F.col("pair").alias("key"), "node", "bits", "dist")
-    return found.unionByName(bucket_links(pairs, words, radius))
+    pairs = hot.join(sides, ["key", "chunk"]).select(F.col("pair").alias("key"), "node", "bits", "dist", F.col("chunk").alias("side"))
+    return found.unionByName(bucket_links(pairs, words, radius, ends))
 
 
 def matches(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -359,8 +377,7 @@ def near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: f
     printed = keep(prints(text, shingle, words, anchors), "prints", wide=True)
     distinct = printed.select("node", "bits", "dist", "d0", F.explode("anchors").alias("anchor")).groupBy("node", "anchor").agg(*[F.first(c).alias(c) for c in ("bits", "dist", "d0")])
     keyed = keep(distinct.select(F.col("anchor").alias("key"), "node", "bits", "dist", "d0"), "keyed", wide=True)
-    ends = links(keyed, words, candidate_radius(words, similarity)).select(F.explode(F.array("a", "b")).alias("node"))
-    candidates = keep(ends.distinct(), "candidates")
+    candidates = keep(links(keyed, words, candidate_radius(words, similarity), ends=True).distinct(), "candidates")
     if candidates.count() <= SENT:  # spares a shuffle of every text's set
         candidates = F.broadcast(candidates)
     sets = printed.select("node", "shingles").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
