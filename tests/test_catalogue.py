@@ -143,6 +143,11 @@ def test_rest_to_the_nearest_second(spark, tmp_path):
     events = [(1, "a", "2024-01-31 00:00:01", 10.7), (2, "a", "2024-01-31 00:00:02", 0.2), (3, "b", "2024-01-31 00:00:01", 2.5), (4, "c", "2024-01-31 00:00:01", 3.5), (5, "d", "2024-01-31 00:00:01", None)]
     made = spark.createDataFrame(events, "event_id long, event_type string, ts string, value double").selectExpr("event_id", "event_type", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "value")
     assert len(against_sql("cool_downs", spark, tmp_path, events=(made.collect(), made.schema))) == 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = {r.model: r.until for r in catalogue.QUERIES["cool_downs"](spark, str(tmp_path)).collect()}  # rows() has six digits
+    assert got == dict(con.execute(f"SELECT model, until FROM ({catalogue.ORACLES['cool_downs']})").fetchall())
+    assert got["a"] == 1706659212
 
 
 def test_entry_and_names(spark):
