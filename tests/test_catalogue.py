@@ -6,6 +6,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from textloom.operators import timeline
 from textloom.plans import catalogue, documents, runs, scalars, services
 
 import __spark_entry__
@@ -120,6 +121,17 @@ def against_sql(name: str, spark, path, **tables) -> list:
     return rows(got)
 
 
+def test_equal_boxes_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    """Two lines of 300 orders have three boxes each: all links come, and 6 rows meet instead of 600."""
+    met = []
+    real = timeline.near_pairs
+    monkeypatch.setattr(timeline, "near_pairs", lambda boxes, *a, **k: met.append(boxes.count()) or real(boxes, *a, **k))
+    line = [(97 * i, n, (0, 400, 30, 60)[i % 4]) for i in range(300) for n in (1, 2)]
+    got = against_sql("region_links", spark, tmp_path, lineitem=(line, "l_orderkey long, l_linenumber int, l_partkey long"))
+    assert len(got) == 2 * (300 * 299 // 2 - 150 * 75)  # 0 and 60 are too far apart
+    assert met == [6]
+
+
 def test_glossary_of_letters_with_two_capitals(spark, tmp_path):
     words = ["Erßie one", "ERẞIE", "ΣΑΣ x", "σας", "İx", "ix", "ﬁn", "ŉa", "a\x0bb c", "straße", "STRASSE", ""]
     user = ([(i, w) for i, w in enumerate(words[::2])], "item_id long, text string")

@@ -218,6 +218,28 @@ def test_boxes_of_all_sizes_meet_once(spark):
     assert {(r.image, r.id): r.grp for r in timeline.box_groups(df, links).collect()} == up
 
 
+def test_lists_of_equal_boxes_link_as_boxes_do(spark, monkeypatch):
+    import random
+
+    random.seed(4)
+    boxes = []
+    for i in range(500):
+        x, y, w, h = random.randrange(0, 400, 25), random.randrange(0, 200, 25), random.choice((5, 30, 600)), random.choice((8, 12, 20))
+        boxes.append((i % 2, i, float(x), float(y), float(x + w), float(y + h)))
+    for i, odd in enumerate(((None, 0.0, 5.0, 14.0), (50.0, 0.0, 40.0, 14.0), (float("nan"), 0.0, 5.0, 14.0), (-0.0, 0.0, 5.0, 12.0), (0.0, 0.0, 5.0, 12.0), (9.0, 9.0, 20.0, 9.0), (9.0, 14.0, 20.0, 9.0), (80.0, 0.0, 40.0, 14.0))):
+        boxes += [(m, 900 + 3 * i + k, *odd) for m in (0, 1, None) for k in range(3)]
+    boxes += [(0, None, 0.0, 0.0, 5.0, 12.0), boxes[0], boxes[0]]  # an id that is missing, and one that comes three times
+    df = spark.createDataFrame(boxes, "image long, id long, x0 double, y0 double, x1 double, y1 double")
+    key = lambda r: (r.image, r.a, r.b)
+    for gap in (12.0, 4.0):
+        want = sorted(timeline.boxes_linked(df, gap).collect(), key=key)
+        for most in (1_000, 2):
+            monkeypatch.setattr(timeline, "LISTED", most)
+            assert timeline.listed(df).agg({"ids": "count"}).first()[0] < len(boxes)
+            assert sorted(timeline.equal_boxes_linked(df, gap).collect(), key=key) == want
+    assert len(want) > 300
+
+
 def test_bubbles_against_brute_force(spark):
     import random
 
