@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin on a small scale, and the driver's contract."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -132,6 +133,16 @@ def test_equal_boxes_are_dealt_out_once(spark, tmp_path, monkeypatch):
     assert met == [6]
 
 
+def test_links_take_few_bytes(spark, tmp_path):
+    """All links of 3,000 orders, a hundred to a box, come: written as they come, two and more of them go to a byte."""
+    line = [(97 * o, 1, i % 30) for i, o in enumerate(random.Random(5).sample(range(10**6), 3000))]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    catalogue.QUERIES["region_links"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/links")
+    got = spark.read.parquet(f"{tmp_path}/links")
+    assert got.count() == got.distinct().count() == got.where("image = 0 AND a < b").count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < 0.5 * (3000 * 2999 // 2)
+
+
 def test_glossary_of_letters_with_two_capitals(spark, tmp_path):
     words = ["Erßie one", "ERẞIE", "ΣΑΣ x", "σας", "İx", "ix", "ﬁn", "ŉa", "a\x0bb c", "straße", "STRASSE", ""]
     user = ([(i, w) for i, w in enumerate(words[::2])], "item_id long, text string")
