@@ -156,6 +156,13 @@ def test_html_references_without_an_end(spark, tmp_path):
     assert any("a &am" in r for r in got)
 
 
+def test_html_texts_cut_within_a_reference(spark, tmp_path):
+    whole = "a &quot;b&quot; &copy; c &middot; d &amp; e"
+    pages = [f"<title>{whole[:n]}</title><h1>{whole[:n]} x</h1><p>{whole}</p>" for n in range(1, len(whole) + 1)] + ["<p>&quotx &copyx; &ampx; &ampquot;</p>"]
+    got = against_sql("html_blocks", spark, tmp_path, pages=([(i, p) for i, p in enumerate(pages)], "page_id long, html string"))
+    assert any("a &quot" in r for r in got) and any('a "b"' in r for r in got)
+
+
 def test_speech_of_several_lines(spark, tmp_path):
     turns = [(1, 0, "One two.\nThree four five six seven. Eight nine."), (1, 1, "a  b\n\nc"), (2, 0, "no\tno two three four five six seven\teight")]
     got = against_sql("speech_cleanup", spark, tmp_path, conversations=(turns, "conv_id long, turn int, text string"))
