@@ -240,6 +240,19 @@ def test_lists_of_equal_boxes_link_as_boxes_do(spark, monkeypatch):
     assert len(want) > 300
 
 
+def test_box_lists_leave_no_shuffle_files(spark):
+    def kept() -> set[str]:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = kept(), spark.conf.get(key)
+    lists = timeline.listed(spark.range(3000).selectExpr("id % 3 AS image", "id", "0D AS x0", "0D AS y0", "30D AS x1", "12D AS y1").repartition(4))
+    assert not kept() - before
+    assert spark.conf.get(key) == was
+    assert sorted(len(r.ids) for r in lists.collect()) == [1000, 1000, 1000]
+
+
 def test_bubbles_against_brute_force(spark):
     import random
 
